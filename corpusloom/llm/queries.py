@@ -91,9 +91,9 @@ iv AS (SELECT *, coalesce(lead(lo) OVER (ORDER BY source NULLS LAST), 4294967296
 slots AS (SELECT i, (i * 2654435769) % 4294967296 AS x FROM range((SELECT ceil(max(total) / max(words))::BIGINT FROM goal)) AS t(i)),
 drawn AS (SELECT iv.source, blocks, row_number() OVER (PARTITION BY iv.source ORDER BY i) - 1 AS r FROM slots JOIN iv ON x >= lo AND x < hi WHERE source_size > 0),
 uses AS (SELECT source, r % blocks AS b, count(*) AS uses FROM drawn WHERE r // blocks < 3 GROUP BY ALL),
-at AS (SELECT s.*, goal.source_size, goal.target, words, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s JOIN goal ON s.source IS NOT DISTINCT FROM goal.source),
-cut AS (SELECT doc_id, source, b, least(start + size, (b + 1) * words) - greatest(start, b * words) AS part FROM (SELECT *, unnest(range(start // words, (start + size - 1) // words + 1)) AS b FROM at WHERE size > 0)),
+placed AS (SELECT s.*, goal.source_size, goal.target, words, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s JOIN goal ON s.source IS NOT DISTINCT FROM goal.source),
+cut AS (SELECT doc_id, source, b, least(start + size, (b + 1) * words) - greatest(start, b * words) AS part FROM (SELECT *, unnest(range(start // words, (start + size - 1) // words + 1)) AS b FROM placed WHERE size > 0)),
 got AS (SELECT doc_id, sum(part * uses)::BIGINT AS taken FROM cut JOIN uses ON cut.b = uses.b AND cut.source IS NOT DISTINCT FROM uses.source GROUP BY doc_id)
-SELECT at.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM at LEFT JOIN got USING (doc_id)
+SELECT placed.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (doc_id)
 """,
 }
