@@ -8,10 +8,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, sharding, urls, warc
+from corpusloom.llm import bpe, extraction, language, mixing, quality, sharding, urls, warc
 from corpusloom.session import table
 
 
+def vocabulary() -> str:
+    """The public byte-level vocabulary, read on the driver; tasks get it as a broadcast."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = warc.captures(table(spark, sf_dir, "pages"))
     told = F.col("response.record_type")
@@ -19,22 +32,41 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), told.alias("record_type"), F.col("refers_to_page").alias("refers_to"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~language.held_out()))
+    told = language.identify(docs, model)
+    return told.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
+
+
 def op4_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(quality.measured(table(spark, sf_dir, "documents"))).drop("repeat_spans")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
+    "op3_language_id": op3_language_id,
     "op4_extendible_hashing": op4_extendible_hashing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
+    "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
 }
 
