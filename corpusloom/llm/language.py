@@ -9,11 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import slices
+from corpusloom.llm.words import numbered
 
 # documents of each language that the model is fitted on, about: a hash of the id draws them where there are more
 TRAINING_DOCS = 5000
@@ -30,9 +30,8 @@ def letters() -> np.ndarray:
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Document and word number of every word of a column of texts, and the distinct lower-case words."""
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    held = lists.values.dictionary_encode()
-    return np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy())), held.indices.to_numpy(), held.dictionary.to_pylist()
+    doc, word, distinct = numbered([t.lower().encode() if t else b"" for t in texts.to_pylist()])
+    return doc, word, [w.decode() for w in distinct]
 
 
 def trigrams(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:

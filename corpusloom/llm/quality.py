@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import slices
+from corpusloom.llm.words import numbered
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -97,10 +97,7 @@ def measure(texts: pa.Array, window: int = WINDOW, min_repeat: int = MIN_REPEAT)
     """The columns of RULES for a piece of a column of texts."""
     n = len(texts)
     plain = [t or "" for t in texts.to_pylist()]
-    lists = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
-    filled = np.asarray(pc.not_equal(lists.values, ""))
-    doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))[filled]
-    word = lists.values.dictionary_encode().indices.to_numpy()[filled].astype(np.int64)
+    doc, word, _ = numbered([t.encode() for t in plain])
     n_words = np.bincount(doc, minlength=n)
     word_chars = [len(t) - sum(map(t.count, SPACES)) for t in plain]
     symbols = [sum(map(t.count, SYMBOLS)) for t in plain]
