@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, extraction, language, minhash, mixing, quality, sharding, urls, warc
+from corpusloom.llm import bpe, extraction, hnsw, language, minhash, mixing, quality, sharding, urls, warc
 from corpusloom.session import table
 
 
@@ -43,6 +43,10 @@ def op4_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(quality.measured(table(spark, sf_dir, "documents"))).drop("repeat_spans")
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
     "op4_extendible_hashing": op4_extendible_hashing,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_minhash": op8_minhash,
@@ -94,6 +99,15 @@ WITH r AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS by
            FROM l JOIN s USING (depth, slot) WHERE s.shard_bytes <= 1048576)
 SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(slot), depth, '0') END AS shard, depth, shard_bytes, shard_rows
 FROM f WHERE k = 1
+""",
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS vec_id, min(y) AS y FROM r GROUP BY x),
+d AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, vec_id <= coalesce(y, vec_id) AS kept
+FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN d USING (vec_id)
 """,
     "op7_url_filters": r"""
 WITH RECURSIVE u AS (
