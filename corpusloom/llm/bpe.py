@@ -11,21 +11,19 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from corpusloom.llm.arrow import per_text
 
 # how the byte-level pre-tokenizer cuts text into pieces
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 CACHED_CHUNKS, CACHED_PIECES, CACHED_CHARS, CACHED_PAIRS = 250_000, 150_000, 48, 1_000_000
-ROWS, CHARS = 512, 2_000_000
 NEVER = 1 << 60
 
 
@@ -167,37 +165,19 @@ def codec(vocabulary: str) -> Codec:
     return Codec(vocabulary)
 
 
-def slices(batch: pa.RecordBatch, column: str, rows: int = ROWS, chars: int = CHARS) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a bounded number of rows and, but for single long texts, of bytes."""
-    sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=float))
-    start, held = 0, 0.0
-    for i, size in enumerate(sizes):
-        if i > start and (i - start >= rows or held + size > chars):
-            yield batch.slice(start, i - start)
-            start, held = i, 0.0
-        held += size
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def round_trip(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
     """The columns `keep` with ids (array<int>) of each whole text, and decoded, the text that these ids give.
 
     vocabulary: the tokenizer's JSON, which goes to the tasks as a broadcast (a file of fixed size). Null texts are
     encoded as empty ones: no ids, decoded ''. Rows stay as many as they are; other columns are not read."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    kept = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: pa.Array) -> list[pa.Array]:
         bpe = codec(shared.value)
-        for batch in batches:
-            for part in slices(batch, "__text"):
-                ids = [bpe.encode(t or "") for t in part.column("__text").to_pylist()]
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                decoded = [bpe.decode(x.tolist()) for x in ids]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(decoded, pa.string())], [*part.schema.names[:-1], "ids", "decoded"])
-
-    return kept.mapInArrow(run, f"{fields}{', ' * bool(fields)}ids array<int>, decoded string")
+        ids = [bpe.encode(t or "") for t in texts.to_pylist()]
+        offsets = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum([len(x) for x in ids], out=offsets[1:])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+        return [lists, pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())]
+
+    return per_text(df, text, keep, "ids array<int>, decoded string", make)

@@ -8,13 +8,11 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import slices
+from corpusloom.llm.arrow import per_text
 
 SHORT, LONG, MOST_LINKS, STOP_DENSITY = 70, 200, 0.2, 0.2
 
@@ -195,13 +193,9 @@ def extract(df: DataFrame, page: str = "html", keep: tuple = ("page_id", "url"))
 
     Null and empty pages, and pages without text, give ''. Broken markup ends what it leaves open at the next element
     round it. Pages are independent of each other, so there is no shuffle; other columns are not read."""
-    kept = df.select(*keep, F.col(page).cast("string").alias("__page"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "__page"):
-                texts = [main_text(p or "") for p in part.column("__page").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*part.schema.names[:-1], "text", "n_chars"])
+    def make(pages: pa.Array) -> list[pa.Array]:
+        texts = [main_text(p or "") for p in pages.to_pylist()]
+        return [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
 
-    return kept.mapInArrow(run, f"{fields}{', ' * bool(fields)}text string, n_chars long")
+    return per_text(df, page, keep, "text string, n_chars long", make)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import slices
+from corpusloom.llm.arrow import per_text, slices
 from corpusloom.llm.words import numbered
 
 # documents of each language that the model is fitted on, about: a hash of the id draws them where there are more
@@ -166,14 +166,9 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
     """The columns `keep` with lang_pred, score, languages and proportions (both by falling proportion) of each whole
     text. Null texts and those without a letter: `und`, 0, and empty lists. Other columns are not read."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "__text", chars=1_500_000):
-                pred, score, sets, parts = infer(part.column("__text"), shared.value)
-                more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], [*part.schema.names[:-1], "lang_pred", "score", "languages", "proportions"])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        pred, score, sets, parts = infer(texts, shared.value)
+        return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))]
 
-    return kept.mapInArrow(run, f"{fields}{', ' * bool(fields)}lang_pred string, score double, languages array<string>, proportions array<double>")
+    return per_text(df, text, keep, "lang_pred string, score double, languages array<string>, proportions array<double>", make, chars=1_500_000)

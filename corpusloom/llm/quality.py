@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import slices
+from corpusloom.llm.arrow import per_text
 from corpusloom.llm.words import numbered
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -127,16 +125,7 @@ def measured(df: DataFrame, text: str = "text", keep: tuple = ("doc_id",)) -> Da
 
     Texts are measured a few hundred at a time; a text that is longer than such a piece by itself is measured alone,
     in memory in proportion to it. Other columns are not read."""
-    kept = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    names = [x.split()[0] for x in RULES.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "__text", chars=1_500_000):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *measure(part.column("__text"))], [*part.schema.names[:-1], *names])
-
-    return kept.mapInArrow(run, f"{fields}{', ' * bool(fields)}{RULES}")
+    return per_text(df, text, keep, RULES, measure, chars=1_500_000)
 
 
 def judged(rows: DataFrame) -> DataFrame:
