@@ -53,9 +53,9 @@ def csv_markdown(spark: SparkSession, path: str, rows: int = CSV_ROWS) -> DataFr
     raw = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE")
     bar = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     cells = [F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), r"\|", r"\\|") for c in raw.columns]
-    body = raw.select(F.monotonically_increasing_id().alias("at"), bar(cells).alias("text"))
-    body = body.withColumn("line", F.row_number().over(Window.orderBy("at")) + 1).where(F.col("line") <= rows + 2).select("line", "text")
-    head = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("line"), bar([F.lit(c.replace("|", "\\|")) for c in raw.columns]).alias("text")), F.struct(F.lit(1), bar([F.lit("---")] * len(raw.columns))))).alias("r")).select("r.*")
+    body = raw.select(F.monotonically_increasing_id().alias("at"), bar(cells).alias("text")).orderBy("at").limit(rows + 1)
+    body = body.withColumn("line", F.row_number().over(Window.orderBy("at")) + 1).select("line", "text")
+    head = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("line"), bar([F.lit(c.replace("|", "\\|")) for c in raw.columns]).alias("text")), F.struct(F.lit(1).alias("line"), bar([F.lit("---")] * len(raw.columns)).alias("text")))).alias("r")).select("r.*")
     over = body.groupBy().agg(F.max("line").alias("line")).where(F.col("line") > rows + 1).select(F.lit(rows + 2).alias("line"), F.lit(f"*(first {rows} rows)*").alias("text"))
     return head.union(body.where(F.col("line") <= rows + 1)).union(over)
 

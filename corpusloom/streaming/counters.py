@@ -16,6 +16,7 @@ def events_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """(day, use_case, n, negative) by day of the event; batch and streaming alike. A stream forgets a day when the
     watermark has passed it."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     f = feedback(events.withWatermark("ts", late) if events.isStreaming else events)
     days = f.groupBy(F.window("ts", "1 day").alias("w"), "use_case").agg(F.count("*").alias("n"), F.count_if(F.col("sentiment") == "negative").alias("negative"))
     return days.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "use_case", "n", "negative")
