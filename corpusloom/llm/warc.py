@@ -27,9 +27,9 @@ RECORD = "record_id string, record_type string, concurrent_to string, refers_to_
 PAGES_PER_FILE = 4000
 
 
-def _urn(kind: str, page_id) -> object:
-    """A record id that depends on the page alone: a UUID cut from an MD5."""
-    h = F.md5(F.concat(F.lit(f"{kind}/"), page_id.cast("string")))
+def _urn(kind: str, page_id, url, digest) -> object:
+    """A record id that depends on the page alone: a UUID cut from an MD5 of its id, url and payload digest."""
+    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("")), F.coalesce(url, F.lit("")), digest))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -41,8 +41,9 @@ def plan_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> D
     Only digests are grouped, with a partial maximum for each; payloads are shuffled once, beside the few columns that
     tell revisits."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    slim = pages.select("page_id", F.octet_length(payload).cast("long").alias("n"), F.sha1(F.encode(payload, "UTF-8")).alias("d")).where(F.col("n") >= least_bytes)
-    groups = slim.groupBy("d", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d", F.col("first").alias("refers_to"))
+    slim = pages.select("page_id", "url", F.octet_length(payload).cast("long").alias("n"), F.sha1(F.encode(payload, "UTF-8")).alias("d")).where(F.col("n") >= least_bytes)
+    groups = slim.groupBy("d", "n").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    groups = groups.select("d", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
     own = pages.select("page_id", "url", payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(F.encode(payload, "UTF-8")).alias("payload_digest"))
     met = own.join(groups, (own["payload_digest"] == groups["d"]) & (own["payload_bytes"] >= least_bytes), "left").drop("d")
     return met.withColumn("refers_to", F.when(~F.col("refers_to").eqNullSafe(F.col("page_id")), F.col("refers_to")))
@@ -63,20 +64,21 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT
     pid = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     uri = F.regexp_replace("url", r"[\r\n]+", "")
     host, target = F.regexp_extract(uri, r"^[^:]*://([^/?#]*)", 1), F.regexp_extract(uri, r"^[^:]*://[^/?#]*([^#]*)", 1)
-    response = _urn("response", pid)
+    own = lambda kind: _urn(kind, F.col("page_id"), F.col("url"), F.col("payload_digest"))
+    response = own("response")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     kind = F.lit("application/http; msgtype=response")
     digest = F.concat(F.lit("sha1:"), F.col("payload_digest"))
-    refers = F.when(F.col("refers_to").isNotNull(), _urn("response", F.col("refers_to")))
+    refers = F.when(F.col("refers_to").isNotNull(), _urn("response", F.col("refers_to"), F.col("refers_url"), F.col("payload_digest")))
     asked = F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(f" HTTP/1.1{CRLF}Host: "), F.coalesce(host, F.lit("")), F.lit(CRLF * 2))
     noted = F.concat(F.lit("pageId: "), pid, F.lit(CRLF))
     records = F.array(
-        _record("request", _urn("request", pid), uri, [("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http; msgtype=request"))], asked),
+        _record("request", own("request"), uri, [("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http; msgtype=request"))], asked),
         F.when(
             F.col("refers_to").isNull(),
             _record("response", response, uri, [("WARC-Payload-Digest", digest), ("Content-Type", kind)], F.concat(http, F.col("html"))),
         ).otherwise(_record("revisit", response, uri, [("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", refers), ("Content-Type", kind)], http)),
-        _record("metadata", _urn("metadata", pid), uri, [("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], noted),
+        _record("metadata", own("metadata"), uri, [("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], noted),
     )
     out = plan.select(F.explode(records).alias("value"))
     (
@@ -178,12 +180,16 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def captures(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES, with_payload: bool = False) -> DataFrame:
     """Write `pages` to archives in the shared folder, read them back, and assemble a nested row per capture, with the
-    page ids of the page itself and of the response that a revisit refers to. Needs page_id, url, html."""
+    page ids of the page itself and of the response that a revisit refers to. Needs page_id, url, html.
+
+    Null html is an empty payload. Rows that are equal in page_id, url and html are one capture; rows that share a page_id
+    only are captures of their own. Null page ids stay null, and are referred to only where a payload has no other. An
+    empty table gives no rows."""
     spark = pages.sparkSession
     path = staging_path(spark, "warc")
     write_archives(pages, path, least_bytes)
     met = staged(assemble(read_records(spark, path, with_payload)), "warc-captures")
-    page = F.col("metadata")["fields"]["pageId"].cast("long").alias("page_id")
+    page = F.col("metadata")["fields"]["pageId"].try_cast("long").alias("page_id")
     named = met.withColumn("page_id", page)
     told = named.where("response.record_type = 'response'").select(F.col("capture_id").alias("rid"), F.col("page_id").alias("refers_to_page"))
     told = told.join(named.where("refers_to is not null").select(F.col("refers_to").alias("rid")).distinct(), "rid", "left_semi")

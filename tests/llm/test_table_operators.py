@@ -33,6 +33,9 @@ def test_warc_round_trip(spark):
     assert out[1]["response"]["record_type"] == "revisit" and out[1]["refers_to_page"] == 2 and out[2]["refers_to_page"] is None
     assert out[3]["response"]["target_uri"] == "http://b.org/Evil: 1" and out[4]["response"]["target_uri"] is None
     assert warc.captures(pages.limit(0)).count() == 0
+    again = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "b", "x"), (None, "c", "y"), (None, "d", None), (None, "e", trap), (None, "f", trap)], "page_id long, url string, html string")
+    got = sorted((str(r["page_id"]), r["response"]["payload_bytes"]) for r in warc.captures(again).collect())
+    assert got == [("1", 1), ("1", 1), ("None", 0), ("None", 1), ("None", len(trap)), ("None", len(trap))]
 
 
 def test_warc_parse_rejects_broken():
