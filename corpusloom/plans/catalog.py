@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.operators import chunking, evaluation, graph, lexical, matching, retrieval, upkeep
 from corpusloom.operators.components import connected_components
 from corpusloom.session import staged, table
@@ -397,3 +398,19 @@ SELECT doc_id, md5(CASE WHEN p IS NULL THEN trim(regexp_replace(substring(t, 1,
 ELSE (CASE WHEN s1 > 0 THEN '…' ELSE '' END) || trim(regexp_replace(substring(t, s1 + 1, e1 - s1), '\n{3,}', E'\n\n', 'g'), E' \t\n\r') || (CASE WHEN e1 < n THEN '…' ELSE '' END) END) AS digest FROM d""")
 def excerpt_window(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(F.encode(matching.excerpt(F.col("text"), ["license", "the"]), "UTF-8")).alias("digest"))
+
+
+@query("SELECT doc_id, greatest(1, coalesce(length(text), 0) // 4)::BIGINT AS n_tokens FROM documents")
+def token_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.token_count(F.col("text")).alias("n_tokens"))
+
+
+@query()
+def label_fingerprint(spark, sf_dir):
+    """The stems that a document's first line comes down to."""
+    return _docs(spark, sf_dir).select("doc_id", text.fingerprint(text.ascii_fold(F.substring_index("text", "\n", 1))).alias("stems"))
+
+
+@query("SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(trim(source)), '[^\\p{L}\\p{N} \\-_/+.]', '', 'g'), '[ \\-_/+.]+', ' ', 'g')) AS term FROM documents WHERE source IS NOT NULL")
+def glossary_terms(spark, sf_dir):
+    return _docs(spark, sf_dir).where("source is not null").select(text.glossary_normal(F.col("source")).alias("term")).distinct()

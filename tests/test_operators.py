@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.operators import chunking, evaluation, graph, lexical, matching, retrieval, upkeep
 from corpusloom.operators.components import connected_components
 from corpusloom.plans import catalog
@@ -155,3 +156,13 @@ def test_excerpt(spark):
     out = spark.createDataFrame([(text,), ("short",), (None,)], "t string").select(matching.excerpt(F.col("t"), ["needle"], 100).alias("e")).collect()
     assert out[0]["e"].startswith("…") and "Needle" in out[0]["e"] and out[0]["e"].endswith("…") and len(out[0]["e"]) == 102
     assert out[1]["e"] == "short" and out[2]["e"] is None
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("Größere Vögel-Häuser",), (None,), ("",)], "t string")
+    folded = df.select(text.ascii_fold("t").alias("f")).select("f", text.slug(F.col("f")).alias("s"), text.fingerprint(F.col("f")).alias("p")).collect()
+    assert tuple(folded[0]) == ("grossere vogel-hauser", "grossere-vogel-hauser", ["gross" + "er", "haus", "vogel"]) and folded[2]["s"] == "node"
+    stems = spark.createDataFrame([(w,) for w in ("running", "erns", "bees", "cat", "den")], "w string").select(text.light_stem(F.col("w")).alias("x"))
+    assert [r["x"] for r in stems.collect()] == ["runn", "ern", "bee", "cat", "den"]
+    normal = df.limit(1).select(text.match_normal(F.lit("A&amp;B<br> STRAßE\xad")).alias("m"), text.glossary_normal(F.lit(" C++ / (Foo)_bar ")).alias("g")).first()
+    assert tuple(normal) == ("a&b strasse", "c foo bar")
