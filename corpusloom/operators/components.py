@@ -2,41 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import discard, staged
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reachable) for each node of some edges that isn't that node itself."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = list(frames)
+    if held:
+        edges = pd.concat(held)
+        if len(edges):
+            u, v = local_stars(edges["u"].to_numpy(), edges["v"].to_numpy())
+            yield pd.DataFrame({"u": u, "v": v})
+
+
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node has two larger-to-smaller edges, or edges both ways: then the edges aren't stars yet."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down > 0 and up > 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 
-    Each round replaces a node's edges by edges to its smallest neighbour: first for the larger neighbours
-    (large-star), then for the smaller ones and the node itself (small-star). The edges end as stars round the smallest
-    node of each component. A hot node is no group in memory: its minimum is a partial aggregate, and the join that
-    hands it out is one that AQE can split. Rounds are cut by tables in the shared folder; only a count and a sum of
-    hashes reach the driver. Null ends and self loops link nothing.
+    First each task makes stars of the edges it has, in memory in proportion to its partition. Then each round replaces a
+    node's edges by edges to its smallest neighbour: for the larger neighbours (large-star), then for the smaller ones and
+    the node itself (small-star). The edges end as stars round the smallest node of each component. A hot node is no group
+    in memory: its minimum is a partial aggregate, and the join that hands it out is one that AQE can split. Rounds are cut
+    by tables in the shared folder; only a flag reaches the driver. Null ends and self loops link nothing.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e = staged(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    before = _fingerprint(e)
-    while before[0]:
+    kind = e.schema["u"].dataType.simpleString()
+    e = staged(e.mapInPandas(_contract, f"u {kind}, v {kind}").distinct(), "cc")
+    while _unfinished(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = staged(small.union(low).where("u <> v").distinct(), "cc")
-        now = _fingerprint(after)
         discard(e)
         e = after
-        if now == before:
-            break
-        before = now
     members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
