@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import per_text, slices
@@ -157,15 +157,46 @@ def _stars(seats: DataFrame, pivots: int) -> DataFrame:
     return met.select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
 
 
+def _codes(texts: pa.Array) -> list[pa.Array]:
+    """The shingles of each text, as a list."""
+    doc, code = shingles(texts)
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(cut), pa.array(code.view(np.int64)))]
+
+
+def _prefix_pairs(seats: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) with u > v: all pairs of the ids of `seats` that can be similar enough and lie in different components, by
+    prefixes. sets: (id, codes) of these ids.
+
+    Shingles have one order for all, the rarest first, and `left` counts how many of a set follow one, itself with them.
+    Where a pair's first common shingle stands, `left` is no less than what they have in common in either set: PERCENT of the
+    larger, 2 * PERCENT / (100 + PERCENT) of the smaller, PERCENT / (100 + PERCENT) of both. So the pair meets at that one,
+    and what many texts share, at the end of the order, brings together only those that hold little else. Shingles
+    of one set only have no rows, but count: `left` is taken from the end."""
+    own = seats.select("id", "c", "n", "mark").dropDuplicates(["id"])
+    codes = sets.select("id", F.explode("codes").alias("code"))
+    common = codes.groupBy("code").agg(F.count("*").alias("sets")).where("sets > 1")
+    order = Window.partitionBy("id").orderBy(F.desc("sets"), F.desc("code"))
+    left = codes.join(common.hint("merge"), "code").select("id", "code", F.row_number().over(order).alias("left"))
+    heads = left.join(own, "id").where(100 * F.col("left") >= PERCENT * F.col("n"))
+    long = heads.select("code", *(F.col(x).alias(f"{x}_u") for x in ("id", "c", "n", "mark", "left")))
+    short = heads.where((100 + PERCENT) * F.col("left") >= 2 * PERCENT * F.col("n"))
+    met = long.join(short, "code").where("c <> c_u and (n < n_u or (n = n_u and id < id_u))").where(100 * F.col("n") >= PERCENT * F.col("n_u"))
+    met = met.where((100 + PERCENT) * F.least("left", "left_u") >= PERCENT * (F.col("n") + F.col("n_u")))
+    met = met.where(agreeing("mark", "mark_u", CARRIED) >= LEAST_CARRIED)
+    return met.select(F.greatest("id", "id_u").alias("u"), F.least("id", "id_u").alias("v")).distinct()
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each of `df`: its key, n_shingles, component_id (the smallest key that links reach), kept.
 
     Equal sets are one representative, found by the two sums of their hashes. A bucket's members are grouped by size, in
     overlapping classes that any two sets which can be similar enough share, so that what only shares a passage with much
-    longer or shorter texts is not judged by these. In a group all members are paired with one pivot, never with each
-    other. Groups whose members then still lie in several components are paired with two other pivots, and so on until a round
-    finds no link. Texts of near copies share most of the HALVES^2 tables, mostly with different pivots, and a link is not
-    needed where its ends are connected. Null and empty texts have no shingles and link with nothing; null keys link with
+    longer or shorter texts is not judged by these. First all members of a group are paired with one pivot; groups whose
+    members then still lie in several components are paired with two other pivots, and so on while a round finds a link.
+    The pivots leave few components of many copies. Then the members of all groups that are still mixed are compared without
+    a choice: every pair of different components that sizes, prefixes and signatures allow is verified. A link is not needed
+    where its ends are connected. Null and empty texts have no shingles and link with nothing; null keys link with
     nothing and have a null component. Other columns are not read; an empty table gives no rows."""
     spent = []
 
@@ -186,22 +217,30 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     texts = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(members.select("id").distinct().hint("merge"), "id", "left_semi")
     texts = passing(texts.groupBy("id").agg(F.first("text").alias("text")), "minhash-texts")
     seats, links, parts, round_no = members.withColumn("c", F.col("id")).withColumn("order", F.col("id")), None, None, 0
-    while True:
-        pairs = _stars(seats, 2 if round_no else 1)
+
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        """Those of the pairs that are links, staged; None if there are none."""
         pairs = pairs.join(marks.select(F.col("id").alias("u"), F.col("signature").alias("su")), "u").join(marks.select(F.col("id").alias("v"), F.col("signature").alias("sv")), "v")
         pairs = passing(pairs.where(agreeing("su", "sv") >= LEAST_AGREE).select("u", "v"), "minhash-pairs")
         if pairs.isEmpty():
-            break
+            return None
         needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
         found = passing(verified(pairs, texts.join(needed, "id", "left_semi")), "minhash-links")
-        if found.isEmpty():
-            break
+        return None if found.isEmpty() else found
+
+    while (found := linked(_stars(seats, 2 if round_no else 1))) is not None:
         links = found if links is None else links.union(found)
         parts = staged(connected_components(links), "minhash-parts")
         seats = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "size_class", "id", "n", "mark", F.coalesce("component", "id").alias("c"))
         mixed = seats.groupBy("key", "size_class").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "size_class")
         round_no += 1
         seats = passing(seats.join(mixed, ["key", "size_class"], "left_semi").withColumn("order", F.xxhash64("id", F.lit(round_no))), "minhash-open")
+    # of the groups that are still mixed, what no pivot has met
+    left = texts.join(seats.select("id").distinct(), "id", "left_semi")
+    left = passing(per_text(left, "text", ("id",), "codes array<long>", _codes, chars=1_500_000), "minhash-codes")
+    found = linked(_prefix_pairs(seats, left))
+    if found is not None:
+        parts = staged(connected_components(found if links is None else links.union(found)), "minhash-parts")
     for frame in spent:
         discard(frame)
     parts = parts if parts is not None else sets.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)

@@ -178,6 +178,21 @@ def test_minhash_against_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_links_in_crowded_buckets(spark):
+    """Pairs whose common buckets are those of a passage that all texts have: near 0.77 to the partner, 0.73 to the others."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts = words(250), []
+    for _ in range(60):
+        shared = words(8)
+        texts += [" ".join(passage + shared + words(37)) for _ in range(2)]
+    rng.shuffle(texts)
+    want = brute_links({i: shingle_set(t) for i, t in enumerate(texts)})
+    assert len(set(want.values())) == 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == want
+
+
 def test_minhash_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (2, "a b c"), (3, "a b c")], "doc_id long, text string")
     out = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
