@@ -27,9 +27,11 @@ RECORD = "record_id string, record_type string, concurrent_to string, refers_to_
 PAGES_PER_FILE = 4000
 
 
-def _urn(kind: str, page_id, url, digest) -> object:
-    """A record id that depends on the page alone: a UUID cut from an MD5 of its id, url and payload digest."""
-    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("")), F.coalesce(url, F.lit("")), digest))
+def _urn(kind: str, page_id, url, digest, copy) -> object:
+    """A record id: a UUID cut from an MD5 of the page's id, url and payload digest, and of the row's number, which keeps
+    equal rows apart. Ids and urls have their length before them, so that null is no empty string."""
+    told = [F.coalesce(F.concat(F.lit("+"), F.octet_length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string")), F.lit("-")) for x in (page_id, url)]
+    h = F.md5(F.concat_ws("|", F.lit(kind), *told, digest, copy.cast("string")))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -39,12 +41,14 @@ def plan_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> D
     or more, the largest page_id (null: smallest) is the response that the others revisit; null where a page is one.
 
     Only digests are grouped, with a partial maximum for each; payloads are shuffled once, beside the few columns that
-    tell revisits."""
+    tell revisits. `copy` numbers the rows by partition and place, without a group; `pages` is read twice, and has to give
+    its rows in the same places, as a scan of files does."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    slim = pages.select("page_id", "url", F.octet_length(payload).cast("long").alias("n"), F.sha1(F.encode(payload, "UTF-8")).alias("d")).where(F.col("n") >= least_bytes)
-    groups = slim.groupBy("d", "n").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    groups = groups.select("d", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
-    own = pages.select("page_id", "url", payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(F.encode(payload, "UTF-8")).alias("payload_digest"))
+    copy = F.monotonically_increasing_id().alias("copy")
+    slim = pages.select("page_id", "url", copy, F.octet_length(payload).cast("long").alias("n"), F.sha1(F.encode(payload, "UTF-8")).alias("d")).where(F.col("n") >= least_bytes)
+    groups = slim.groupBy("d", "n").agg(F.max(F.struct("page_id", "url", "copy")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    groups = groups.select("d", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"), F.col("first.copy").alias("refers_copy"))
+    own = pages.select("page_id", "url", copy, payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(F.encode(payload, "UTF-8")).alias("payload_digest"))
     met = own.join(groups, (own["payload_digest"] == groups["d"]) & (own["payload_bytes"] >= least_bytes), "left").drop("d")
     return met.withColumn("refers_to", F.when(~F.col("refers_to").eqNullSafe(F.col("page_id")), F.col("refers_to")))
 
@@ -64,12 +68,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT
     pid = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     uri = F.regexp_replace("url", r"[\r\n]+", "")
     host, target = F.regexp_extract(uri, r"^[^:]*://([^/?#]*)", 1), F.regexp_extract(uri, r"^[^:]*://[^/?#]*([^#]*)", 1)
-    own = lambda kind: _urn(kind, F.col("page_id"), F.col("url"), F.col("payload_digest"))
+    own = lambda kind: _urn(kind, F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("copy"))
     response = own("response")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     kind = F.lit("application/http; msgtype=response")
     digest = F.concat(F.lit("sha1:"), F.col("payload_digest"))
-    refers = F.when(F.col("refers_to").isNotNull(), _urn("response", F.col("refers_to"), F.col("refers_url"), F.col("payload_digest")))
+    refers = F.when(F.col("refers_to").isNotNull(), _urn("response", F.col("refers_to"), F.col("refers_url"), F.col("payload_digest"), F.col("refers_copy")))
     asked = F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(f" HTTP/1.1{CRLF}Host: "), F.coalesce(host, F.lit("")), F.lit(CRLF * 2))
     noted = F.concat(F.lit("pageId: "), pid, F.lit(CRLF))
     records = F.array(
@@ -182,8 +186,7 @@ def captures(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES, with_payl
     """Write `pages` to archives in the shared folder, read them back, and assemble a nested row per capture, with the
     page ids of the page itself and of the response that a revisit refers to. Needs page_id, url, html.
 
-    Null html is an empty payload. Rows that are equal in page_id, url and html are one capture; rows that share a page_id
-    only are captures of their own. Null page ids stay null, and are referred to only where a payload has no other. An
+    Null html is an empty payload. Each row is a capture of its own, equal rows too. Null page ids stay null, and are referred to only where a payload has no other. An
     empty table gives no rows."""
     spark = pages.sparkSession
     path = staging_path(spark, "warc")

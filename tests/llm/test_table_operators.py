@@ -38,6 +38,15 @@ def test_warc_round_trip(spark):
     assert got == [("1", 1), ("1", 1), ("None", 0), ("None", 1), ("None", len(trap)), ("None", len(trap))]
 
 
+def test_warc_keeps_equal_rows(spark):
+    big = "z" * 2000
+    rows = [(1, "a", "x")] * 3 + [(None, None, None)] * 2 + [(None, "", ""), (2, None, "y"), (2, "", "y")] + [(5, "u", big)] * 2 + [(4, "u", big)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((str(r["page_id"]), r["response"]["payload_bytes"], r["response"]["record_type"], str(r["refers_to_page"])) for r in warc.captures(pages).collect())
+    want = [(i, len(h or ""), "revisit" if i == 4 else "response", 5 if i == 4 else None) for i, _, h in rows]
+    assert got == sorted((str(i), n, kind, str(to)) for i, n, kind, to in want)
+
+
 def test_warc_parse_rejects_broken():
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
