@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import re
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.operators.components import connected_components
 from corpusloom.session import staged
@@ -46,14 +52,29 @@ def node_of(url) -> object:
     return F.when(url.contains("://"), F.concat(host_of(url), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
+def _resolved(url: str, to: str) -> str | None:
+    to = html.unescape(to)
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", to):
+        return to
+    try:
+        return urljoin(url, to)
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(StringType())
+def resolved(urls: pd.Series, targets: pd.Series) -> pd.Series:
+    """Links as urls: character references decoded, then whatever is relative taken from the page's url."""
+    return pd.Series([_resolved(u, t) for u, t in zip(urls, targets)], dtype=object)
+
+
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(u, v) of url nodes: what each page's canonical link and refresh name, and the given (src, dst) redirects.
 
-    Targets that start with // or / take the page's scheme and host; other relative targets are left out."""
+    Targets are decoded and resolved against the page's url; only the links that are found pass through Python."""
     found = pages.where(F.col("html").isNotNull() & F.col("url").contains("://")).select("url", F.explode(F.array_union(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1))).alias("to"))
-    scheme, origin = F.regexp_extract("url", r"(?s)^(.*?:)//", 1), F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = F.when(F.col("to").startswith("//"), F.concat(scheme, F.col("to"))).when(F.col("to").startswith("/"), F.concat(origin, F.col("to"))).otherwise(F.regexp_replace("to", "&amp;", "&"))
-    edges = found.select(node_of(F.col("url")).alias("u"), node_of(to).alias("v"))
+    found = found.select("url", resolved("url", "to").alias("to"))
+    edges = found.select(node_of(F.col("url")).alias("u"), node_of(F.col("to")).alias("v"))
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("src")), node_of(F.col("dst"))))
     return edges.where("u is not null and v is not null and u <> v")

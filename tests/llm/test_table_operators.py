@@ -119,6 +119,15 @@ def test_url_rules_and_aliases(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_aliases_by_relative_links(spark):
+    links = [("d/x.html", "../es/a"), ("d/x2", "./../es/b"), ("es2/y", "/es/c?a=1&amp;b=2"), ("z/q?id=1", "?id=2"), ("k/m", "n.html"), ("t", "&#x2F;es/d"), ("v/w", "//x.net/es/e?x&amp;y")]
+    rows = [(i, f"http://x.net/{at}", f'<link rel="canonical" href="{to}">') for i, (at, to) in enumerate(links)]
+    rows += [(10, "http://x.net/z/q?id=2", '<meta http-equiv="refresh" content="0; url=../es/f">'), (11, "http://x.net/k/n.html", '<link rel=canonical href="../fr/g">')]
+    rows += [(12, "http://x.net/es/c?a=1&b=2", ""), (13, "http://x.net/de/h", '<link rel=canonical href="../de/i">')]
+    out = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {r[0]: "allow" if r[0] == 13 else "block" for r in rows}
+
+
 def test_mixing_contract(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.randrange(60)), rng.choice(["a", "a", "a", "b", "c", None]), 3) for i in range(600)] + [(900, None, "a", 1), (900, None, "a", 1), (None, "x y", "z", 1)]
