@@ -407,8 +407,8 @@ def token_count(spark, sf_dir):
 
 @query()
 def label_fingerprint(spark, sf_dir):
-    """The stems that a document's first line comes down to."""
-    return _docs(spark, sf_dir).select("doc_id", text.fingerprint(text.ascii_fold(F.substring_index("text", "\n", 1))).alias("stems"))
+    """The stems that a document's whole text comes down to."""
+    return _docs(spark, sf_dir).select("doc_id", text.fingerprint(text.ascii_fold("text")).alias("stems"))
 
 
 @query("SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(trim(source)), '[^\\p{L}\\p{N} \\-_/+.]', '', 'g'), '[ \\-_/+.]+', ' ', 'g')) AS term FROM documents WHERE source IS NOT NULL")

@@ -166,3 +166,8 @@ def test_text_functions(spark):
     assert [r["x"] for r in stems.collect()] == ["runn", "ern", "bee", "cat", "den"]
     normal = df.limit(1).select(text.match_normal(F.lit("A&amp;B<br> STRAßE\xad")).alias("m"), text.glossary_normal(F.lit(" C++ / (Foo)_bar ")).alias("g")).first()
     assert tuple(normal) == ("a&b strasse", "c foo bar")
+
+
+def test_label_fingerprint_reads_all_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "Vögel\nHäuser\nrunning")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.QUERIES["label_fingerprint"](spark, str(tmp_path)).first()["stems"] == ["haus", "runn", "vogel"]
