@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import discard, staged
+from corpusloom.session import Scratch
+
+# edges that a task contracts at once, in memory
+PIECE = 200_000
 
 
 def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,12 +34,22 @@ def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = list(frames)
-    if held:
+    """Stars of a task's edges, PIECE at a time: never more are held, whatever the size of the partition."""
+    held, size = [], 0
+
+    def stars() -> pd.DataFrame:
         edges = pd.concat(held)
-        if len(edges):
-            u, v = local_stars(edges["u"].to_numpy(), edges["v"].to_numpy())
-            yield pd.DataFrame({"u": u, "v": v})
+        u, v = local_stars(edges["u"].to_numpy(), edges["v"].to_numpy())
+        return pd.DataFrame({"u": u, "v": v})
+
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= PIECE:
+            yield stars()
+            held, size = [], 0
+    if size:
+        yield stars()
 
 
 def _unfinished(edges: DataFrame) -> bool:
@@ -46,25 +59,28 @@ def _unfinished(edges: DataFrame) -> bool:
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
-    """(node, component) for every node that has an edge; component is the smallest node reachable.
+    """(node, component) for every node that has an edge; component is the smallest node reachable. `edges` is counted and
+    read, so it should be a staged table.
 
-    First each task makes stars of the edges it has, in memory in proportion to its partition. Then each round replaces a
-    node's edges by edges to its smallest neighbour: for the larger neighbours (large-star), then for the smaller ones and
-    the node itself (small-star). The edges end as stars round the smallest node of each component. A hot node is no group
-    in memory: its minimum is a partial aggregate, and the join that hands it out is one that AQE can split. Rounds are cut
-    by tables in the shared folder; only a flag reaches the driver. Null ends and self loops link nothing.
+    First each task makes stars of the edges it has, a bounded piece at a time; few edges are dealt to few tasks. Then each
+    round replaces a node's edges by edges to its smallest neighbour: for the larger neighbours (large-star), then for the
+    smaller ones and the node itself (small-star). The edges end as stars round the smallest node of each component. A hot
+    node is no group in memory: its minimum is a partial aggregate, and the join that hands it out is one that AQE can
+    split. Rounds are cut by tables in the shared folder; only a count and a flag reach the driver. Null ends and self
+    loops link nothing.
     """
+    scratch = Scratch(edges.sparkSession, "components")
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     kind = e.schema["u"].dataType.simpleString()
-    e = staged(e.mapInPandas(_contract, f"u {kind}, v {kind}").distinct(), "cc")
-    while _unfinished(e):
+    tasks = -(-edges.count() // PIECE) or 1
+    e = scratch(e.coalesce(tasks).mapInPandas(_contract, f"u {kind}, v {kind}").distinct(), "stars")
+    while tasks > 1 and _unfinished(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = staged(small.union(low).where("u <> v").distinct(), "cc")
-        discard(e)
-        e = after
+        e = scratch(small.union(low).where("u <> v").distinct(), "stars")
+        scratch.drop("stars", keep=1)
     members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

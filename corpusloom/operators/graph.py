@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import connected_components
-from corpusloom.session import discard, staged
+from corpusloom.session import Scratch
 
 
 def on_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """The directed edges that remain when nodes without an incoming or without an outgoing edge are peeled off, round by
     round: empty exactly if there is no cycle."""
-    left = staged(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "peel")
+    scratch = Scratch(edges.sparkSession, "peel")
+    left = scratch(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "edges")
     n = left.count()
     while n:
         heads, tails = left.select(F.col("dst").alias("src")), left.select(F.col("src").alias("dst"))
-        after = staged(left.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"), "peel")
-        m = after.count()
-        discard(left)
-        left = after
+        left = scratch(left.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"), "edges")
+        scratch.drop("edges", keep=1)
+        m = left.count()
         if m == n:
             break
         n = m

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="corpusloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests on one machine), under a temporary one."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a session on one machine, as in tests, has a folder
+    of its own; a cluster has none that its executors share, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -29,10 +41,23 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a staged frame that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = hadoop(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """The staged tables of one run of an operator. Those that its result doesn't read are dropped when it is done."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` staged under `name`; a table of that name from an earlier round stays until it is dropped."""
+        path = staging_path(self.spark, f"{self.label}-{name}")
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str, keep: int = 0) -> None:
+        """Empty the tables of these names (default: all), but for the last `keep` of each."""
+        for name in names or tuple(self.paths):
+            held = self.paths.get(name, [])
+            for path in held[: len(held) - keep]:
+                self.spark.range(0).write.mode("overwrite").parquet(path)
+            self.paths[name] = held[len(held) - keep :]
