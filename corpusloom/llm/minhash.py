@@ -6,7 +6,7 @@ what HALVES^2 * 2 * ROWS would in plain banding. At a similarity of s a link is
 (1 - (1 - s^ROWS)^HALVES)^2.
 
 A pair that meets is first held against SIGNATURE minhashes of six bits, which a pair at the threshold fails about once
-in 5,000 times, then verified on the full sets.
+in 14,000 times, then compared on the full sets.
 """
 
 from __future__ import annotations
@@ -16,20 +16,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import per_text, slices
 from corpusloom.llm.words import numbered
-from corpusloom.operators.components import connected_components
-from corpusloom.session import discard, staged
+from corpusloom.operators.components import connected_components, local_stars
+from corpusloom.session import Scratch
 
 WORDS, PERCENT = 5, 75
 HALVES, ROWS = 8, 2
 # minhashes of the signature, eight to a long, and how many must agree; a pair at the threshold expects 96
 SIGNATURE, LEAST_AGREE = 128, 78
-# the part of it that members of buckets carry, so that most pairs end where they are made; the threshold expects 36
-CARRIED, LEAST_CARRIED = 48, 25
+# members of a bucket that are compared in one piece: a larger bucket is cut into blocks, which meet two by two
+BLOCK = 2048
+# pairs that are looked at in one go, and ids of at most so many texts that are handed to all tasks
+PAIRS, BROADCAST_IDS = 500_000, 1_000_000
 SIGNED = "n_shingles long, set_a long, set_b long, halves array<long>, signature array<long>"
 SIX, SEVENTH = 0x3F3F3F3F3F3F3F3F, 0x4040404040404040
 U = np.uint64
@@ -71,17 +73,25 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return doc[new], code[new]
 
 
+def sums(doc: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """Two sums over each text's shingles that together name the set."""
+    out = np.zeros((2, n), U)
+    if len(doc):
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        out[:, doc[starts]] = np.add.reduceat(code, starts), np.add.reduceat(_mixed(code ^ U(0x5851F42D4C957F2D)), starts)
+    return out
+
+
 def sign(texts: pa.Array) -> list[pa.Array]:
-    """The columns of SIGNED: the set's size, two sums that together name the set, and its half-keys."""
+    """The columns of SIGNED: the set's size, its two sums, its half-keys and its signature."""
     n, k = len(texts), 2 * HALVES * ROWS
     m = max(k, SIGNATURE)
     doc, code = shingles(texts)
     size = np.bincount(doc, minlength=n)
-    sums, mins = np.zeros((2, n), U), np.zeros((m, n), U)
+    mins = np.zeros((m, n), U)
     if len(doc):
         starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         own = doc[starts]
-        sums[0, own], sums[1, own] = np.add.reduceat(code, starts), np.add.reduceat(_mixed(code ^ U(0x5851F42D4C957F2D)), starts)
         for j in range(m):
             seed = _mixed(np.array([2 * j + 1, 2 * j + 2], U))
             hashed = code * (seed[0] | U(1)) + seed[1]
@@ -91,161 +101,257 @@ def sign(texts: pa.Array) -> list[pa.Array]:
         keys[j // ROWS] = _mixed(keys[j // ROWS] + mins[j])
     packed = np.ascontiguousarray((mins[:SIGNATURE] >> U(20) & U(63)).astype(np.uint8).T).view(np.int64)
     lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys.T.view(np.int64) if n else np.empty((0, 2 * HALVES), np.int64), packed)]
-    return [pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in sums), *lists]
+    return [pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in sums(doc, code, n)), *lists]
 
 
 def signed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return per_text(df.select(F.col(key).alias("id"), text), text, ("id",), SIGNED, sign, chars=1_500_000)
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """(key, id): HALVES^2 table keys for each representative."""
-    pair = [F.xxhash64(F.lit(i * HALVES + j), F.col("halves")[i], F.col("halves")[HALVES + j]) for i in range(HALVES) for j in range(HALVES)]
-    return reps.select("id", F.explode(F.array(*pair)).alias("key"))
+def buckets(sets: DataFrame) -> DataFrame:
+    """(key, low, node): HALVES^2 table keys for each set. The last bits of a key are its table's number."""
+    pair = [F.xxhash64(F.lit(i * HALVES + j), F.col("halves")[i], F.col("halves")[HALVES + j]).bitwiseAND(F.lit(-(HALVES**2))).bitwiseOR(F.lit(i * HALVES + j)) for i in range(HALVES) for j in range(HALVES)]
+    return sets.select(F.explode(F.array(*pair)).alias("key"), "low", "node")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose full shingle sets are similar enough. texts: (id, text), an id once.
+def shared_buckets(keys: DataFrame) -> DataFrame:
+    """(key, node, pivot) for the keys that more than one node has; a bucket's pivot is its node with the smallest `low`.
 
-    Each text travels to its pairs, first by u, then by v, in sort-merge joins, which AQE can split where one id has many
-    pairs; sets are made again from the texts, which are smaller."""
-    left = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
-    right = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
-    met = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "tu", "tv")
+    Rows are dealt out by ranges of key and node, so that a bucket of any size is spread over as many tasks as it needs, and
+    pass a task in order. A bucket on the border of two tasks has a pivot in each. The first and the last row of a task
+    always pass, since their bucket may go on in the next one."""
+    ordered = keys.repartitionByRange("key", "low", "node").sortWithinPartitions("key", "low", "node").select("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row so far: key, node, its bucket's pivot, whether the row before has its key
         for batch in batches:
-            for part in slices(batch, "tu", rows=256, chars=1_000_000):
-                texts_of: dict = {}
-                u, v = part.column("u").to_pylist(), part.column("v").to_pylist()
-                for name, ids in (("tu", u), ("tv", v)):
-                    for i, x in enumerate(ids):
-                        texts_of.setdefault(x, (name, i))
-                numbers = {x: k for k, x in enumerate(texts_of)}
-                doc, code = shingles(pa.array([part.column(name)[i].as_py() for name, i in texts_of.values()], pa.string()))
-                cut = np.searchsorted(doc, np.arange(len(numbers) + 1))
-                sets = [code[a:b] for a, b in zip(cut, cut[1:])]
-                keep = []
-                for x, y in zip(u, v):
-                    a, b = sets[numbers[x]], sets[numbers[y]]
-                    least, most = sorted((len(a), len(b)))
-                    both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * least >= PERCENT * most else 0
-                    keep.append(both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both))
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    kind = pairs.schema["u"].dataType.simpleString()
-    return met.mapInArrow(run, f"u {kind}, v {kind}")
-
-
-def agreeing(a: str, b: str, size: int = SIGNATURE) -> object:
-    """How many of the first `size` bytes of two signatures are equal. Bytes have six bits, so that adding 63 to the xor of two sets the seventh
-    bit just where they differ."""
-    differ = [F.bit_count((F.col(a)[i].bitwiseXOR(F.col(b)[i]) + F.lit(SIX)).bitwiseAND(F.lit(SEVENTH))) for i in range(size // 8)]
-    return size - sum(differ[1:], differ[0])
-
-
-def _stars(seats: DataFrame, pivots: int) -> DataFrame:
-    """(u, v) with u > v: every member (id, n, c, mark) of a group (key, size_class) with the group's one or two pivots, the
-    first and the last in `order`, where those are of another component c, and sizes and carried signatures allow the
-    similarity. Members are not paired with each other."""
-    one = F.struct("id", "n", "c", "mark")
-    ends = [F.min_by(one, F.col("order")).alias("a"), F.max_by(one, F.col("order")).alias("b")][:pivots]
-    heads = seats.groupBy("key", "size_class").agg(*ends, F.count("*").alias("members")).where("members > 1")
-    heads = heads.select("key", "size_class", F.explode(F.array(*"ab"[:pivots])).alias("p")).select("key", "size_class", F.col("p.id").alias("p"), F.col("p.n").alias("m"), F.col("p.c").alias("pc"), F.col("p.mark").alias("pmark"))
-    met = seats.join(heads, ["key", "size_class"]).where("c <> pc").where(100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))
-    met = met.where(agreeing("mark", "pmark", CARRIED) >= LEAST_CARRIED)
-    return met.select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
-
-
-def _codes(texts: pa.Array) -> list[pa.Array]:
-    """The shingles of each text, as a list."""
-    doc, code = shingles(texts)
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-    return [pa.ListArray.from_arrays(pa.array(cut), pa.array(code.view(np.int64)))]
-
-
-def _prefix_pairs(seats: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) with u > v: all pairs of the ids of `seats` that can be similar enough and lie in different components, by
-    prefixes. sets: (id, codes) of these ids.
-
-    Shingles have one order for all, the rarest first, and `left` counts how many of a set follow one, itself with them.
-    Where a pair's first common shingle stands, `left` is no less than what they have in common in either set: PERCENT of the
-    larger, 2 * PERCENT / (100 + PERCENT) of the smaller, PERCENT / (100 + PERCENT) of both. So the pair meets at that one,
-    and what many texts share, at the end of the order, brings together only those that hold little else. Shingles
-    of one set only have no rows, but count: `left` is taken from the end."""
-    own = seats.select("id", "c", "n", "mark").dropDuplicates(["id"])
-    codes = sets.select("id", F.explode("codes").alias("code"))
-    common = codes.groupBy("code").agg(F.count("*").alias("sets")).where("sets > 1")
-    order = Window.partitionBy("id").orderBy(F.desc("sets"), F.desc("code"))
-    left = codes.join(common.hint("merge"), "code").select("id", "code", F.row_number().over(order).alias("left"))
-    heads = left.join(own, "id").where(100 * F.col("left") >= PERCENT * F.col("n"))
-    long = heads.select("code", *(F.col(x).alias(f"{x}_u") for x in ("id", "c", "n", "mark", "left")))
-    short = heads.where((100 + PERCENT) * F.col("left") >= 2 * PERCENT * F.col("n"))
-    met = long.join(short, "code").where("c <> c_u and (n < n_u or (n = n_u and id < id_u))").where(100 * F.col("n") >= PERCENT * F.col("n_u"))
-    met = met.where((100 + PERCENT) * F.least("left", "left_u") >= PERCENT * (F.col("n") + F.col("n_u")))
-    met = met.where(agreeing("mark", "mark_u", CARRIED) >= LEAST_CARRIED)
-    return met.select(F.greatest("id", "id_u").alias("u"), F.least("id", "id_u").alias("v")).distinct()
+            if not len(batch):
+                continue
+            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            if held:
+                key, node = np.r_[held[0], key], np.r_[held[1], node]
+            same = key[1:] == key[:-1]
+            first = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(key)), 0))
+            pivot = node[first]
+            if held:
+                pivot[first == 0] = held[2]
+            before = np.r_[held[3] if held else True, same]
+            keep = (before | np.r_[same, False])[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (key, node, pivot)], ["key", "node", "pivot"])
+            held = key[-1], node[-1], pivot[-1], before[-1]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held[:3]], ["key", "node", "pivot"])
+
+    return ordered.mapInArrow(run, "key long, node long, pivot long")
+
+
+def agreeing(a: str, b: str) -> object:
+    """How many of the SIGNATURE bytes of two signatures are equal. Bytes have six bits, so that adding 63 to the xor of
+    two sets the seventh bit just where they differ."""
+    differ = [F.bit_count((F.col(a)[i].bitwiseXOR(F.col(b)[i]) + F.lit(SIX)).bitwiseAND(F.lit(SEVENTH))) for i in range(SIGNATURE // 8)]
+    return SIGNATURE - sum(differ[1:], differ[0])
+
+
+def with_codes(df: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, codes): the whole shingle sets of nodes (node, low, set_a, set_b), made again from their texts. Only texts
+    whose id some node has are read; few ids are handed to all tasks, many meet the texts in a join."""
+    ids = nodes.select(F.col("low").alias("id")).distinct()
+    ids = F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids.hint("merge")
+    texts = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        doc, code = shingles(texts)
+        cut = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+        return [*(pa.array(x.view(np.int64)) for x in sums(doc, code, len(texts))), pa.ListArray.from_arrays(pa.array(cut), pa.array(code.view(np.int64)))]
+
+    made = per_text(texts, "text", ("id",), "set_a long, set_b long, codes array<long>", make, chars=1_500_000)
+    return made.withColumnRenamed("id", "low").join(nodes, ["low", "set_a", "set_b"]).select("node", "codes").dropDuplicates(["node"])
+
+
+def enough(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b with `both` in common are similar enough."""
+    return (both > 0) & (100 * both >= PERCENT * (a + b - both))
+
+
+def verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose whole sets are similar enough. The sets travel to the pairs in sort-merge joins,
+    which AQE can split where one node has many pairs."""
+    left = codes.select(F.col("node").alias("u"), F.col("codes").alias("a"))
+    right = codes.select(F.col("node").alias("v"), F.col("codes").alias("b"))
+    met = pairs.select("u", "v").join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= PERCENT * max(len(a), len(b)) else 0
+                keep.append(bool(enough(np.int64(both), len(a), len(b))))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.mapInArrow(run, "u long, v long")
+
+
+def blocked(seats: DataFrame) -> DataFrame:
+    """`seats` (key, members, node, ...) with one, other and own: a bucket of more than BLOCK members is cut into blocks,
+    and a seat goes to each pair of blocks (one, other) that holds its own."""
+    n = F.ceil(F.col("members") / BLOCK).cast("int")
+    seats = seats.withColumn("own", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), n - 1)))
+    return seats.withColumn("one", F.least("own", "o")).withColumn("other", F.greatest("own", "o")).drop("o", "members")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of sorted batches as tables with the places where groups begin, and the table's length."""
+    held: list[pa.RecordBatch] = []
+
+    def begins(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        new[:1] = True
+        for c in by:
+            x = t.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    def last(b: pa.RecordBatch, at: int) -> tuple:
+        return tuple(b.column(c)[at].as_py() for c in by)
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and last(held[0], 0) != last(batch, len(batch) - 1):
+            t = pa.Table.from_batches([*held, batch]).combine_chunks()
+            at = begins(t)
+            yield t.slice(0, at[-1]), at
+            held = t.slice(at[-1]).to_batches()
+        else:
+            held.append(batch)
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, np.r_[begins(t), len(t)]
+
+
+def in_groups(seats: DataFrame, run, schema: str) -> DataFrame:
+    """What `run`(table, begins) gives for the groups of `blocked` seats. A group has 2 * BLOCK rows or so at most."""
+    by = ["key", "one", "other"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _groups(batches, by):
+            yield from run(t, at)
+
+    return seats.repartition(*by).sortWithinPartitions(*by).mapInArrow(each, schema)
+
+
+def _pairs_within(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs inside the groups that begin at at[:-1], about PAIRS at a time."""
+    rows = np.arange(at[-1])
+    left = np.repeat(at[1:], np.diff(at)) - rows - 1
+    total = np.r_[0, np.cumsum(left)]
+    start = 0
+    while start < len(rows):
+        end = max(start + 1, int(np.searchsorted(total, total[start] + PAIRS, "right")) - 1)
+        size = left[start:end]
+        i = np.repeat(rows[start:end], size)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+        start = end
+
+
+def candidates(t: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The seats (key, one, other, own, node, c, n, halves, signature) that have a partner of another component in their
+    group whose size and signature allow the similarity. A pair counts in one table only, that of the first half-keys which
+    the two have in common, so that seats don't come back in every table they share."""
+    c, n, own, one, other = (t.column(x).to_numpy() for x in ("c", "n", "own", "one", "other"))
+    halves, signature = (t.column(x).combine_chunks().flatten().to_numpy().reshape(len(t), -1) for x in ("halves", "signature"))
+    table = t.column("key").to_numpy() & (HALVES**2 - 1)
+    kept = np.zeros(len(t), bool)
+    for i, j in _pairs_within(at):
+        fits = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & ((one[i] == other[i]) | (own[i] != own[j]))
+        i, j = i[fits], j[fits]
+        same = halves[i] == halves[j]
+        fits = same[:, :HALVES].argmax(1) * HALVES + same[:, HALVES:].argmax(1) == table[i]
+        i, j = i[fits], j[fits]
+        differ = np.zeros(len(i), np.int64)
+        for k in range(SIGNATURE // 8):
+            differ += np.bitwise_count(((signature[i, k] ^ signature[j, k]) + SIX) & SEVENTH)
+        fits = SIGNATURE - differ >= LEAST_AGREE
+        kept[i[fits]] = kept[j[fits]] = True
+    yield from t.select(["key", "one", "other", "own", "node", "c"]).filter(pa.array(kept)).to_batches()
+
+
+def links_within(t: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(u, v): the components that links inside the groups of seats (..., c, codes) tie together, as stars. Every pair of
+    different components is compared on whole sets, by counting along the members that have each shingle."""
+    c, own, one, other = (t.column(x).to_numpy() for x in ("c", "own", "one", "other"))
+    lists = t.column("codes").combine_chunks()
+    starts, codes = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+    for a, b in zip(at[:-1], at[1:]):
+        size = np.diff(starts[a : b + 1])
+        _, code = np.unique(codes[starts[a] : starts[b]], return_inverse=True)
+        member = np.repeat(np.arange(b - a), size)
+        order = np.argsort(code, kind="stable")
+        holders, place = member[order], np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
+        base = starts[a : b + 1] - starts[a]
+        found_u, found_v = [], []
+        for i in range(b - a - 1):
+            own_codes = code[base[i] : base[i + 1]]
+            first, many = place[own_codes], place[own_codes + 1] - place[own_codes]
+            at_holders = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            both = np.bincount(holders[at_holders], minlength=b - a)[i + 1 :]
+            hit = enough(both, size[i], size[i + 1 :]) & (c[a + i] != c[a + i + 1 : b]) & ((one[a] == other[a]) | (own[a + i] != own[a + i + 1 : b]))
+            near = np.unique(c[a + i + 1 : b][hit])
+            found_u.append(np.full(len(near), c[a + i]))
+            found_v.append(near)
+        if found_u:
+            u, v = local_stars(np.concatenate(found_u), np.concatenate(found_v))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each of `df`: its key, n_shingles, component_id (the smallest key that links reach), kept.
 
-    Equal sets are one representative, found by the two sums of their hashes. A bucket's members are grouped by size, in
-    overlapping classes that any two sets which can be similar enough share, so that what only shares a passage with much
-    longer or shorter texts is not judged by these. First all members of a group are paired with one pivot; groups whose
-    members then still lie in several components are paired with two other pivots, and so on while a round finds a link.
-    The pivots leave few components of many copies. Then the members of all groups that are still mixed are compared without
-    a choice: every pair of different components that sizes, prefixes and signatures allow is verified. A link is not needed
-    where its ends are connected. Null and empty texts have no shingles and link with nothing; null keys link with
-    nothing and have a null component. Other columns are not read; an empty table gives no rows."""
-    spent = []
-
-    def passing(frame: DataFrame, label: str) -> DataFrame:
-        spent.append(staged(frame, label))
-        return spent[-1]
-
-    rows = staged(signed(df, key, text), "minhash-signed")
+    Equal sets are one node, found by the two sums of their hashes; so rows that share a key and not a text are nodes of
+    their own. In the buckets that more than one node has, each node is paired with the bucket's pivot. Of a node's pivots
+    that sizes and signatures allow, the one that agrees best is compared on whole sets: that ties up most copies by a
+    few links. Then no choice is made any more: in every bucket that still holds several components, all members of
+    different components are held against each other by signature, in blocks, and those that may be similar on whole sets.
+    A link is not needed where its ends are connected. What a bucket costs then grows with the square of those members that
+    no link ties together; they are compared in place, and only links leave a block.
+
+    Null and empty texts have no shingles and link with nothing; null keys link with nothing and have a null component.
+    Repeated rows are one node. Other columns are not read; an empty table gives no rows."""
+    scratch = Scratch(df.sparkSession, "minhash")
+    rows = scratch(signed(df, key, text), "signed")
     whole = rows.where("n_shingles > 0 and id is not null")
-    rep = F.min(F.struct("id", "n_shingles", "halves", "signature")).alias("rep")
-    sets = staged(whole.groupBy("set_a", "set_b").agg(rep).select("set_a", "set_b", "rep.*"), "minhash-sets")
-    keys = buckets(sets)
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top").select("key")
-    size_class = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
-    members = keys.join(shared, "key").join(sets.select("id", F.col("n_shingles").alias("n"), F.slice("signature", 1, CARRIED // 8).alias("mark")), "id")
-    members = passing(members.withColumn("size_class", F.explode(F.array(size_class, size_class + 1))), "minhash-members")
-    marks = sets.select("id", "signature")
-    texts = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(members.select("id").distinct().hint("merge"), "id", "left_semi")
-    texts = passing(texts.groupBy("id").agg(F.first("text").alias("text")), "minhash-texts")
-    seats, links, parts, round_no = members.withColumn("c", F.col("id")).withColumn("order", F.col("id")), None, None, 0
-
-    def linked(pairs: DataFrame) -> DataFrame | None:
-        """Those of the pairs that are links, staged; None if there are none."""
-        pairs = pairs.join(marks.select(F.col("id").alias("u"), F.col("signature").alias("su")), "u").join(marks.select(F.col("id").alias("v"), F.col("signature").alias("sv")), "v")
-        pairs = passing(pairs.where(agreeing("su", "sv") >= LEAST_AGREE).select("u", "v"), "minhash-pairs")
-        if pairs.isEmpty():
-            return None
-        needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        found = passing(verified(pairs, texts.join(needed, "id", "left_semi")), "minhash-links")
-        return None if found.isEmpty() else found
-
-    while (found := linked(_stars(seats, 2 if round_no else 1))) is not None:
-        links = found if links is None else links.union(found)
-        parts = staged(connected_components(links), "minhash-parts")
-        seats = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "size_class", "id", "n", "mark", F.coalesce("component", "id").alias("c"))
-        mixed = seats.groupBy("key", "size_class").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "size_class")
-        round_no += 1
-        seats = passing(seats.join(mixed, ["key", "size_class"], "left_semi").withColumn("order", F.xxhash64("id", F.lit(round_no))), "minhash-open")
-    # of the groups that are still mixed, what no pivot has met
-    left = texts.join(seats.select("id").distinct(), "id", "left_semi")
-    left = passing(per_text(left, "text", ("id",), "codes array<long>", _codes, chars=1_500_000), "minhash-codes")
-    found = linked(_prefix_pairs(seats, left))
-    if found is not None:
-        parts = staged(connected_components(found if links is None else links.union(found)), "minhash-parts")
-    for frame in spent:
-        discard(frame)
-    parts = parts if parts is not None else sets.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    named = sets.select("set_a", "set_b", F.col("id").alias("node")).join(parts, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
+    sets = whole.groupBy("set_a", "set_b").agg(F.min("id").alias("low"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("signature").alias("signature"))
+    sets = scratch(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    members = scratch(shared_buckets(buckets(sets)), "members")
+
+    nodes = members.select("node").distinct().join(sets.select("node", "low", "set_a", "set_b"), "node")
+    codes = scratch(with_codes(df, scratch(nodes, "nodes"), key, text), "codes")
+    end = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"s_{name}"))
+    pairs = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    pairs = pairs.join(end("u"), "u").join(end("v"), "v").where(100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
+    pairs = pairs.select("u", "v", agreeing("s_u", "s_v").alias("agree")).where(F.col("agree") >= LEAST_AGREE)
+    best = pairs.groupBy("u").agg(F.max(F.struct("agree", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    links = scratch(verified(best, codes), "links")
+    parts = scratch(connected_components(links), "parts")
+
+    seats = members.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    seats = scratch(seats, "seats")
+    mixed = seats.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
+    seats = seats.join(mixed, "key").join(sets.select("node", "n", "halves", "signature"), "node")
+    seats = blocked(seats)
+    seats = scratch(in_groups(seats, candidates, "key long, one int, other int, own int, node long, c long"), "candidates")
+    found = scratch(in_groups(seats.join(codes.hint("merge"), "node"), links_within, "u long, v long"), "found")
+    parts = connected_components(scratch(found.union(parts.select("node", "component")), "edges"))
+    parts = scratch(parts, "parts")
+
+    low = parts.join(sets.select("node", "set_a", "set_b", "low"), "node")
+    named = low.join(low.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("set_a", "set_b", "component_id")
+    copies = sets.select("set_a", "set_b", "low")
+    named = copies.join(named, ["set_a", "set_b"], "left").select("set_a", "set_b", F.coalesce("component_id", "low").alias("component_id"))
+    scratch.drop("members", "nodes", "codes", "links", "seats", "candidates", "found", "edges")
+    scratch.drop("parts", keep=1)
     out = rows.join(named, ["set_a", "set_b"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id")
+    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     out = out.select(F.col("id").alias(key), "n_shingles", component)
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
