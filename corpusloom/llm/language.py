@@ -18,7 +18,8 @@ from corpusloom.llm.words import numbered
 # documents of each language that the model is fitted on, about: a hash of the id draws them where there are more
 TRAINING_DOCS = 5000
 SMOOTHING = 0.5
-ROUNDS, NEGLIGIBLE, MOST_LANGUAGES = 12, 0.02, 4
+# EM ends when no proportion of a document moves by more than this; the rounds are a guard against endless ones
+SETTLED, ROUNDS = 1e-4, 2000
 UNKNOWN = "und"
 
 
@@ -66,65 +67,102 @@ class Model:
         return np.stack([np.bincount(owner, log[:, k], len(distinct)) for k in range(len(self.languages))], 1), size
 
 
-def _mixture(doc: np.ndarray, log: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the allowed languages in each document and the log-likelihood, by EM over its words. doc: sorted,
-    without gaps; log: words x languages; allowed: documents x languages."""
-    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    n = np.diff(np.r_[starts, len(doc)])[:, None]
-    top = np.where(allowed[doc], log, -np.inf).max(1, keepdims=True)
-    like = np.where(allowed[doc], np.exp(np.maximum(log - top, -700)), 0)
-    share = allowed / allowed.sum(1, keepdims=True)
-    for _ in range(ROUNDS):
-        part = share[doc] * like
-        part /= part.sum(1, keepdims=True)
-        share = np.add.reduceat(part, starts, 0) / n
-    total = np.log(np.maximum((share[doc] * like).sum(1), 1e-300)) + top[:, 0]
-    return share, np.add.reduceat(total, starts)
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts, 0)
 
 
-def infer(texts: pa.Array, model: Model | None) -> tuple[list[str], list[float], list[list[str]], list[list[float]]]:
-    """lang_pred, score, languages and proportions of each text.
+def _starts(doc: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
 
-    EM over all languages ranks them; the sets of the best one, two, ... that hold more than a negligible part are fitted
-    again, and the set with the best likelihood less half a log(words) for each language is kept. The prediction is its
-    largest part, ties to the first by name, and the score that part's proportion. Texts without a letter: `und`, 0."""
+
+def mixture(doc: np.ndarray, like: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of the allowed languages in each document, and its log-likelihood, by EM over its words until they
+    settle. doc: sorted, without gaps; like: words x languages; allowed: documents x languages."""
+    share = allowed / allowed.sum(1, keepdims=True)
+    going = np.arange(len(allowed))
+    at, own = doc, like
+    for _ in range(ROUNDS):
+        starts = _starts(at)
+        part = share[going][at] * own
+        part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
+        after = _sums(part, starts) / np.diff(np.r_[starts, len(at)])[:, None]
+        moving = np.abs(after - share[going]).max(1) > SETTLED
+        share[going] = after
+        if not moving.any():
+            break
+        if not moving.all():
+            words = moving[at]
+            at, own, going = (np.cumsum(moving) - 1)[at[words]], own[words], going[moving]
+    mixed = np.maximum((share[doc] * like).sum(1), 1e-300)
+    return share, _sums(np.log(mixed), _starts(doc))
+
+
+def select(doc: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of the languages of each document (those outside its set: 0), and the log-likelihood. The set begins
+    with the best language by itself and takes in others while the likelihood less half a log(words) for each language
+    grows.
+
+    The likelihood is concave in the proportions, so that its slope in the direction of a language bounds what that can
+    add: only languages whose slope is over the penalty are fitted at all, the steepest first, and nothing is lost."""
+    starts = _starts(doc)
+    n = np.diff(np.r_[starts, len(doc)])
+    top = log.max(1)
+    like = np.exp(np.maximum(log - top[:, None], -700))
+    single = _sums(log, starts)
+    first = single.argmax(1)
+    held = np.arange(log.shape[1]) == first[:, None]
+    share = held.astype(float)
+    best = single.max(1) - _sums(top, starts)
+    penalty = 0.5 * np.log(np.maximum(n, 2))
+    open_to = ~held
+    going = np.arange(len(n))
+    at, own = doc, like
+    while len(going):
+        mixed = np.maximum((share[going][at] * own).sum(1, keepdims=True), 1e-300)
+        slope = _sums(own / mixed, _starts(at)) - n[going, None]
+        slope[~open_to[going]] = -np.inf
+        steepest = slope.argmax(1)
+        hopeful = slope[np.arange(len(going)), steepest] > penalty[going]
+        words = hopeful[at]
+        at, own, going, steepest = (np.cumsum(hopeful) - 1)[at[words]], own[words], going[hopeful], steepest[hopeful]
+        if not len(going):
+            break
+        allowed = held[going].copy()
+        allowed[np.arange(len(going)), steepest] = True
+        fitted, gain = mixture(at, own, allowed)
+        open_to[going, steepest] = False
+        better = gain - penalty[going] > best[going]
+        won = going[better]
+        held[won, steepest[better]], share[won], best[won] = True, fitted[better], gain[better] - penalty[won]
+    return share, _sums(top + np.log(np.maximum((share[doc] * like).sum(1), 1e-300)), starts)
+
+
+def infer(texts: pa.Array, model: Model | None) -> tuple[list[str], list[float], list[list[str]], list[list[float]], list[bool]]:
+    """lang_pred, score, languages, proportions and fits of each text.
+
+    The prediction is the largest part of the text's mixture, ties to the first by name, and the score that part's
+    proportion. fits: whether the mixture explains the letters better than trigrams drawn at random do. Texts without a
+    letter: `und`, 0, no languages, and they don't fit."""
     count = len(texts)
-    pred, score, sets, parts = [UNKNOWN] * count, [0.0] * count, [[] for _ in range(count)], [[] for _ in range(count)]
+    pred, score, sets, parts, fits = [UNKNOWN] * count, [0.0] * count, [[] for _ in range(count)], [[] for _ in range(count)], [False] * count
     if not model or not model.languages or not count:
-        return pred, score, sets, parts
+        return pred, score, sets, parts, fits
     doc, word, distinct = words(texts)
     by_word, size = model.of_words(distinct)
     voiced = size[word] > 0
     doc, word = doc[voiced], word[voiced]
     if not len(doc):
-        return pred, score, sets, parts
+        return pred, score, sets, parts, fits
     present, doc = np.unique(doc, return_inverse=True)
-    log, most = by_word[word], min(MOST_LANGUAGES, len(model.languages))
-    everything = np.ones((len(present), len(model.languages)), bool)
-    share, _ = _mixture(doc, log, everything)
-    order = np.argsort(-share, 1, kind="stable")
-    ranked = np.take_along_axis(share, order, 1)
-    penalty = 0.5 * np.log(np.maximum(np.bincount(doc), 2))
-    best_share, best = np.zeros_like(share), np.full(len(present), -np.inf)
-    for k in range(most):
-        tried = np.flatnonzero((ranked[:, k] > NEGLIGIBLE) | (k == 0))
-        if not len(tried):
-            break
-        allowed = np.zeros((len(tried), share.shape[1]), bool)
-        np.put_along_axis(allowed, order[tried, : k + 1], True, 1)
-        again = np.full(len(present), -1)
-        again[tried] = np.arange(len(tried))
-        rows = again[doc] >= 0
-        fitted, like = _mixture(again[doc[rows]], log[rows], allowed)
-        gain = like - (k + 1) * penalty[tried]
-        better = gain > best[tried]
-        best[tried[better]], best_share[tried[better]] = gain[better], fitted[better]
-    top = best_share.argmax(1)
+    share, like = select(doc, by_word[word])
+    letters_in = np.bincount(doc, size[word])
+    explained = like > -np.log(len(model.codes) + 1) * letters_in
+    top = share.argmax(1)
     for i, d in enumerate(present):
-        pred[d], score[d] = model.languages[top[i]], min(1.0, float(best_share[i, top[i]]))
-        own = [k for k in np.argsort(-best_share[i], kind="stable") if best_share[i, k] > 0]
-        sets[d], parts[d] = [model.languages[k] for k in own], [float(best_share[i, k]) for k in own]
-    return pred, score, sets, parts
+        pred[d], score[d], fits[d] = model.languages[top[i]], min(1.0, float(share[i, top[i]])), bool(explained[i])
+        own = [k for k in np.argsort(-share[i], kind="stable") if share[i, k] > 0]
+        sets[d], parts[d] = [model.languages[k] for k in own], [float(share[i, k]) for k in own]
+    return pred, score, sets, parts, fits
 
 
 def held_out() -> object:
@@ -163,12 +201,13 @@ def fit(docs: DataFrame, training_docs: int = TRAINING_DOCS) -> Model | None:
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """The columns `keep` with lang_pred, score, languages and proportions (both by falling proportion) of each whole
-    text. Null texts and those without a letter: `und`, 0, and empty lists. Other columns are not read."""
+    """The columns `keep` with lang_pred, score, languages and proportions (both by falling proportion), and fits, of each
+    whole text. Null texts and those without a letter: `und`, 0, empty lists, false; so is every text if there is no model.
+    Repeated rows are told each. Other columns are not read."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        pred, score, sets, parts = infer(texts, shared.value)
-        return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))]
+        pred, score, sets, parts, fits = infer(texts, shared.value)
+        return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64())), pa.array(fits, pa.bool_())]
 
-    return per_text(df, text, keep, "lang_pred string, score double, languages array<string>, proportions array<double>", make, chars=1_500_000)
+    return per_text(df, text, keep, "lang_pred string, score double, languages array<string>, proportions array<double>, fits boolean", make, chars=1_500_000)

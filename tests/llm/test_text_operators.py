@@ -1,5 +1,7 @@
 """BPE, language, quality, extraction: per-document operators against brute force and libraries."""
 
+import itertools
+import math
 import random
 from collections import Counter
 
@@ -128,6 +130,41 @@ def test_language_mixtures_and_odd_rows(spark):
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def plain_em(like, langs):
+    """Proportions and log-likelihood by textbook EM, word by word."""
+    share = {k: 1 / len(langs) for k in langs}
+    for _ in range(3000):
+        total = dict.fromkeys(langs, 0.0)
+        for row in like:
+            z = sum(share[k] * row[k] for k in langs)
+            for k in langs:
+                total[k] += share[k] * row[k] / z
+        before, share = share, {k: v / len(like) for k, v in total.items()}
+        if max(abs(share[k] - before[k]) for k in langs) < 1e-6:
+            break
+    return share, sum(math.log(sum(share[k] * row[k] for k in langs)) for row in like)
+
+
+def test_language_sets_against_plain_em_over_all_subsets():
+    rng = np.random.default_rng(2)
+    cases = [(1.0,), (0.7, 0.3), (0.5, 0.3, 0.2), (0.3, 0.2, 0.2, 0.15, 0.15), (0.9, 0.1)]
+    docs, logs, want = [], [], []
+    for d, mix in enumerate(cases):
+        spoken = rng.choice(len(mix), 60, p=mix)
+        log = rng.normal(-9, 1, (60, 5))
+        log[np.arange(60), spoken] += 4
+        docs += [d] * 60
+        logs.append(log)
+        sets = [s for k in range(1, 6) for s in itertools.combinations(range(5), k)]
+        fits = {s: plain_em(np.exp(log), s) for s in sets}
+        best = max(sets, key=lambda s: fits[s][1] - len(s) * 0.5 * math.log(60))
+        want.append((best, fits[best]))
+    share, like = language.select(np.array(docs), np.concatenate(logs))
+    for d, (best, (parts, total)) in enumerate(want):
+        assert tuple(np.flatnonzero(share[d])) == best and abs(like[d] - total) < 0.01
+        assert all(abs(share[d, k] - parts[k]) < 0.005 for k in best)
+
+
 def test_trigram_counts_against_brute_force(spark):
     df = spark.createDataFrame([("x", "Ab ab. c"), ("y", "ab"), ("y", None)], "lang string, text string").selectExpr("1L AS doc_id", "lang", "text")
     model = language.fit(df)
