@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slot i of the schedule draws the golden-ratio point frac(i * phi), held as i * GOLDEN mod 2^32; the point falls into one
-source's interval of the cumulative targets, and the slot's rank among that source's slots names one of its blocks.
-A source's documents, shuffled by a keyed hash, form one stream of words that is cut into blocks of equal length; the
-ranks walk the blocks round after round.
+source's interval of the cumulative weights, and the slot's rank among that source's slots names one of its blocks.
+A source's documents, shuffled by a keyed hash, form one stream of words, which goes round until the target is reached.
+What the mix takes of it, just the target, is cut into as many equal blocks as the source has slots (their lengths differ
+by a word at most), so that no source, however small, gains or loses by whole blocks.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import staged
+from corpusloom.session import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -23,7 +24,8 @@ CELL = 2**22
 SLOT_CHUNK = 2**16
 # of the 32 hash bits by which a source is shuffled, the leading ones that split its stream into pieces
 PIECE_BITS = 12
-SLOTS, LEAST_BLOCK, MOST_BLOCK = 2**18, 16, 4096
+# slots of the whole schedule where that gives a mean block within these words; slots that any source has, about
+SLOTS, LEAST_BLOCK, MOST_BLOCK, LEAST_SLOTS = 2**18, 16, 4096, 64
 
 
 def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -59,39 +61,47 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = MOST_
 
 
 def _intervals(goal: DataFrame) -> DataFrame:
+    """`goal` with words (what the mix takes of the source: its target in whole words), n_slots of the schedule, and the
+    source's interval [lo, hi) of the 2^32 points. A source's weight is its share of the target, but LEAST_SLOTS slots
+    at least; sources without words have no interval.
+
+    The windows over all sources, here and in `targets`, hold one row a source: few, whatever the corpus."""
+    goal = goal.where("target >= 1").withColumn("words", F.floor("target").cast("long"))
+    everything = Window.partitionBy()
+    n = F.greatest(F.ceil(F.sum("words").over(everything) / block_words(F.sum("words").over(everything))), LEAST_SLOTS * F.count("*").over(everything)).cast("long")
+    goal = goal.withColumn("n_slots", n).withColumn("part", F.greatest(F.col("words") / F.sum("words").over(everything), F.lit(1.0) * LEAST_SLOTS / F.col("n_slots")))
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    lo = goal.withColumn("lo", F.floor(before / F.col("total") * SPACE))
-    return lo.withColumn("hi", F.coalesce(F.lead("lo").over(order), F.lit(SPACE))).where("total > 0 and hi > lo")
+    before = F.coalesce(F.sum("part").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    lo = goal.withColumn("lo", F.floor(before / F.sum("part").over(everything) * SPACE))
+    return lo.withColumn("hi", F.coalesce(F.lead("lo").over(order), F.lit(SPACE))).drop("part")
 
 
 def block_words(total) -> object:
-    """Words of a block, so that the schedule has about SLOTS slots where that gives LEAST_BLOCK to MOST_BLOCK words."""
+    """Words of a mean block, so that the schedule has about SLOTS slots where that gives LEAST_BLOCK to MOST_BLOCK words."""
     return F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(total / SLOTS))).cast("long")
 
 
-def schedule(goal: DataFrame, most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """The mix in order: slot, source, epoch, block. Slots beyond a source's last epoch, a few at most where its target
-    is all that it may give, name no block and are left out. No words: no slots."""
+def schedule(goal: DataFrame) -> DataFrame:
+    """The mix in order: slot, source, block (the slot's rank among its source's), start and end. A block is the words
+    [start, end) of the source's stream, which goes round after its last word. No words: no slots."""
     spark = goal.sparkSession
-    total = goal.agg(F.max("total").alias("total")).select("total", block_words(F.col("total")).alias("words"))
-    # one row reaches the driver: how long the schedule is
-    n, words = (lambda r: (0, LEAST_BLOCK) if r["total"] is None else (-(-r["total"] // r["words"]), r["words"]))(total.first())
+    goal = _intervals(goal)
+    # one number reaches the driver: how long the schedule is
+    n = goal.agg(F.max("n_slots").alias("n")).first()["n"] or 0
     slots = spark.range(n).select(F.col("id").alias("slot"), F.pmod(F.col("id") * GOLDEN, F.lit(SPACE)).alias("point"))
     slots = slots.withColumn("cell", F.floor(F.col("point") / CELL))
-    cells = _intervals(goal).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / CELL), F.floor((F.col("hi") - 1) / CELL))))
-    drawn = slots.join(cells, "cell").where("point >= lo and point < hi").select("slot", "source", "source_size", F.floor(F.col("slot") / SLOT_CHUNK).alias("chunk"))
+    cells = goal.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / CELL), F.floor((F.col("hi") - 1) / CELL))))
+    drawn = slots.join(cells, "cell").where("point >= lo and point < hi").select("slot", "source", F.col("words").alias("takes"), F.floor(F.col("slot") / SLOT_CHUNK).alias("chunk"))
     counts = drawn.groupBy("source", "chunk").agg(F.count("*").alias("n"))
-    past = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("source").alias("s"), F.col("chunk").alias("c"), past.alias("past"))
+    by_source = Window.partitionBy("source")
+    past = F.coalesce(F.sum("n").over(by_source.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("source").alias("s"), F.col("chunk").alias("c"), past.alias("past"), F.sum("n").over(by_source).alias("blocks"))
     ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1)
-    ranked = ranked.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).withColumn("rank", F.col("past") + F.col("r"))
-    blocks = F.ceil(F.col("source_size") / words)
-    return (
-        ranked.where(F.col("source_size") > 0)
-        .select("slot", "source", F.floor(F.col("rank") / blocks).alias("epoch"), F.pmod("rank", blocks).alias("block"), F.lit(words).cast("long").alias("words"))
-        .where(F.col("epoch") < most_epochs)
-    )
+    ranked = ranked.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).withColumn("block", F.col("past") + F.col("r"))
+    # the first of the blocks are a word longer than the rest
+    each, longer = F.expr("takes div blocks"), F.expr("takes % blocks")
+    start = lambda b: b * each + F.least(b, longer)
+    return ranked.select("slot", "source", "block", start(F.col("block")).alias("start"), start(F.col("block") + 1).alias("end"), "blocks", "takes")
 
 
 def spans(sizes: DataFrame) -> DataFrame:
@@ -116,20 +126,27 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, most_epochs: i
     documents of their own; between equal ones it is open which is taken more often, the rows as a set are the same.
     An empty table gives no rows.
     """
-    sizes = staged(sized(docs, seed), "mix-sizes")
-    goal = staged(targets(sizes, weights, most_epochs), "mix-goal")
-    plan = schedule(goal, most_epochs)
-    uses = plan.groupBy("source", "block").agg(F.count("*").alias("uses"), F.max("words").alias("w"))
-    words = goal.select(F.col("source").alias("gs"), "source_size", "target", block_words(F.col("total")).alias("words"))
+    scratch = Scratch(docs.sparkSession, "mix")
+    sizes = scratch(sized(docs, seed), "sizes")
+    goal = scratch(targets(sizes, weights, most_epochs), "goal")
+    plan = scratch(schedule(goal), "schedule")
+    cut = plan.groupBy("source").agg(F.max("takes").alias("takes"), F.max("blocks").alias("blocks"))
+    goal = goal.join(cut.withColumnRenamed("source", "cs"), F.col("source").eqNullSafe(F.col("cs")), "left")
+    words = goal.select(F.col("source").alias("gs"), "source_size", "target", F.coalesce("takes", F.lit(0)).alias("takes"), "blocks")
     at = spans(sizes).join(words, F.col("source").eqNullSafe(F.col("gs"))).drop("gs")
-    end = F.col("start") + F.col("size")
-    pieces = at.withColumn("b", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / F.col("words")), F.floor((end - 1) / F.col("words"))))))
-    uses = uses.select(F.col("source").alias("us"), F.col("block").alias("ub"), "uses")
-    met = pieces.join(uses, F.col("source").eqNullSafe(F.col("us")) & (F.col("b") == F.col("ub")), "left")
-    part = F.least(end, (F.col("b") + 1) * F.col("words")) - F.greatest(F.col("start"), F.col("b") * F.col("words"))
+    # a document's words in the stream as it goes round, as far as the target reaches
+    rounds = F.sequence(F.lit(0).cast("long"), F.expr("(takes - 1 - start) div source_size"))
+    at = at.withColumn("round", F.explode_outer(F.when((F.col("size") > 0) & (F.col("start") < F.col("takes")), rounds)))
+    at = at.withColumn("a", F.col("start") + F.col("round") * F.col("source_size")).withColumn("z", F.least(F.col("a") + F.col("size"), F.col("takes")))
+    each, longer = "(takes div blocks)", "(takes % blocks)"
+    block = lambda x: F.expr(f"CASE WHEN {x} < {longer} * ({each} + 1) THEN {x} div ({each} + 1) ELSE {longer} + ({x} - {longer} * ({each} + 1)) div {each} END")
+    pieces = at.withColumn("b", F.explode_outer(F.sequence(block("a"), block("(z - 1)"))))
+    slots = plan.select(F.col("source").alias("us"), F.col("block").alias("ub"), F.col("start").alias("us0"), F.col("end").alias("us1"))
+    met = pieces.join(slots, F.col("source").eqNullSafe(F.col("us")) & (F.col("b") == F.col("ub")), "left")
+    part = F.least("z", "us1") - F.greatest("a", "us0")
     return (
         met.groupBy("source", "piece", "seat", "doc_id", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum(part * F.coalesce("uses", F.lit(0))), F.lit(0)).alias("taken"))
+        .agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"))
         .select("doc_id", "source", "size", "source_size", "target", "taken")
     )
 

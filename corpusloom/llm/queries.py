@@ -148,15 +148,20 @@ g1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 W
 g2 AS (SELECT *, row_number() OVER f AS pos, total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS l,
               sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS heavy FROM g1 WINDOW f AS (ORDER BY cap / w, source NULLS LAST)),
 g3 AS (SELECT *, (SELECT arg_min(l::DOUBLE / heavy, pos) FROM g2 WHERE l * w <= cap * heavy) AS level FROM g2),
-goal AS (SELECT source, source_size, total, least(cap::DOUBLE, level * w) AS target, greatest(16, least(4096, ceil(total / 262144.0)))::BIGINT AS words FROM g3),
-lo AS (SELECT *, floor(coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) / total * 4294967296)::BIGINT AS lo FROM goal),
-iv AS (SELECT *, coalesce(lead(lo) OVER (ORDER BY source NULLS LAST), 4294967296) AS hi, ceil(source_size / words)::BIGINT AS blocks FROM lo),
-slots AS (SELECT i, (i * 2654435769) % 4294967296 AS x FROM range((SELECT ceil(max(total) / max(words))::BIGINT FROM goal)) AS t(i)),
-drawn AS (SELECT iv.source, blocks, row_number() OVER (PARTITION BY iv.source ORDER BY i) - 1 AS r FROM slots JOIN iv ON x >= lo AND x < hi WHERE source_size > 0),
-uses AS (SELECT source, r % blocks AS b, count(*) AS uses FROM drawn WHERE r // blocks < 3 GROUP BY ALL),
-placed AS (SELECT s.*, goal.source_size, goal.target, words, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s JOIN goal ON s.source IS NOT DISTINCT FROM goal.source),
-cut AS (SELECT doc_id, source, b, least(start + size, (b + 1) * words) - greatest(start, b * words) AS part FROM (SELECT *, unnest(range(start // words, (start + size - 1) // words + 1)) AS b FROM placed WHERE size > 0)),
-got AS (SELECT doc_id, sum(part * uses)::BIGINT AS taken FROM cut JOIN uses ON cut.b = uses.b AND cut.source IS NOT DISTINCT FROM uses.source GROUP BY doc_id)
+goal AS (SELECT source, source_size, least(cap::DOUBLE, level * w) AS target FROM g3),
+w0 AS (SELECT *, floor(target)::BIGINT AS takes FROM goal WHERE target >= 1),
+w1 AS (SELECT *, greatest(ceil(sum(takes) OVER () / greatest(16, least(4096, ceil(sum(takes) OVER () / 262144.0)))), 64 * count(*) OVER ())::BIGINT AS n FROM w0),
+w2 AS (SELECT *, greatest(takes / (sum(takes) OVER ()), 64.0::DOUBLE / n) AS part FROM w1),
+lo AS (SELECT *, floor(coalesce(sum(part) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) / (sum(part) OVER ()) * 4294967296)::BIGINT AS lo FROM w2),
+iv AS (SELECT *, coalesce(lead(lo) OVER (ORDER BY source NULLS LAST), 4294967296) AS hi FROM lo),
+slots AS (SELECT i, (i * 2654435769) % 4294967296 AS x FROM range((SELECT max(n) FROM iv)) AS t(i)),
+drawn AS (SELECT iv.source, takes, row_number() OVER (PARTITION BY iv.source ORDER BY i) - 1 AS b, count(*) OVER (PARTITION BY iv.source) AS k FROM slots JOIN iv ON x >= lo AND x < hi),
+blocks AS (SELECT source, b, b * (takes // k) + least(b, takes % k) AS s0, (b + 1) * (takes // k) + least(b + 1, takes % k) AS s1 FROM drawn),
+cuts AS (SELECT DISTINCT source, takes, takes // k AS q, takes % k AS m FROM drawn),
+placed AS (SELECT s.*, goal.source_size, goal.target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s JOIN goal ON s.source IS NOT DISTINCT FROM goal.source),
+turns AS (SELECT doc_id, placed.source, q, m, start + e * source_size AS a, least(start + e * source_size + size, takes) AS z FROM placed JOIN cuts ON placed.source IS NOT DISTINCT FROM cuts.source, range(3) AS t(e) WHERE size > 0 AND start + e * source_size < takes),
+cut AS (SELECT doc_id, source, a, z, unnest(range(CASE WHEN a < m * (q + 1) THEN a // (q + 1) ELSE m + (a - m * (q + 1)) // q END, 1 + CASE WHEN z - 1 < m * (q + 1) THEN (z - 1) // (q + 1) ELSE m + (z - 1 - m * (q + 1)) // q END)) AS b FROM turns),
+got AS (SELECT doc_id, sum(least(z, s1) - greatest(a, s0))::BIGINT AS taken FROM cut JOIN blocks ON cut.b = blocks.b AND cut.source IS NOT DISTINCT FROM blocks.source GROUP BY doc_id)
 SELECT placed.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (doc_id)
 """,
 }

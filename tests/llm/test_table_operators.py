@@ -148,11 +148,33 @@ def test_mixing_contract(spark):
     free = [s for s in size if s not in capped]
     level = {round(goal[s] / weights[s], 6) for s in free}
     assert len(level) == 1 and all(3 * size[s] <= level.copy().pop() * weights[s] + 1e-6 for s in capped)
-    assert all(abs(took[s] - goal[s]) <= 3 * mixing.LEAST_BLOCK for s in size)
+    assert all(0 <= goal[s] - took[s] < 1 for s in size)
     assert mixing.mix(df.limit(0)).count() == 0
     assert mixing.mix(df.where("text is null")).count() == 2
 
 
+def test_mixing_tiny_sources_beside_a_hot_one(spark):
+    rows = [(i, "w " * 5000, "hot", 0) for i in range(80)] + [(1000 + i, "w " * (1 + i % 7), f"tiny{i % 40:02}", 0) for i in range(120)] + [(2000, "w " * 400_000, "long", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken int")
+    out = mixing.mix(df).collect()
+    took, goal, size = {}, {}, {}
+    for r in out:
+        took[r["source"]] = took.get(r["source"], 0) + r["taken"]
+        goal[r["source"]], size[r["source"]] = r["target"], r["source_size"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(0 <= goal[s] - took[s] < 1 and goal[s] <= 3 * size[s] for s in goal) and sum(s.startswith("tiny") for s in goal) == 40
+    goals = mixing.targets(mixing.sized(df))
+    slots = mixing.schedule(goals).collect()
+    held = {}
+    for r in sorted(slots, key=lambda r: r["slot"]):
+        own = held.setdefault(r["source"], [])
+        assert r["block"] == len(own) and r["start"] == (own[-1]["end"] if own else 0)
+        own.append(r)
+    for s, own in held.items():
+        lengths = {r["end"] - r["start"] for r in own}
+        assert own[-1]["end"] == int(goal[s]) and max(lengths) - min(lengths) <= 1 and len(own) >= mixing.LEAST_SLOTS // 2
+
+
 def brute_links(sets):
     ids = sorted(sets)
     root = {i: i for i in ids}
