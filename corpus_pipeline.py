@@ -13,8 +13,6 @@ from corpusloom.llm import bpe, language, minhash, mixing, quality
 from corpusloom.llm.queries import vocabulary
 from corpusloom.session import staged, table
 
-# a document goes if no language holds this much of its words
-LEAST_SCORE = 0.5
 # SQL has no expression for mixture inference or suffix arrays; tests hold the stages against brute force
 ORACLE_SQL = None
 
@@ -25,16 +23,19 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that holds LEAST_SCORE of the words, go. Where no document has
-    a label there is no model, and nothing goes."""
+    """Documents without a letter go, and those whose letters the best mixture of the learned languages explains no better
+    than trigrams drawn at random: they are in none of these languages. Texts in several languages stay. Where no document
+    has a label there is no model, and nothing goes."""
     model = language.fit(docs)
     if model is None:
         return docs
     told = language.identify(_packed(docs), model, keep=("__row",))
-    return told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("__row.*")
+    return told.where("fits").select("__row.*")
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go: too few words, too many repeated ones, or too long a repeat. Null texts
+    have no words."""
     return quality.judged(quality.measured(_packed(docs), keep=("__row",))).where("kept").select("__row.*")
 
 
@@ -51,6 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes its words, to the nearest whole number; rows that it doesn't take go."""
     return mixing.repeated(docs).select(*docs.columns)
 
 
@@ -64,6 +66,7 @@ STAGES = [("language", identify_language), ("quality", apply_quality_rules), ("n
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the whole of documents, each on what the one before it kept."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
