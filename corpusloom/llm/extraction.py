@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from corpusloom.llm.arrow import per_text
 
-SHORT, LONG, MOST_LINKS, STOP_DENSITY = 70, 200, 0.2, 0.2
+SHORT, LONG, MOST_LINKS, STOP_DENSITY, KNOWN_DENSITY = 70, 200, 0.2, 0.2, 0.05
 
 # fixed values: frequent function words
 STOP_WORDS = frozenset(
@@ -34,9 +34,13 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus dialog
     footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted
-    recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo""".split()
+    sidebar signup sponsor sponsored subscribe subscription toolbar complementary contentinfo""".split()
 )
+# fixed values: words that articles use as well; what they mark has to read like prose to be article text
+WEAK_HINTS = frozenset("recommended related search share sharing skip social widget".split())
 NOT_HINTED = frozenset("html body main article".split())
+# elements that hold a piece of text rather than a part of the page: only a whole name, not a part of one, marks them
+PIECES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption summary".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -44,34 +48,49 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|d
 OPPOSITE = re.compile(r"^(?:has|no|with|without|is)[-_]")
 
 
-def _outside(tag: str, attributes: str) -> bool:
-    """Whether an element holds no article text, by its tag or by what its class, id and role say."""
+def _outside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element holds no article text, by its tag or by what its class, id and role say, and whether a weak hint
+    speaks against it."""
     if tag in OUTSIDE:
-        return True
+        return True, False
     if not attributes or tag in NOT_HINTED:
-        return bool(attributes) and tag == "article" and "comment" in attributes.lower()
+        return bool(attributes) and tag == "article" and "comment" in attributes.lower(), False
+    weak = False
     for m in NAMED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
-            if not OPPOSITE.match(name) and not HINTS.isdisjoint(re.split(r"[-_]", name)):
-                return True
-    return "hidden" in attributes.lower() and bool(HIDDEN.search(attributes)) or "display" in attributes and bool(HIDDEN.search(attributes))
+            if OPPOSITE.match(name):
+                continue
+            parts = (name,) if tag in PIECES else re.split(r"[-_]", name)
+            if not HINTS.isdisjoint(parts):
+                return True, False
+            weak = weak or not WEAK_HINTS.isdisjoint(parts)
+    low = attributes.lower()
+    return ("hidden" in low or "display" in low) and bool(HIDDEN.search(attributes)), weak
 
 
 class Block:
-    __slots__ = ("text", "linked", "outside", "inside", "heading")
+    __slots__ = ("text", "linked", "outside", "weak", "inside", "heading")
+
+    def __init__(self, text: str, linked: int, outside: bool, weak: bool, inside: bool, heading: bool):
+        self.text, self.linked, self.outside, self.weak, self.inside, self.heading = text, linked, outside, weak, inside, heading
+
+    def stop_words(self) -> tuple[int, int]:
+        """How many of the block's words are stop words, and how many words it has."""
+        words = [w.strip(".,;:!?\"'()[]*#$%&|<>«»„“”").lower() for w in self.text.split()]
+        return sum(map(STOP_WORDS.__contains__, words)), len(words)
 
-    def __init__(self, text: str, linked: int, outside: bool, inside: bool, heading: bool):
-        self.text, self.linked, self.outside, self.inside, self.heading = text, linked, outside, inside, heading
+    def plain(self) -> bool:
+        return not self.outside and self.linked <= MOST_LINKS * len(self.text)
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks that hold text, in order. outside: in a container outside the article; inside: in <article> or
-    <main>. An unclosed container ends where an element round it does, or where the page's first article begins."""
+    """The page's blocks that hold text, in order. outside: in a container outside the article; weak: in one with a weak hint
+    of that; inside: in <article> or <main>. An unclosed container ends where an element round it does, or where the page's first article begins."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, outside, in an article) of the open elements
+    stack: list[tuple[str, bool, bool, bool]] = []  # (tag, outside, weakly so, in an article) of the open elements
     texts: list[str] = []
     linked = links = at = 0
-    heading = outside = inside = False
+    heading = outside = weak = inside = False
 
     def flush() -> None:
         nonlocal linked, heading
@@ -79,7 +98,7 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(texts)
             text = " ".join((references.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, linked, outside, inside, heading))
+                out.append(Block(text, linked, outside, weak, inside, heading))
             texts.clear()
         linked, heading = 0, False
 
@@ -113,8 +132,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "a":
             links = 0 if closing else 1
-        if tag in INLINE and (closing or not attributes or not _outside(tag, attributes)):
-            if not any(tag == t for t, _, _ in stack[-1:]) or not closing:
+        if tag in INLINE and (closing or not attributes or not any(_outside(tag, attributes))):
+            if not any(tag == t for t, *_ in stack[-1:]) or not closing:
                 continue
         flush()
         if closing:
@@ -127,9 +146,11 @@ def blocks(page: str) -> list[Block]:
             first = tag in ("article", "main") and not inside
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            base = False if first and not any(t in OUTSIDE for t, _, _ in stack) else bool(stack) and stack[-1][1]
-            stack.append((tag, base or _outside(tag, attributes), inside or first))
-        outside, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            fresh = first and not any(t in OUTSIDE for t, *_ in stack)
+            base, hinted = (False, False) if fresh or not stack else stack[-1][1:3]
+            own = _outside(tag, attributes)
+            stack.append((tag, base or own[0], hinted or own[1], inside or first))
+        outside, weak, inside = stack[-1][1:] if stack else (False, False, False)
         heading = tag in HEADINGS and not closing
     if at < len(page):
         add(page[at:])
@@ -137,19 +158,26 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block) -> str:
-    """good or bad if decided; near (reads like prose) or short if not."""
+def known_language(parts: list[Block]) -> bool:
+    """Whether the stop words are of use on this page: some of the words of its longer plain blocks are among them. On a page
+    without such blocks there is nothing to be told by."""
+    counts = [b.stop_words() for b in parts if b.plain() and len(b.text) >= SHORT]
+    return not counts or sum(s for s, _ in counts) >= KNOWN_DENSITY * sum(n for _, n in counts)
+
+
+def first_pass(block: Block, known: bool = True) -> str:
+    """good or bad if decided; near (reads like prose) or short if not. On a page in a language without stop words here,
+    length and links decide alone."""
     n = len(block.text)
-    if block.outside or block.linked > MOST_LINKS * n:
+    if not block.plain():
         return "bad"
     if n < SHORT:
-        return "short"
-    words = [w.strip(".,;:!?\"'()[]*#$%&|<>«»„“”").lower() for w in block.text.split()]
-    dense = sum(map(STOP_WORDS.__contains__, words)) >= STOP_DENSITY * len(words)
-    if dense:
+        return "bad" if block.weak else "short"
+    found, words = block.stop_words()
+    if not known or found >= STOP_DENSITY * words:
         return "good" if n > LONG else "near"
     # without stop words only the place tells an odd article from boilerplate
-    return "short" if block.inside else "bad"
+    return "short" if block.inside and not block.weak else "bad"
 
 
 def second_pass(parts: list[Block], labels: list[str]) -> list[bool]:
@@ -184,7 +212,8 @@ def second_pass(parts: list[Block], labels: list[str]) -> list[bool]:
 
 def main_text(page: str) -> str:
     parts = blocks(page)
-    kept = second_pass(parts, [first_pass(b) for b in parts])
+    known = known_language(parts)
+    kept = second_pass(parts, [first_pass(b, known) for b in parts])
     return "\n\n".join(b.text for b, k in zip(parts, kept) if k)
 
 

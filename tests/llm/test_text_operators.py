@@ -200,6 +200,26 @@ def test_extraction():
     assert extraction.main_text(f"<body><p>{long_text}</p>") == long_text.strip()
 
 
+def test_extraction_in_other_languages():
+    """Pages of two long paragraphs in languages without stop words here keep both, and only both."""
+    texts = {
+        "ru": ["Весной река поднялась выше обычного, и старый мост пришлось закрыть на несколько недель. ", "Рабочие привезли новые балки, а жители соседних деревень переправлялись на лодках. "],
+        "it": ["Quando arrivarono sulla collina videro finalmente tutta quella valle coperta dalla neve appena caduta. ", "Nessuno parlava, perché ciascuno ricordava quanto fosse stato faticoso salire fino lassù. "],
+        "zh": ["春天河水上涨，旧桥不得不关闭了几个星期，附近村庄的居民只能乘船过河。", "工人们运来了新的横梁，孩子们每天放学以后都跑到岸边观看施工的进展。"],
+        "en": ["When the river rose in the spring the old bridge had to be closed for some weeks. ", "The workers brought new beams and the people of the villages crossed in boats. "],
+    }
+    for parts in texts.values():
+        parts = [(p * 6).strip() for p in parts]
+        page = f"<html><body><div class='menu'><a href=/>x</a></div><div>{parts[0]}</div><div>{parts[1]}</div><div><a href=/a>{parts[0]}</a></div></body></html>"
+        assert extraction.main_text(page) == "\n\n".join(parts)
+
+
+def test_extraction_keeps_article_text_with_hinting_names():
+    one, two = ("It was the best of times and it was the worst of times for all of the people that were in the city. " * 4).strip(), "This is the second of the paragraphs, and it is as long as it has to be for the rules of the first pass."
+    page = f'<article><p id="share-prices">{one}</p><section class="social"><p>{two}</p></section><div class="share">Share this</div><div class="cookie-notice">{two}</div><p class="ad">{two}</p></article>'
+    assert extraction.main_text(page) == f"{one}\n\n{two}"
+
+
 def test_extraction_table(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (1, "u", PAGE, 2), (None, None, "", 3)], "page_id long, url string, html string, n_chars long")
     out = extraction.extract(df)
