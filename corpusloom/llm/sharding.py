@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import staged
+from corpusloom.session import Scratch, staged
 
 # hash bits that the directory may use, and how many levels one pass over the bytes adds
 MOST_BITS, PASS_BITS = 60, 12
@@ -93,11 +93,34 @@ def assign_shards(df: DataFrame, key: str = "doc_id", payload: str = "text", lim
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", payload: str = "text", limit_bytes: int = LIMIT_BYTES) -> DataFrame:
-    """Write every row of `df` under `path`, a folder `shard_id=<bits>` for each shard; returns the assignment.
+    """Write every row of `df` under `path`, a folder `shard_id=<name>` for each shard; returns the assignment.
 
-    A key belongs to one shard unless it is over the limit by itself; rows of such a key go by their payload's hash."""
-    plan = staged(assign_shards(df, key, payload, limit_bytes), "shard-plan")
-    seat = plan.select(F.col(key).alias("__key"), F.col("bytes").alias("__bytes"), F.concat(F.lit("b"), F.regexp_replace("shard", "[+].*", "")).alias("shard_id")).distinct()
-    size = F.coalesce(F.octet_length(payload), F.lit(0)).cast("long")
-    df.join(seat, df[key].eqNullSafe(seat["__key"]) & (size == seat["__bytes"])).drop("__key", "__bytes").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    The name is the shard's, with a letter before it. Rows of a key that is over the limit by itself have several shards: a
+    row finds its own by the hash of its payload, and among equal rows by number (a column shard_id of `df` is left out). So no folder holds more than the limit,
+    but for single rows over it, and no key is one task: rows are dealt out by shard."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    scratch = Scratch(df.sparkSession, "shards")
+    plan = scratch(assign_shards(df, key, payload, limit_bytes), "plan")
+    names = plan.select(F.col(key).alias("__key"), F.col("bytes").alias("__bytes"), F.col("shard").alias("__shard"))
+    whole = names.where("not contains(__shard, '+')").select("__key", "__shard").distinct()
+    split_up = names.where("contains(__shard, '+')")
+    rows = df.select(F.struct(*(c for c in df.columns if c != "shard_id")).alias("__row"), F.col(key).alias("__k"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("__size"), hash60(text(payload)).alias("__h"))
+    plain = rows.join(whole, rows["__k"].eqNullSafe(whole["__key"])).drop("__key")
+    # the bits of a payload's hash begin with those of its shard; a shard with a number holds equal rows only
+    mine = split_up.select("__key", "__bytes", "__shard", F.regexp_extract("__shard", r"[+]([01]*)", 1).alias("__bits"), F.coalesce(F.regexp_extract("__shard", r"#(\d+)$", 1).try_cast("long"), F.lit(-1)).alias("__part")).distinct()
+    hot = rows.join(split_up.select("__key").distinct(), rows["__k"].eqNullSafe(F.col("__key"))).drop("__key").withColumn("__hash", _bits(F.col("__h"), F.lit(MOST_BITS)))
+    # the number of a row among the rows of its payload, counted task by task and then over the tasks
+    hot = scratch(hot.withColumns({"__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "hot")
+    within = Window.partitionBy("__k", "__hash", "__size", "__task").orderBy("__at")
+    counts = hot.groupBy("__k", "__hash", "__size", "__task").agg(F.count("*").alias("__n"))
+    past = F.coalesce(F.sum("__n").over(Window.partitionBy("__k", "__hash", "__size").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("__k").alias("__k2"), F.col("__hash").alias("__h2"), F.col("__size").alias("__s2"), F.col("__task").alias("__t2"), past.alias("__past"))
+    numbered = hot.withColumn("__i", F.row_number().over(within) - 1).join(counts, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__hash") == F.col("__h2")) & (F.col("__size") == F.col("__s2")) & (F.col("__task") == F.col("__t2")))
+    each = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.greatest("__size", F.lit(1)))).cast("long")
+    numbered = numbered.withColumn("__place", F.floor((F.col("__past") + F.col("__i")) / each))
+    fits = F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__size") == F.col("__bytes")) & F.col("__hash").startswith(F.col("__bits")) & F.col("__part").isin(-1, F.col("__place"))
+    dealt = numbered.join(mine, fits)
+    out = [x.select("__row.*", F.concat(F.lit("b"), F.translate("__shard", "+#", "-n")).alias("shard_id")) for x in (plain, dealt)]
+    out[0].union(out[1]).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    scratch.drop("hot")
     return plan

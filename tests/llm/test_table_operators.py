@@ -95,7 +95,20 @@ def test_sharding_hot_keys(spark, tmp_path):
     assert all(sum(v) <= 40 or len(v) == 1 for v in held.values())
     assert sharding.assign_shards(df.limit(0)).count() == 0
     sharding.write_shards(df, f"{tmp_path}/shards", limit_bytes=40)
-    assert spark.read.parquet(f"{tmp_path}/shards").count() == len(rows)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.count() == len(rows) and sorted(map(str, ((r["doc_id"], r["text"]) for r in back.collect()))) == sorted(map(str, rows))
+    folders = {}
+    for r in back.collect():
+        folders.setdefault(str(r["shard_id"]), []).append(len((r["text"] or "").encode()))
+    assert all(sum(v) <= 40 or len(v) == 1 for v in folders.values()) and len(folders) == len(held)
+
+
+def test_sharding_long_texts(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a" * 2_000_000), (1, "b" * 2_000_000), (2, "c")], "doc_id long, text string")
+    out = sharding.assign_shards(df).collect()
+    assert sorted(r["bytes"] for r in out) == [1, 2_000_000, 2_000_000] and len({r["shard"] for r in out if r["bytes"] > 1}) == 2
+    sharding.write_shards(df, f"{tmp_path}/s")
+    assert spark.read.parquet(f"{tmp_path}/s").count() == 3
 
 
 def test_url_rules_and_aliases(spark):
