@@ -2,11 +2,13 @@
 
 Every vector queries the graph of every shard. Graphs are built and searched for many vectors at once in numpy: a round
 expands the best few open entries of each query's beam. Beams widen where they are full of links, and for a whole block
-of queries until an audit against exact search passes.
+of queries until an audit against exact search passes. Links are counted and contracted to stars where they are found:
+what leaves a block grows with its vectors, not with their pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,14 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.components import connected_components
+from corpusloom.operators.components import connected_components, local_stars
 from corpusloom.session import staged
 
 COSINE = 0.9
 # links of a node above and in the ground layer, beam while building, first beam of a query, beam entries per round
 LINKS, GROUND_LINKS, BUILD_BEAM, BEAM, WIDTH = 16, 32, 48, 24, 4
-# a shard's vectors at most, shards at least, vectors of a query block, and every which query is audited to what recall
-SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS, AUDIT_EVERY, AUDIT_RECALL = 100_000, 8, 25_000, 16, 0.99
+# a shard's bytes of 32-bit floats at most, the vectors up to which there are fewer than EVEN_SHARDS of them, vectors of a
+# query block, queries of each block that are audited in each shard, and the recall to reach
+SHARD_BYTES, SMALL_SHARD, EVEN_SHARDS, BLOCK_ROWS, AUDITED, AUDIT_RECALL = 25_600_000, 16_384, 8, 25_000, 256, 0.99
+# beams that would hold more than this part of the shard are an exact search of it
+WIDEST = 1 / 32
 CHUNK, FIRST, GROWTH = 1024, 1024, 2048
 SLACK = 1e-5
 
@@ -169,40 +174,53 @@ def build(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, list[np.ndarr
     return order, layers
 
 
-def _widening(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, size: int, least: float) -> list[np.ndarray]:
-    """For each query, the nodes at `least` or nearer that beam search finds; beams full of them are doubled."""
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
-    entry = descend(vectors, layers[:-1], queries)
-    going = np.arange(len(queries))
+def exact(vectors: np.ndarray, queries: np.ndarray, rows: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, node) of all pairs of the queries `rows` with a node at `least` or nearer, some queries at a time."""
+    step = max(1, 16_000_000 // max(len(vectors), 1))
+    for k in range(0, len(rows), step):
+        i, j = np.nonzero(queries[rows[k : k + step]] @ vectors.T >= least)
+        yield rows[k + i], j
+
+
+def _widening(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, rows: np.ndarray, size: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, node) of the pairs at `least` or nearer that beam search finds, some queries at a time. Queries whose beams are
+    full of such nodes search again with beams twice as wide, and at last the whole shard."""
+    entry = np.zeros(len(queries), np.int64)
+    entry[rows] = descend(vectors, layers[:-1], queries[rows])
+    going = rows
     while len(going):
+        if size > WIDEST * len(vectors):
+            yield from exact(vectors, queries, going, least)
+            return
         again = []
-        step = max(32, CHUNK * BEAM // max(size, BEAM))
+        step = max(32, CHUNK * BEAM // size)
         for k in range(0, len(going), step):
             part = going[k : k + step]
             ids, sims = beam(vectors, layers[-1], queries[part], entry[part], size)
-            for row, i, s in zip(part, ids, sims):
-                hit = s >= least
-                out[row] = i[hit]
-                if hit.all() and ids.shape[1] < len(vectors):
-                    again.append(row)
-        going, size = np.array(again, np.int64), size * 2
-    return out
-
-
-def search(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, least: float) -> tuple[list[np.ndarray], int]:
-    """(nodes of each query, beam). Of the queries every AUDIT_EVERY-th is also searched exactly; while the share of its
-    links that the beams found is under AUDIT_RECALL, all beams are doubled, at last to the whole shard."""
-    size, audit = BEAM, np.arange(0, len(queries), AUDIT_EVERY)
-    exact = []
-    for k in range(0, len(audit), 256):
-        exact += [np.flatnonzero(x >= least) for x in queries[audit[k : k + 256]] @ vectors.T]
-    wanted = sum(map(len, exact))
+            hit = sims >= least
+            full = hit.all(1)
+            again.append(part[full])
+            hit[full] = False
+            i, j = np.nonzero(hit)
+            yield part[i], ids[i, j]
+        going, size = np.concatenate(again), size * 2
+
+
+def search(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, least: float, reached: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, node) of the pairs of a query with a node at `least` or nearer, some at a time. AUDITED queries, evenly spread,
+    are searched exactly first; while beams find less than AUDIT_RECALL of their pairs, all beams are doubled. `reached`
+    gets the pairs that the audit wanted and those that the beams found."""
+    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(np.int64))
+    code = lambda pairs: np.concatenate([np.empty(0, np.int64), *(i * len(vectors) + j for i, j in pairs)])
+    wanted, size = code(exact(vectors, queries, audit, least)), BEAM
     while True:
-        found = _widening(vectors, layers, queries, size, least)
-        met = sum(len(np.intersect1d(found[a], e, assume_unique=True)) for a, e in zip(audit, exact))
-        if met >= AUDIT_RECALL * wanted or size >= len(vectors):
-            return found, size
+        met = len(np.intersect1d(code(_widening(vectors, layers, queries, audit, size, least)), wanted))
+        if met >= AUDIT_RECALL * len(wanted) or size > len(vectors):
+            break
         size *= 2
+    if reached is not None:
+        reached += [len(wanted), met]
+    yield from _widening(vectors, layers, queries, np.arange(len(queries)), size, least)
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -216,43 +234,60 @@ def usable(c: str) -> object:
     return F.coalesce(F.forall(c, fine) & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
+FOUND = "id {kind}, linked long, u {kind}, v {kind}, wanted long, met long"
+
+
 def linked(reps: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(u, v) with u > v, the pairs of distinct vectors (id, vec) that are found with a cosine of `cosine` or more in double
-    precision. Vectors of different lengths are never compared. The only thing asked of the driver is a count."""
-    n = reps.count()
-    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(2, -(-n // BLOCK_ROWS))
-    placed = reps.select("id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
+    """What the pairs of distinct vectors (id, vec, copies) with a cosine of `cosine` or more, in double precision, come down
+    to, a block of queries and a shard at a time: rows with id and linked, the copies of other vectors linked with it; rows
+    with u > v, stars of the links; and a row with the pairs that the audit wanted and met. Vectors of different lengths
+    are never compared. Only a count and the largest length are asked of the driver."""
+    told = reps.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    n, dim = told["n"], told["dim"] or 1
+    shards, blocks = max(-(-n * 4 * dim // SHARD_BYTES), min(EVEN_SHARDS, -(-n // SMALL_SHARD)), 1), max(2, -(-n // BLOCK_ROWS))
+    placed = reps.select("id", "vec", "copies", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
     kind = reps.schema["id"].dataType.simpleString()
+    exactly = np.float32 if reps.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64
 
     def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        raw = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-        order, layers = build(_unit(raw).astype(np.float32))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "ids": [rows["id"].to_numpy()[order]], "vectors": [raw[order].tobytes()], "layers": [[x.tobytes() for x in layers]]})
+        raw = np.stack(rows["vec"].to_numpy()).astype(exactly)
+        order, layers = build(_unit(raw.astype(np.float64)).astype(np.float32))
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "ids": [rows["id"].to_numpy()[order]], "copies": [rows["copies"].to_numpy()[order]], "vectors": [raw[order].tobytes()], "layers": [[x.tobytes() for x in layers]]})
 
-    graphs = placed.groupBy("dim", "shard").applyInPandas(make, f"dim int, shard int, ids array<{kind}>, vectors binary, layers array<binary>")
+    graphs = placed.groupBy("dim", "shard").applyInPandas(make, f"dim int, shard int, ids array<{kind}>, copies array<long>, vectors binary, layers array<binary>")
     graphs = staged(graphs, "hnsw-graphs")
 
     def ask(key: tuple, queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        columns = ["id", "linked", "u", "v", "wanted", "met"]
         if not len(queries) or not len(graph):
-            return pd.DataFrame({"u": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64")})
+            return pd.DataFrame({c: pd.Series([], dtype="Int64") for c in columns})
         row = graph.iloc[0]
-        names = np.asarray(row["ids"])
-        full = _unit(np.frombuffer(row["vectors"]).reshape(len(names), -1))
+        names, copies = np.asarray(row["ids"]), np.asarray(row["copies"])
+        full = _unit(np.frombuffer(row["vectors"], exactly).reshape(len(names), -1).astype(np.float64))
         layers = [np.frombuffer(x, np.int32).reshape(-1, GROUND_LINKS if k == len(row["layers"]) - 1 else LINKS) for k, x in enumerate(row["layers"])]
         queries = queries.sort_values("id", kind="stable")
         own, asked = queries["id"].to_numpy(), _unit(np.stack(queries["vec"].to_numpy()).astype(np.float64))
-        found, _ = search(full.astype(np.float32), layers, asked.astype(np.float32), cosine - SLACK)
-        q, node = np.repeat(np.arange(len(own)), [len(x) for x in found]), np.concatenate(found)
-        keep = [np.einsum("ij,ij->i", asked[q[k : k + 65536]], full[node[k : k + 65536]]) >= cosine for k in range(0, len(q), 65536)]
-        q, node = (x[np.concatenate(keep)] for x in (q, node)) if keep else (q, node)
-        a, b = own[q], names[node]
-        return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})[a != b]
+        degree, stars, size, audit = np.zeros(len(own), np.int64), [], 0, []
+        for q, node in search(full.astype(np.float32), layers, asked.astype(np.float32), cosine - SLACK, audit):
+            keep = np.concatenate([np.empty(0, bool), *(np.einsum("ij,ij->i", asked[q[k : k + 65536]], full[node[k : k + 65536]]) >= cosine for k in range(0, len(q), 65536))])
+            q, node = q[keep], node[keep]
+            other = own[q] != names[node]
+            q, node = q[other], node[other]
+            np.add.at(degree, q, copies[node])
+            stars.append((own[q], names[node]))
+            size += len(q)
+            if size > 1_000_000:
+                stars, size = [local_stars(*map(np.concatenate, zip(*stars)))], 0
+        u, v = local_stars(*map(np.concatenate, zip(*stars)))
+        some = degree > 0
+        told = pd.DataFrame({"id": own[some], "linked": degree[some]}).astype("Int64")
+        return pd.concat([told, pd.DataFrame({"u": u, "v": v}).astype("Int64"), pd.DataFrame({"wanted": audit[:1], "met": audit[1:]}).astype("Int64")]).reindex(columns=columns)
 
     asked = placed.select("id", "vec", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     offered = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     by = ["dim", "block", "shard"]
-    return asked.groupBy(*by).cogroup(offered.groupBy(*by)).applyInPandas(ask, f"u {kind}, v {kind}").distinct()
+    return asked.groupBy(*by).cogroup(offered.groupBy(*by)).applyInPandas(ask, FOUND.format(kind=kind))
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -260,17 +295,16 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     reach), kept.
 
     Equal vectors are one node of the graphs, with a count, so that a vector that a third of the rows have is neither a
-    hot group nor a hot spot of a graph. Vectors that are null, empty, zero or hold null or non-finite components link
+    hot group nor a hot spot of a graph. Vectors that share their smallest key are one node: what one of them links, all
+    rows of either have. Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing. Keys must be integers; null keys link with nothing. Other columns are not read; an empty table gives no
     rows."""
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vec")).withColumn("fine", usable("vec") & F.col("id").isNotNull())
     reps = staged(rows.where("fine").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "hnsw-vectors")
-    links = staged(linked(reps.select("id", "vec"), cosine), "hnsw-links")
-    both = links.union(links.select("v", "u"))
-    many = reps.select(F.col("id").alias("v"), "copies")
-    degree = both.join(many, "v").groupBy("u").agg(F.sum("copies").alias("linked"))
-    parts = connected_components(links)
-    named = reps.join(degree.withColumnRenamed("u", "id"), "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    found = staged(linked(reps, cosine), "hnsw-found")
+    degree = found.where("id is not null").groupBy("id").agg(F.sum("linked").alias("linked"))
+    parts = connected_components(found.where("u is not null").select("u", "v"))
+    named = reps.join(degree, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("vec", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     good = rows.where("fine").join(named, "vec").select("id", "n_links", "component_id")
     rest = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -259,10 +259,40 @@ def test_hnsw_search_finds_what_exact_search_does():
     v[2000:2200] = v[1000:1200] + 0.08 * rng.standard_normal((200, 24))
     v = hnsw._unit(v).astype(np.float32)
     order, layers = hnsw.build(v)
-    found, _ = hnsw.search(v[order], layers, v, 0.9)
     want = v @ v.T >= 0.9
-    hit = sum(want[i, order[f]].sum() for i, f in enumerate(found))
-    assert hit >= 0.99 * want.sum()
+    for widest in (1 / 32, 1.0):  # with and without an exact search in place of the widest beams
+        hnsw.WIDEST, reached = widest, []
+        found = np.concatenate([np.stack(x, 1) for x in hnsw.search(v[order], layers, v, 0.9, reached)])
+        assert len(np.unique(found, axis=0)) == len(found) and want[found[:, 0], order[found[:, 1]]].all()
+        assert len(found) >= 0.99 * want.sum() and reached[1] >= hnsw.AUDIT_RECALL * reached[0]
+    hnsw.WIDEST = 1 / 32
+
+
+def test_embeddings_against_brute_force_over_shards(spark):
+    """Many shards and blocks, clusters, copies, and the audit's report."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((600, 8))
+    v[100:180] = v[0] + 0.1 * rng.standard_normal((80, 8))
+    v[300:310] = v[20]
+    unit = hnsw._unit(v)
+    want = unit @ unit.T >= 0.9
+    np.fill_diagonal(want, False)
+    near = np.abs(unit @ unit.T - 0.9) < 1e-9
+    assert not near.any()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    before = hnsw.SHARD_BYTES, hnsw.BLOCK_ROWS
+    hnsw.SHARD_BYTES, hnsw.BLOCK_ROWS = 8 * 4 * 100, 150
+    out = {r["vec_id"]: r for r in hnsw.near_duplicates(df).collect()}
+    found = hnsw.linked(df.selectExpr("vec_id AS id", "embedding AS vec", "1L AS copies")).where("wanted is not null").groupBy().sum("wanted", "met").first()
+    hnsw.SHARD_BYTES, hnsw.BLOCK_ROWS = before
+    root = list(range(600))
+    for _ in range(600):
+        after = [min([root[i], *(root[j] for j in np.flatnonzero(want[i]))]) for i in range(600)]
+        if after == root:
+            break
+        root = after
+    assert all(out[i]["n_links"] == want[i].sum() and out[i]["component_id"] == root[i] for i in range(600))
+    assert found[1] >= hnsw.AUDIT_RECALL * found[0] > 0
 
 
 def test_embeddings_odd_rows(spark):
