@@ -22,9 +22,9 @@ from corpusloom.session import staged
 COSINE = 0.9
 # links of a node above and in the ground layer, beam while building, first beam of a query, beam entries per round
 LINKS, GROUND_LINKS, BUILD_BEAM, BEAM, WIDTH = 16, 32, 48, 24, 4
-# a shard's bytes of 32-bit floats at most, the vectors up to which there are fewer than EVEN_SHARDS of them, vectors of a
-# query block, queries of each block that are audited in each shard, and the recall to reach
-SHARD_BYTES, SMALL_SHARD, EVEN_SHARDS, BLOCK_ROWS, AUDITED, AUDIT_RECALL = 25_600_000, 16_384, 8, 25_000, 256, 0.99
+# a shard's bytes of 32-bit floats at most, shards at least, vectors of a query block, queries of each block that are audited
+# in each shard, and the recall to reach
+SHARD_BYTES, LEAST_SHARDS, BLOCK_ROWS, AUDITED, AUDIT_RECALL = 25_600_000, 4, 25_000, 256, 0.99
 # beams that would hold more than this part of the shard are an exact search of it
 WIDEST = 1 / 32
 CHUNK, FIRST, GROWTH = 1024, 1024, 2048
@@ -244,7 +244,7 @@ def linked(reps: DataFrame, cosine: float = COSINE) -> DataFrame:
     are never compared. Only a count and the largest length are asked of the driver."""
     told = reps.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     n, dim = told["n"], told["dim"] or 1
-    shards, blocks = max(-(-n * 4 * dim // SHARD_BYTES), min(EVEN_SHARDS, -(-n // SMALL_SHARD)), 1), max(2, -(-n // BLOCK_ROWS))
+    shards, blocks = max(-(-n * 4 * dim // SHARD_BYTES), LEAST_SHARDS), max(2, -(-n // BLOCK_ROWS))
     placed = reps.select("id", "vec", "copies", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
     kind = reps.schema["id"].dataType.simpleString()
     exactly = np.float32 if reps.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64
