@@ -2,7 +2,8 @@
 
 Records are text where payloads are, so archives are written by Spark's text writer with the two blank lines that end
 a record as its line separator: the commit protocol covers lost executors, and any store that Spark reaches will do.
-Whole files are gzipped. The reader goes by Content-Length alone, so payloads may hold anything, separators included.
+Whole files are gzipped. The reader goes by Content-Length alone, so payloads may hold anything, separators included. It
+inflates a file piece by piece and holds one record.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to_id string, target_uri string, payload_digest string, payload_bytes long, digest_ok boolean, fields map<string,string>, payload binary"
-# archives are read a file to a task; the writer keeps files near this many pages
+# archives are read a file at a time: a file has a task's pages, which Spark deals out by bytes, and not more than this
 PAGES_PER_FILE = 4000
 
 
@@ -94,44 +95,68 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT
     )
 
 
-def _members(data: bytes) -> bytes:
-    """Gunzip all members of a file; other data as they are."""
+def _inflated(data: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, gunzipped member by member, about `piece` at a time; other data as they are."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    parts = []
+        yield data
+        return
     while data:
         d = zlib.decompressobj(31)
-        parts.append(d.decompress(data))
+        while not d.eof:
+            out = d.decompress(data, piece)
+            if not out and not d.unconsumed_tail and not d.eof:
+                raise ValueError("a gzip member is cut short")
+            data = d.unconsumed_tail
+            if out:
+                yield out
         data = d.unused_data
-    return b"".join(parts)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict, memoryview]]:
-    """(headers, block) of each record; header names in lower case. Raises ValueError on a broken record."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
+def parse(pieces: bytes | Iterable[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """(headers, block) of each record of bytes that come in pieces; header names in lower case. Only the record at hand is
+    held. Raises ValueError on a broken record."""
+    source = iter([pieces] if isinstance(pieces, (bytes, bytearray)) else pieces)
+    held, at, ended = bytearray(), 0, False
+
+    def more() -> bool:
+        nonlocal ended, at
+        if not ended:
+            piece = next(source, None)
+            ended = piece is None
+            if piece:
+                del held[:at]
+                at = 0
+                held.extend(piece)
+        return not ended
+
+    while True:
+        while len(held) - at < 2 and more():
+            pass
+        if at >= len(held):
+            return
+        if held[at : at + 2] == b"\r\n":
             at += 2
             continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
+        while (end := held.find(b"\r\n\r\n", at)) < 0 and more():
+            pass
+        if end < 0 or held[at : at + 5] != b"WARC/":
+            raise ValueError("no WARC record where one should begin")
         head = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        for line in bytes(held[at:end]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             head[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-        size = int(head["content-length"])
-        if end + 4 + size > len(data):
-            raise ValueError(f"record at byte {at} is cut short")
-        yield head, view[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size, at = int(head["content-length"]), end + 4
+        while len(held) - at < size:
+            if not more():
+                raise ValueError("a record is cut short")
+        yield head, bytes(held[at : at + size])
+        at += size
 
 
 def _rows(data: bytes, with_payload: bool) -> Iterator[tuple]:
-    for head, block in parse(data):
+    for head, raw in parse(_inflated(data)):
         kind, body, n, ok, fields = head.get("warc-type"), None, None, None, None
         if kind in ("response", "revisit"):
-            raw = bytes(block)
             cut = raw.find(b"\r\n\r\n")
             body, length = raw[cut + 4 :], re.search(rb"(?i)\r\ncontent-length: *(\d+)", raw[: cut + 2])
             n = int(length[1]) if length else len(body)
@@ -140,7 +165,7 @@ def _rows(data: bytes, with_payload: bool) -> Iterator[tuple]:
             else:
                 body = None
         elif kind == "metadata":
-            fields = [tuple(x.strip() for x in line.split(":", 1)) for line in bytes(block).decode("utf-8", "replace").split(CRLF) if ":" in line]
+            fields = [tuple(x.strip() for x in line.split(":", 1)) for line in raw.decode("utf-8", "replace").split(CRLF) if ":" in line]
         digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
         yield head.get("warc-record-id"), kind, head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), digest, n, ok, fields, body if with_payload else None
 
@@ -153,7 +178,7 @@ def read_records(spark, path: str, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows, held = [], 0
-                for row in _rows(_members(data.as_py()), with_payload):
+                for row in _rows(data.as_py(), with_payload):
                     rows.append(row)
                     held += len(row[-1] or b"") + 500
                     if held > 4 << 20:
