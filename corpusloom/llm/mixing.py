@@ -21,6 +21,7 @@ MOST_EPOCHS = 3
 GOLDEN = 2654435769
 SPACE = 2**32
 CELL = 2**22
+MOST_BROADCAST = 100_000
 SLOT_CHUNK = 2**16
 # of the 32 hash bits by which a source is shuffled, the leading ones that split its stream into pieces
 PIECE_BITS = 12
@@ -131,8 +132,10 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, most_epochs: i
     goal = scratch(targets(sizes, weights, most_epochs), "goal")
     plan = scratch(schedule(goal), "schedule")
     cut = plan.groupBy("source").agg(F.max("takes").alias("takes"), F.max("blocks").alias("blocks"))
-    goal = goal.join(cut.withColumnRenamed("source", "cs"), F.col("source").eqNullSafe(F.col("cs")), "left")
+    goal = scratch(goal.join(cut.withColumnRenamed("source", "cs"), F.col("source").eqNullSafe(F.col("cs")), "left"), "goal")
     words = goal.select(F.col("source").alias("gs"), "source_size", "target", F.coalesce("takes", F.lit(0)).alias("takes"), "blocks")
+    # a row a source: handed to all tasks while they are as few as sources are, else met in a join
+    words = F.broadcast(words) if goal.count() <= MOST_BROADCAST else words
     at = spans(sizes).join(words, F.col("source").eqNullSafe(F.col("gs"))).drop("gs")
     # a document's words in the stream as it goes round, as far as the target reaches
     rounds = F.sequence(F.lit(0).cast("long"), F.expr("(takes - 1 - start) div source_size"))

@@ -117,14 +117,15 @@ n AS (SELECT page_id, html, url, translate(coalesce(host0, ''), 'ABCDEFGHIJKLMNO
          CASE WHEN ok THEN translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS node FROM u),
 rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 links AS (SELECT url, node, unnest(regexp_extract_all(html, '<(?:link|LINK)[^>]*rel\s*=\s*["'']?canonical[^>]*href\s*=\s*["'']?([^"''\s>]+)', 1)) AS dst FROM n WHERE node IS NOT NULL),
-edges AS (SELECT node AS a, regexp_replace(dst, '^[^:]*://', '') AS b FROM links),
+edges AS (SELECT node AS a, translate(regexp_extract(dst, '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || CASE WHEN starts_with(regexp_extract(dst, '^.*?://[^/?#]*([^#]*)', 1), '/') THEN '' ELSE '/' END || regexp_extract(dst, '^.*?://[^/?#]*([^#]*)', 1) AS b FROM links WHERE contains(dst, '://')),
 sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, e.b FROM reach r JOIN sym e ON r.b = e.a),
-fit AS (SELECT x.node, x.host || x.path AS hp, rules.* FROM (SELECT DISTINCT node, host, path FROM n) x JOIN rules ON (x.host = h OR ends_with(x.host, '.' || h)) AND starts_with(x.path, p)),
+fit AS (SELECT x.node, x.host || x.path AS hp, rules.* FROM (SELECT node, regexp_extract(node, '^[^/]*') AS host, regexp_extract(node, '^[^/]*([^?]*)', 1) AS path FROM (SELECT a AS node FROM edges UNION SELECT b FROM edges)) x JOIN rules ON (x.host = h OR ends_with(x.host, '.' || h)) AND starts_with(x.path, p)),
 own AS (SELECT node, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM fit GROUP BY node),
 own_np AS (SELECT n.page_id, n.host, n.path, n.node, (SELECT arg_max(h || p, length(h || p)) FROM rules WHERE (n.host = h OR ends_with(n.host, '.' || h)) AND starts_with(n.path, p)) AS rule,
            (SELECT arg_max(verdict, length(h || p)) FROM rules WHERE (n.host = h OR ends_with(n.host, '.' || h)) AND starts_with(n.path, p)) AS own FROM n),
-alias AS (SELECT r.a AS node, bool_or(o.verdict = 'block') AND NOT coalesce(bool_or(o.verdict = 'allow'), false) AS blocked FROM reach r JOIN own o ON o.node = r.b GROUP BY r.a)
+around AS (SELECT a, b FROM reach UNION SELECT a, a FROM reach),
+alias AS (SELECT r.a AS node, bool_or(o.verdict = 'block') AND NOT coalesce(bool_or(o.verdict = 'allow'), false) AS blocked FROM around r JOIN own o ON o.node = r.b GROUP BY r.a)
 SELECT page_id, host, path, rule, CASE WHEN own IS NOT NULL THEN own WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM own_np LEFT JOIN alias USING (node)
 """,
