@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,47 @@ def sized_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def bridges(components: DataFrame) -> DataFrame:
-    """(src, dst): edges that chain the components' representatives, the largest first, ties by id."""
-    order = Window.orderBy(F.desc("size"), "component")
-    return components.withColumn("src", F.lag("component").over(order)).where("src is not null").select("src", F.col("component").alias("dst"))
+    """(src, dst): edges that chain the components' representatives, the largest first, ties by id.
+
+    Components are sorted by ranges and chained inside each; what reaches over is one row a range."""
+    ranged = components.repartitionByRange(F.desc("size"), "component").select("component", "size", F.spark_partition_id().alias("part"))
+    ranged = Scratch(components.sparkSession, "bridges")(ranged, "ranges")
+    inside = F.lag("component").over(Window.partitionBy("part").orderBy(F.desc("size"), "component"))
+    ends = ranged.groupBy("part").agg(F.max(F.struct(-F.col("size"), F.col("component"))).alias("last"))
+    ends = ends.select("part", F.lag("last.component").over(Window.orderBy("part")).alias("before"))
+    chained = ranged.withColumn("src", inside).join(F.broadcast(ends), "part")
+    return chained.select(F.coalesce("src", "before").alias("src"), F.col("component").alias("dst")).where("src is not null")
+
+
+def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, depth): nodes that the roots (node) reach, a root having depth 1, others the least one: a join a level, each
+    with the last level's nodes only."""
+    scratch = Scratch(edges.sparkSession, "depths")
+    step = scratch(edges.select(F.col("src").alias("node"), "dst").distinct(), "edges")
+    seen = scratch(roots.select("node").distinct().withColumn("depth", F.lit(1)), "seen")
+    level = 1
+    while True:
+        near = seen.where(F.col("depth") == level).join(step, "node").select(F.col("dst").alias("node")).distinct()
+        fresh = scratch(near.join(seen, "node", "left_anti").withColumn("depth", F.lit(level + 1)), "level")
+        if fresh.isEmpty():
+            return seen
+        seen = scratch(seen.union(fresh), "seen")
+        scratch.drop("seen", keep=1)
+        level += 1
+
+
+def merged(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """One graph of several (nodes, edges): a node's first non-empty label in the order of the graphs, each edge once."""
+    nodes = reduce(DataFrame.unionByName, (n.select("node_id", "label", F.lit(i).alias("g")) for i, (n, _) in enumerate(graphs)))
+    nodes = nodes.groupBy("node_id").agg(F.min_by("label", F.when(F.coalesce("label", F.lit("")) != "", F.col("g"))).alias("label"))
+    return nodes, reduce(DataFrame.unionByName, (e.select("src", "dst") for _, e in graphs)).distinct()
+
+
+def merge_equal_labels(nodes: DataFrame, edges: DataFrame, label) -> tuple[DataFrame, DataFrame]:
+    """(node_id, into) and the edges between what is left, when nodes whose normalised `label` is equal become the one with
+    the smallest id; loops that this makes and repeated edges go, nodes without a label too."""
+    named = nodes.select("node_id", label.alias("l")).where("l <> ''")
+    into = named.join(named.groupBy("l").agg(F.min("node_id").alias("into")), "l").select("node_id", "into")
+    end = lambda c: into.select(F.col("node_id").alias(c), F.col("into").alias(f"{c}_into"))
+    kept = edges.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_into").alias("src"), F.col("dst_into").alias("dst"))
+    return into, kept.where("src <> dst").distinct()

@@ -1,14 +1,18 @@
 """Lexical index and ranking: term statistics, TF-IDF and BM25 for a batch of queries.
 
-Tokens are runs of two or more letters of the lower-cased text. Only terms that some query has are ever exploded into
-rows: the documents' tokens meet the queries' distinct terms before anything is grouped.
+Tokens are runs of two or more letters of the lower-cased text. The queries' distinct terms are handed to all tasks while
+they are few, so that of the documents' tokens only theirs are ever shuffled; what is found is staged once for all scores.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import staged
+
 TOKEN = r"[\p{L}\p{Nl}\p{No}]{2,}"
 
 
@@ -24,47 +28,60 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: n_docs, total_tokens, avgdl. Null texts are documents without tokens."""
-    size = F.coalesce(F.size(tokens(F.coalesce(F.col(text), F.lit("")))), F.lit(0)).cast("long")
+    size = F.coalesce(F.regexp_count(F.lower(text), F.lit(TOKEN)), F.lit(0)).cast("long")
     return docs.agg(F.count("*").alias("n_docs"), F.sum(size).alias("total_tokens")).withColumn("avgdl", F.col("total_tokens") / F.greatest("n_docs", F.lit(1)))
 
 
 def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, df, cf): documents and places that have the term. A document's tokens are made distinct before they are
-    rows, so df needs no distinct count."""
-    each = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    every = docs.select(F.explode(tokens(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
-    return each.join(every, "term")
+    """(term, df, cf): documents and places that have the term. A document's tokens are counted inside its row first, so
+    that one scan and one aggregate give both."""
+    t = docs.select(F.array_sort(tokens(F.col(text))).alias("t"))
+    # in a sorted list a term's first place is where the one before it differs
+    once = t.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get("t", i - 1) != x), 1).otherwise(0).alias("first")))).alias("r"))
+    return once.groupBy("r.term").agg(F.sum("r.first").alias("df"), F.count("*").alias("cf")).select("term", F.col("df").cast("long").alias("df"), "cf")
 
 
 def query_terms(queries: DataFrame, qid: str = "qid", text: str = "query") -> DataFrame:
     return queries.select(qid, F.explode(tokens(F.col(text))).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("qtf"))
 
 
-def _matches(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    cut = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t")).withColumn("dl", F.greatest(F.lit(1), F.size("t")).cast("long"))
-    rows = cut.select("key", "dl", F.explode("t").alias("term"))
-    return rows.join(wanted.select("term").distinct(), "term").groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
+@dataclass
+class Index:
+    """What the scores of some queries need: wanted (qid, term, qtf), found (key, dl, term, tf) of the wanted terms, df
+    (term, df), and stats, one row."""
+
+    wanted: DataFrame
+    found: DataFrame
+    df: DataFrame
+    stats: DataFrame
+
 
+MOST_TERMS = 500_000
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, key, score) with a positive score, for queries (qid, query)."""
+
+def index(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """Documents are tokenised once for `found`, which is staged, and once for the corpus statistics."""
     wanted = query_terms(queries)
-    found = _matches(docs, wanted, key, text)
-    stats = corpus_stats(docs, text)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    met = wanted.join(df, "term").join(found, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    terms = staged(wanted.select("term").distinct(), "lexical-terms")
+    terms = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
+    cut = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t")).withColumn("dl", F.greatest(F.lit(1), F.size("t")).cast("long"))
+    rows = cut.select("key", "dl", F.explode("t").alias("term")).join(terms, "term")
+    found = staged(rows.groupBy("key", "dl", "term").agg(F.count("*").alias("tf")), "lexical-found")
+    return Index(wanted, found, found.groupBy("term").agg(F.count("*").alias("df")), corpus_stats(docs, text))
+
+
+def bm25(held: Index, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, key, score) with a positive score."""
+    met = held.wanted.join(held.df, "term").join(held.found, "term").crossJoin(F.broadcast(held.stats))  # one row of statistics
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = (1 - b) + b * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
     return met.groupBy("qid", "key").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tfidf(held: Index) -> DataFrame:
     """(qid, key, score): the sum over the query's tokens, repeats counted, of tf / dl * (ln((N + 1) / (1 + df)) + 1)."""
-    wanted = query_terms(queries)
-    found = _matches(docs, wanted, key, text)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    met = wanted.join(df, "term").join(found, "term").crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
+    met = held.wanted.join(held.df, "term").join(held.found, "term").crossJoin(F.broadcast(held.stats))
     part = F.col("qtf") * (F.col("tf") / F.col("dl")) * (F.log((F.col("n_docs") + 1) / (1 + F.col("df"))) + 1)
     return met.groupBy("qid", "key").agg(F.sum(part).alias("score")).where("score > 0")
 

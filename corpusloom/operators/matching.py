@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,19 @@ def glossary_matches(docs: DataFrame, terms: list[str], key: str = "doc_id", tex
     return docs.select(F.col(key).alias("key"), each.alias("m")).select("key", "m.term", "m.matches").where("matches > 0")
 
 
+def term_spans(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, nth, span_start, span_end): every place of each term in the whole text, case ignored, without overlaps,
+    from left to right. The lengths of what lies between the places add up to where they are."""
+    grow = lambda n: lambda acc, piece: F.struct((acc["at"] + F.length(piece) + n).alias("at"), F.array_append(acc["starts"], acc["at"] + F.length(piece)).alias("starts"))
+    each = []
+    for t in terms:
+        pieces = F.split(F.lower(text), re.escape(t), -1)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        each.append(F.struct(F.lit(t).alias("term"), F.lit(len(t)).alias("size"), F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, grow(len(t)))["starts"].alias("starts")))
+    held = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(F.array(*each)).alias("t")).select("key", "t.term", "t.size", F.posexplode("t.starts").alias("i", "a"))
+    return held.select("key", "term", (F.col("i") + 1).cast("long").alias("nth"), F.col("a").cast("long").alias("span_start"), (F.col("a") + F.col("size")).cast("long").alias("span_end"))
+
+
 def track(scored: DataFrame) -> DataFrame:
     """A row per claim of (claim_id, seq, entailment, contradiction): the best of each, where the first wins ties, and the
     verdict. Units after the first with an entailment of STRONG or more are not looked at."""

@@ -46,6 +46,12 @@ def regex_search(docs: DataFrame, patterns: list[str], key: str = "doc_id", text
     return rows.select("key", (REGEX_BASE + F.least(F.lit(REGEX_CAP), REGEX_MORE * (F.col("matches") - 1))).alias("score"), F.col("matches").cast("long").alias("matches"), "first_pos")
 
 
+def pattern_hits(found: DataFrame) -> DataFrame:
+    """(qid, key, score) of (qid, key, term): the score of a text that so many of a query's patterns find."""
+    n = found.groupBy("qid", "key").agg(F.count("*").alias("n"))
+    return n.select("qid", "key", (REGEX_BASE + F.least(F.lit(REGEX_CAP), REGEX_MORE * (F.col("n") - 1))).alias("score"))
+
+
 def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """(qid, key, score): the sum over the lists (qid, key, rank) of 1 / (k + rank), rank from 1."""
     rows = reduce(DataFrame.unionByName, (x.select("qid", "key", "rank") for x in lists))

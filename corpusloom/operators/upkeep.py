@@ -39,7 +39,5 @@ def feedback(events: DataFrame) -> DataFrame:
 def feedback_counters(events: DataFrame) -> DataFrame:
     """(use_case, day, n, negative, last_ts): the totals over all, by use case and by day, as grouping sets of one scan."""
     f = feedback(events).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    f.createOrReplaceTempView("corpusloom_feedback")
-    return f.sparkSession.sql(
-        "SELECT use_case, day, count(*) AS n, count_if(sentiment = 'negative') AS negative, max(ts) AS last_ts, grouping_id() AS level FROM corpusloom_feedback GROUP BY GROUPING SETS ((), (use_case), (day))"
-    )
+    sets = f.groupingSets([[], ["use_case"], ["day"]], "use_case", "day")
+    return sets.agg(F.count("*").alias("n"), F.count_if(F.col("sentiment") == "negative").alias("negative"), F.max("ts").alias("last_ts"), F.grouping_id().alias("level"))

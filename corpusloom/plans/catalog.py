@@ -60,12 +60,22 @@ bmr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) D
 tir AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ti)"""
 
 
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    return lexical.index(_docs(spark, sf_dir), _queries(spark, sf_dir))
+
+
+def _lists(spark: SparkSession, sf_dir: str, k: int) -> list[DataFrame]:
+    """The BM25 and the TF-IDF list of the same index."""
+    held = _index(spark, sf_dir)
+    return [lexical.top_k(lexical.bm25(held), k), lexical.top_k(lexical.tfidf(held), k)]
+
+
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return lexical.top_k(lexical.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)), k)
+    return lexical.top_k(lexical.bm25(_index(spark, sf_dir)), k)
 
 
 def _tfidf(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return lexical.top_k(lexical.tfidf(_docs(spark, sf_dir), _queries(spark, sf_dir)), k)
+    return lexical.top_k(lexical.tfidf(_index(spark, sf_dir)), k)
 
 
 @query(f"WITH {BASE} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
@@ -114,7 +124,7 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DE
 
 
 def _fused(spark, sf_dir):
-    return retrieval.rrf([_bm25(spark, sf_dir, 30), _tfidf(spark, sf_dir, 30)])
+    return retrieval.rrf(_lists(spark, sf_dir, 30))
 
 
 @query(f"WITH {FUSED} SELECT qid, doc_id, round(score, 6) AS score, rank FROM rr WHERE rank <= 20")
@@ -124,18 +134,18 @@ def rrf_fusion(spark, sf_dir):
 
 @query(f"WITH {BASE}, l AS (SELECT qid, doc_id, score FROM bmr WHERE rank <= 30 UNION ALL SELECT qid, doc_id, score FROM tir WHERE rank <= 30) SELECT qid, doc_id, round(max(score), 6) AS score FROM l GROUP BY ALL")
 def max_dedupe(spark, sf_dir):
-    return retrieval.max_dedupe([_bm25(spark, sf_dir, 30), _tfidf(spark, sf_dir, 30)]).select("qid", F.col("key").alias("doc_id"), r6("score"))
+    return retrieval.max_dedupe(_lists(spark, sf_dir, 30)).select("qid", F.col("key").alias("doc_id"), r6("score"))
 
 
-@query(f"""WITH {BASE}, x AS (SELECT doc_id FROM documents WHERE regexp_matches(trim(text, E' \\t\\n\\r'), '(?is)licensed under')),
+@query(f"""WITH {BASE}, p AS (SELECT DISTINCT qid, term FROM q WHERE length(term) >= 11), x AS (SELECT qid, doc_id, round(1.5 + least(0.6, 0.1 * (count(*) - 1)), 6) AS score FROM p JOIN tf USING (term) GROUP BY qid, doc_id),
 sem AS (SELECT qid, doc_id, score FROM bmr WHERE rank <= 10)
-SELECT qid, doc_id, 1.5 AS score, 0 AS part FROM (SELECT DISTINCT qid FROM sem), x WHERE (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM sem) UNION ALL SELECT qid, doc_id, round(score, 6), 1 FROM sem""")
+SELECT qid, doc_id, score, 0 AS part FROM x WHERE (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM sem) UNION ALL SELECT qid, doc_id, round(score, 6), 1 FROM sem""")
 def regex_first_merge(spark, sf_dir):
-    semantic = _bm25(spark, sf_dir, 10)
-    found = retrieval.regex_search(_docs(spark, sf_dir), PATTERNS[:1])
-    # every query of the stated set gets the pattern's hits
-    asked = found.select("key", "score").join(F.broadcast(_queries(spark, sf_dir).select("qid")))
-    return retrieval.regex_first(asked, semantic).select("qid", F.col("key").alias("doc_id"), r6("score"), "part")
+    """A query owns its words of eleven letters or more as patterns."""
+    held = _index(spark, sf_dir)
+    owned = held.wanted.where(F.length("term") >= 11).select("qid", "term")
+    found = retrieval.pattern_hits(owned.join(held.found.select("key", "term"), "term"))
+    return retrieval.regex_first(found, lexical.top_k(lexical.bm25(held), 10)).select("qid", F.col("key").alias("doc_id"), r6("score"), "part")
 
 
 @query(f"WITH {BASE} SELECT qid, doc_id, rank FROM bmr WHERE rank <= 5")
@@ -174,22 +184,26 @@ def _chunked(strategy):
 
 QUERIES |= {f"chunk_{s}": _chunked(s) for s in ("sliding", "section", "recursive")}
 
-HITS = """
-WITH c AS (SELECT doc_id, lower(text) AS text, unnest(range(0, greatest(length(text) - 199, 1), 200)) AS s FROM documents WHERE length(text) > 0),
-k AS (SELECT doc_id, s AS a, s + length(substring(text, s + 1, 200)) AS e, s // 200 AS i, contains(substring(text, s + 1, 200), 'license') AS x, contains(substring(text, s + 1, 200), 'and attion') AS y FROM c),
-h AS (SELECT doc_id, a, e, i, x::INT + 0.5 * y::INT AS score, x, y FROM k WHERE x OR y),
-f AS (SELECT *, CASE WHEN a > max(e) OVER (PARTITION BY doc_id ORDER BY a, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 240 OR row_number() OVER (PARTITION BY doc_id ORDER BY a, i) = 1 THEN 1 ELSE 0 END AS fresh FROM h),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, i)::BIGINT AS cluster FROM f)"""
+def spans_sql(term: str) -> str:
+    """(doc_id, i, a, e): the places of a term in the lower-cased texts, one after another."""
+    n = len(term)
+    pieces = f"SELECT doc_id, unnest(string_split(lower(text), '{term}')) AS piece, generate_subscripts(string_split(lower(text), '{term}'), 1) AS i FROM documents"
+    placed = f"SELECT doc_id, i, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * {n} AS a, max(i) OVER (PARTITION BY doc_id) AS last FROM ({pieces})"
+    return f"SELECT doc_id, i::BIGINT AS i, a::BIGINT AS a, (a + {n})::BIGINT AS e FROM ({placed}) WHERE i < last"
+
+
+HITS = f"""
+WITH h AS (SELECT doc_id, a, e, i, 1.0 AS score, true AS x, false AS y FROM ({spans_sql('license')}) UNION ALL SELECT doc_id, a, e, i, 0.5, false, true FROM ({spans_sql('and attion')})),
+f AS (SELECT *, CASE WHEN a > max(e) OVER (PARTITION BY doc_id ORDER BY a, i, score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 240 OR row_number() OVER (PARTITION BY doc_id ORDER BY a, i, score DESC) = 1 THEN 1 ELSE 0 END AS fresh FROM h),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, i, score DESC)::BIGINT AS cluster FROM f)"""
 
 
 def _hits(spark, sf_dir):
-    low = _docs(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
-    cut = chunking.fixed_size(low, 200)
-    has = {m: F.contains("chunk", F.lit(w)) for m, w in (("license", "license"), ("line", "and attion"))}
-    methods = F.array_compact(F.array(*(F.when(c, m) for m, c in has.items())))
-    score = has["license"].cast("int") + 0.5 * has["line"].cast("int")
-    start = F.col("chunk_idx") * 200
-    return cut.select(F.lit(0).alias("qid"), F.col("doc_id").alias("doc"), "chunk_idx", start.alias("span_start"), (start + F.length("chunk")).alias("span_end"), score.cast("double").alias("score"), methods.alias("methods")).where(F.size("methods") > 0)
+    """Every place of two terms in the whole texts is a hit."""
+    found = matching.term_spans(_docs(spark, sf_dir), ["license", "and attion"])
+    first = F.col("term") == "license"
+    score = F.when(first, 1.0).otherwise(0.5).alias("score")
+    return found.select(F.lit(0).alias("qid"), F.col("key").alias("doc"), F.col("nth").alias("chunk_idx"), "span_start", "span_end", score, F.array(F.when(first, "license").otherwise("line")).alias("methods"))
 
 
 @query(HITS + " SELECT doc_id, a AS span_start, e AS span_end, cluster FROM g")
@@ -296,16 +310,20 @@ def nli_tracker(spark, sf_dir):
     return matching.track(scored)
 
 
-GRAPH = r"""u AS (SELECT regexp_extract(url, '^.*?://([^/?#]*)', 1) AS host, regexp_extract(html, 'href="([^"]+)"', 1) AS first FROM pages),
-e AS (SELECT DISTINCT host AS src, host || first AS dst FROM u WHERE first <> '' UNION SELECT DISTINCT regexp_replace(host, '^(www|m|blog)[.]', ''), host FROM u),
+GRAPH = r"""u AS (SELECT page_id, regexp_extract(url, '^.*?://([^/?#]*)', 1) AS host, regexp_extract_all(html, 'href="([^"]+)"', 1) AS links FROM pages),
+l AS (SELECT host, links, unnest(links) AS link, generate_subscripts(links, 1) AS i FROM u),
+e AS (SELECT DISTINCT host AS src, link AS dst FROM l UNION SELECT link, links[i + 1] FROM l WHERE i < len(links) UNION SELECT DISTINCT regexp_replace(host, '^(www|m|blog)[.]', ''), host FROM u),
 n AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
 
 
 def _graph(spark, sf_dir):
-    u = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^.*?://([^/?#]*)", 1).alias("host"), F.regexp_extract("html", 'href="([^"]+)"', 1).alias("first"))
-    links = u.where("first <> ''").select(F.col("host").alias("src"), F.concat("host", "first").alias("dst"))
+    """Hosts lead to every link of their pages, links to the link that follows them on a page, and bare hosts to their
+    subdomains."""
+    u = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^.*?://([^/?#]*)", 1).alias("host"), F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1).alias("links"))
+    links = u.select("host", "links", F.posexplode("links").alias("i", "link"))
+    after = links.select(F.col("link").alias("src"), F.get("links", F.col("i") + 1).alias("dst")).where("dst is not null")
     bare = u.select(F.regexp_replace("host", "^(www|m|blog)[.]", "").alias("src"), F.col("host").alias("dst"))
-    edges = staged(links.union(bare).distinct(), "page-graph")
+    edges = staged(links.select(F.col("host").alias("src"), F.col("link").alias("dst")).union(after).union(bare).distinct(), "page-graph")
     nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct().withColumn("label", F.regexp_extract("node_id", "[^/]*$", 0))
     return nodes, edges
 
@@ -330,7 +348,9 @@ def graph_validate(spark, sf_dir):
     return graph.issues(*_graph(spark, sf_dir))
 
 
-@query(f"WITH {GRAPH} SELECT src, dst FROM e WHERE src = dst")
+@query(f"""WITH RECURSIVE {GRAPH}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), c AS (SELECT a FROM r WHERE a = b),
+after AS (SELECT b AS id FROM r JOIN c USING (a) UNION SELECT a FROM c), before AS (SELECT r.a AS id FROM r JOIN c ON r.b = c.a UNION SELECT a FROM c)
+SELECT src, dst FROM e WHERE src IN (SELECT id FROM after) AND dst IN (SELECT id FROM before)""")
 def graph_cycles(spark, sf_dir):
     return graph.on_cycles(_graph(spark, sf_dir)[1])
 
@@ -361,12 +381,12 @@ def feedback_daily(spark, sf_dir):
     return counters.daily_counts(table(spark, sf_dir, "events"))
 
 
-@query("""WITH o AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE lang <> 'es'), n AS (SELECT doc_id, CASE WHEN lang = 'de' THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END AS t FROM documents WHERE lang <> 'fr')
+@query("""WITH o AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE lang IS DISTINCT FROM 'es'), n AS (SELECT doc_id, CASE WHEN lang = 'de' THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END AS t FROM documents WHERE lang IS DISTINCT FROM 'fr')
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.t = n.t THEN 'same' ELSE 'changed' END AS action FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def corpus_sync(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    new = d.where("lang <> 'fr'").withColumn("text", F.when(F.col("lang") == "de", F.upper("text")).otherwise(F.col("text")))
-    return upkeep.corpus_sync(d.where("lang <> 'es'"), new, "doc_id", "text").withColumnRenamed("key", "doc_id")
+    new = d.where(~F.col("lang").eqNullSafe("fr")).withColumn("text", F.when(F.col("lang") == "de", F.upper("text")).otherwise(F.col("text")))
+    return upkeep.corpus_sync(d.where(~F.col("lang").eqNullSafe("es")), new, "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
 @query("WITH r AS (SELECT DISTINCT lang AS run, source AS case_id FROM documents) SELECT run, case_id FROM r WHERE case_id IN (SELECT case_id FROM r GROUP BY case_id HAVING count(*) = (SELECT count(DISTINCT run) FROM r))")

@@ -32,7 +32,7 @@ DOCS = [(1, "The cat sat on the mat"), (2, "The dog chased the cat, the cat ran"
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     asked = spark.createDataFrame([(1, "cat cat dog"), (2, "Café"), (3, "zzz")], "qid long, query string")
-    got = {(r["qid"], r["key"]): r["score"] for r in lexical.bm25(docs, asked).collect()}
+    got = {(r["qid"], r["key"]): r["score"] for r in lexical.bm25(lexical.index(docs, asked)).collect()}
     size = {1: 6, 2: 8, 3: 5}
     avg = sum(size.values()) / 5
 
@@ -41,7 +41,7 @@ def test_bm25_by_hand(spark):
 
     want = {(1, 1): 2 * part(1, 2, 6), (1, 2): 2 * part(2, 2, 8) + part(1, 1, 8), (2, 3): part(1, 1, 5)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
-    assert lexical.bm25(docs.limit(0), asked).count() == 0
+    assert lexical.bm25(lexical.index(docs.limit(0), asked)).count() == 0
 
 
 def test_regex_invalid_falls_back_to_literal(spark):
