@@ -73,15 +73,43 @@ def track(scored: DataFrame) -> DataFrame:
     return best.select("claim_id", e.alias("entailment"), (-F.col("e.s")).alias("entailment_seq"), c.alias("contradiction"), (-F.col("c.s")).alias("contradiction_seq"), "units", status.alias("status"))
 
 
+def anchors(spans: DataFrame, context: int = 24, text: str = "text") -> DataFrame:
+    """`spans` (span_start, span_end, text) with exact, the text of the span, and the prefix and suffix that tell it from
+    equal ones."""
+    s, e = F.col("span_start").cast("int"), F.col("span_end").cast("int")
+    first = F.greatest(F.lit(0), s - context)
+    body = F.col(text)
+    return spans.withColumns({"exact": F.substring(body, s + 1, e - s), "prefix": F.substring(body, first + 1, s - first), "suffix": F.substring(body, e + 1, F.lit(context))})
+
+
+def without_repeats(body, between: str) -> object:
+    """The parts of a text, in order, without those that say the same as the one before, case and white space aside."""
+    parts = F.filter(F.transform(F.split(body, between), lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: p != "")
+    same = lambda p: F.lower(F.btrim(F.regexp_replace(p, r"(?U)\s+", " "), F.lit(" ")))
+    return F.filter(parts, lambda p, i: (i == 0) | (same(p) != same(F.get(parts, i - 1))))
+
+
 def excerpt(body, terms: list[str], window: int = 400) -> object:
     """A passage of about `window` characters round the first of `terms`, in their order, that the text has; its start
     where none is found. Cut ends are marked."""
-    low, n, half = F.lower(body), F.length(body), window // 2
+    low = F.lower(body)
     at = F.coalesce(*(F.when(F.locate(t, low) > 0, F.locate(t, low) - 1) for t in terms))
+    missing = F.concat(_tidy(F.substring(body, 1, window)), _mark(F.length(body) > window))
+    return F.when(at.isNull(), missing).otherwise(excerpt_at(body, at, window))
+
+
+def _tidy(x) -> object:
+    return F.btrim(F.regexp_replace(x, r"\n{3,}", "\n\n"), F.lit(" \t\n\r"))
+
+
+def _mark(cond) -> object:
+    return F.when(cond, F.lit("…")).otherwise(F.lit(""))
+
+
+def excerpt_at(body, at, window: int = 400) -> object:
+    """A passage of about `window` characters round a place of the text; cut ends are marked."""
+    n, half = F.length(body), window // 2
     start, end = F.greatest(F.lit(0), at - half), F.least(n, at + half)
     end = F.when(start == 0, F.least(n, F.lit(window))).otherwise(end)
     start = F.when(end == n, F.greatest(F.lit(0), n - window)).otherwise(start)
-    tidy = lambda x: F.btrim(F.regexp_replace(x, r"\n{3,}", "\n\n"), F.lit(" \t\n\r"))
-    mark = lambda cond: F.when(cond, F.lit("…")).otherwise(F.lit(""))
-    hit = F.concat(mark(start > 0), tidy(F.substring(body, start + 1, end - start)), mark(end < n))
-    return F.when(at.isNull(), F.concat(tidy(F.substring(body, 1, window)), mark(n > window))).otherwise(hit)
+    return F.concat(_mark(start > 0), _tidy(F.substring(body, start + 1, end - start)), _mark(end < n))
