@@ -35,6 +35,14 @@ def rank_metrics(ranked: DataFrame, expected: DataFrame, cases: DataFrame) -> Da
     )
 
 
+def contains_recall(cases: DataFrame, found: DataFrame, normal) -> DataFrame:
+    """(qid, matched, recall): whether some text that was returned (qid, text) holds what the case (qid, query) expects, both
+    normalised."""
+    met = found.join(cases, "qid").where(F.contains(normal(F.col("text")), normal(F.col("query")))).groupBy("qid").agg(F.count("*").alias("n"))
+    hit = F.col("n").isNotNull()
+    return cases.select("qid").join(met, "qid", "left").select("qid", hit.cast("long").alias("matched"), hit.cast("double").alias("recall"))
+
+
 def summarise(metrics: DataFrame) -> DataFrame:
     """One row: counts, micro precision, recall and f1 over all rows, and macro means."""
     s = metrics.agg(F.count("*").alias("cases"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), *(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1", "hit_at_k", "mrr", "ap", "ndcg")))

@@ -58,6 +58,16 @@ def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return rows.groupBy("qid", "key").agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
+def rank_trace(lists: dict[str, DataFrame], k: int) -> DataFrame:
+    """(qid, key, <name>_rank and <name>_score of each list, fused_rank) of the k best fused hits: where each hit came from.
+    In a list that has a hit twice, its best rank counts."""
+    rows = reduce(DataFrame.unionByName, (x.select("qid", "key", "score", "rank", F.lit(n).alias("bucket")) for n, x in lists.items()))
+    of = lambda n, c: F.min_by(c, F.when(F.col("bucket") == n, F.col("rank")))
+    held = rows.groupBy("qid", "key").agg(F.sum(1 / (F.lit(RRF_K) + F.col("rank"))).alias("score"), *(of(n, "rank").cast("long").alias(f"{n}_rank") for n in lists), *(of(n, "score").alias(f"{n}_score") for n in lists))
+    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "key")
+    return held.withColumn("fused_rank", F.row_number().over(order).cast("long")).where(F.col("fused_rank") <= k)
+
+
 def max_dedupe(lists: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (x.select("qid", "key", "score") for x in lists)).groupBy("qid", "key").agg(F.max("score").alias("score"))
 
