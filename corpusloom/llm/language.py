@@ -55,6 +55,8 @@ class Model:
         self.codes, inverse = np.unique(code, return_inverse=True)
         counts = np.zeros((len(self.codes) + 1, len(languages)))
         np.add.at(counts, (inverse, of), n)
+        # log-probability of a trigram whose characters are drawn at random from those of the labelled texts
+        self.random = -3 * np.log(len(np.unique([self.codes >> k & 0x1FFFFF for k in (0, 21, 42)])) or 1)
         self.log = np.log(counts + SMOOTHING) - np.log(counts.sum(0) + SMOOTHING * len(counts))
 
     def of_words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +143,7 @@ def infer(texts: pa.Array, model: Model | None) -> tuple[list[str], list[float],
     """lang_pred, score, languages, proportions and fits of each text.
 
     The prediction is the largest part of the text's mixture, ties to the first by name, and the score that part's
-    proportion. fits: whether the mixture explains the letters better than trigrams drawn at random do. Texts without a
+    proportion. fits: whether the mixture explains the letters better than characters drawn at random do. Texts without a
     letter: `und`, 0, no languages, and they don't fit."""
     count = len(texts)
     pred, score, sets, parts, fits = [UNKNOWN] * count, [0.0] * count, [[] for _ in range(count)], [[] for _ in range(count)], [False] * count
@@ -156,7 +158,7 @@ def infer(texts: pa.Array, model: Model | None) -> tuple[list[str], list[float],
     present, doc = np.unique(doc, return_inverse=True)
     share, like = select(doc, by_word[word])
     letters_in = np.bincount(doc, size[word])
-    explained = like > -np.log(len(model.codes) + 1) * letters_in
+    explained = like > model.random * letters_in
     top = share.argmax(1)
     for i, d in enumerate(present):
         pred[d], score[d], fits[d] = model.languages[top[i]], min(1.0, float(share[i, top[i]])), bool(explained[i])
