@@ -24,7 +24,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those whose letters the best mixture of the learned languages explains no better
-    than trigrams drawn at random: they are in none of these languages. Texts in several languages stay. Where no document
+    than characters drawn at random: they are in none of these languages. Texts in several languages stay. Where no document
     has a label there is no model, and nothing goes."""
     model = language.fit(docs)
     if model is None:
