@@ -60,12 +60,12 @@ def units(text: Column, least: int = 12) -> Column:
 
 def fact_limit(text: Column) -> Column:
     """How many facts to expect: sentences of 12 characters or more and list items, else a sixth of the words, with a margin,
-    from 24 to 180."""
+    from 24 to 180; without any word 24."""
     items = F.regexp_count(text, F.lit(r"(?m)^\s*(?:[-*•]+|\d+[.)])\s+\S+"))
     base = F.size(F.filter(sentences(text), lambda x: F.length(x) >= 12)) + items
     words = F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+"))
     base = F.when(base > 0, base).when(words > 0, F.greatest(F.lit(24), F.floor(words / 6)))
-    return F.coalesce(F.greatest(F.lit(24), F.least(F.lit(180), F.floor(base * 1.15) + 4)), F.lit(24)).cast("long")
+    return F.when(base.isNull(), 24).otherwise(F.greatest(F.lit(24), F.least(F.lit(180), F.floor(base * 1.15) + 4))).cast("long")
 
 
 def belongs(fact: Column, target: Column) -> Column:

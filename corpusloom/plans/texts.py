@@ -69,7 +69,7 @@ def nli_units(spark, sf_dir):
 
 @query(r"""WITH a AS (SELECT doc_id, len(list_filter(""" + sql_of(SENTENCES, "text") + r""", lambda x: length(x) >= 12)) + len(regexp_extract_all(text, '(?m)^\s*(?:[-*•]+|\d+[.)])\s+\S+')) AS base, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words FROM documents),
 b AS (SELECT doc_id, CASE WHEN base > 0 THEN base WHEN words > 0 THEN greatest(24, words // 6) END AS base FROM a)
-SELECT doc_id, coalesce(greatest(24, least(180, floor(base * 1.15::DOUBLE) + 4)), 24)::BIGINT AS n FROM b""")
+SELECT doc_id, CASE WHEN base IS NULL THEN 24 ELSE greatest(24, least(180, floor(base * 1.15::DOUBLE) + 4)) END::BIGINT AS n FROM b""")
 def fact_limit(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", segments.fact_limit(F.col("text")).alias("n"))
 

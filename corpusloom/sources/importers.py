@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 CSV_ROWS = 500
 # fixed values: extensions that are imported as fenced code
-CODE = ("py", "js", "ts", "java", "c", "cpp", "h", "cs", "go", "rs", "rb", "php", "sh", "sql", "json", "yaml", "yml", "toml", "xml", "css")
+CODE = (
+    "py", "js", "ts", "jsx", "tsx", "java", "c", "cpp", "h", "hpp", "cs", "go", "rs", "rb", "php", "swift", "kt", "sh", "bash", "zsh", "fish", "lua", "r", "m", "jl",
+    "yaml", "yml", "toml", "ini", "cfg", "conf", "json", "xml", "sql", "dockerfile", "makefile",
+)
 
 
 def strip_html(html) -> object:
@@ -65,11 +68,17 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
-def page_ranges(text) -> object:
-    """Sorted distinct page numbers of `1-5,7`; open ends and anything else are left out."""
-    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d+(-\d+)?$"))
-    ends = F.transform(parts, lambda x: F.sequence(F.regexp_extract(x, r"^(\d+)", 1).cast("int"), F.greatest(F.regexp_extract(x, r"(\d+)$", 1).cast("int"), F.regexp_extract(x, r"^(\d+)", 1).cast("int"))))
-    return F.array_sort(F.array_distinct(F.flatten(ends)))
+def page_ranges(text, pages) -> object:
+    """Sorted distinct page numbers of `1-5,7`, of a document of `pages` pages: an open end (`9-`, `-3`) goes to the last or
+    from the first page, and pages that the document lacks are left out. Null for an empty text or `all`, which stands for
+    every page, and where nothing is left; parts that are no range are ignored."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: x.rlike(r"^(\d+|\d*-\d*)$") & (x != ""))
+    first = lambda x: F.coalesce(F.regexp_extract(x, r"^(\d*)", 1).try_cast("int"), F.lit(1))
+    last = lambda x: F.when(x.contains("-"), F.coalesce(F.regexp_extract(x, r"(\d*)$", 1).try_cast("int"), pages)).otherwise(first(x))
+    low, high = lambda x: F.greatest(F.lit(1), first(x)), lambda x: F.least(pages, last(x))
+    ends = F.transform(parts, lambda x: F.when(low(x) <= high(x), F.sequence(low(x), high(x))).otherwise(F.array().cast("array<int>")))
+    found = F.array_sort(F.array_distinct(F.flatten(ends)))
+    return F.when((F.size(found) > 0) & ~F.lower(F.trim(text)).isin("all", ""), found)
 
 
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

@@ -6,10 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import segments, text
 from corpusloom.operators import chunking, evaluation, graph, lexical, matching, retrieval, upkeep
 from corpusloom.operators.components import connected_components
-from corpusloom.plans import catalog
+from corpusloom.plans import catalog, scores, texts  # noqa: F401  the last two register their queries in the catalog
 from corpusloom.sources import importers
 from corpusloom.streaming import counters
 from tests.conftest import SF
@@ -140,7 +140,8 @@ def test_importers(spark, tmp_path):
     (tmp_path / "o/b.odt").write_text("broken")
     got = {r["path"][-6:]: (r["markdown"], bool(r["error"])) for r in importers.office(spark, str(tmp_path / "o")).collect()}
     assert got == {"a.docx": ("## T\n\nx", False), "/b.odt": (None, True)}
-    assert spark.range(1).select(importers.page_ranges(F.lit("1-3, 7,x,2")).alias("p")).first()["p"] == [1, 2, 3, 7]
+    for given, want in {"1-3, 7,x,2": [1, 2, 3, 7], "9-": [9, 10], "-3": [1, 2, 3], "all": None, "": None, "12": None, "5-4,10-99": [10]}.items():
+        assert spark.range(1).select(importers.page_ranges(F.lit(given), F.lit(10)).alias("p")).first()["p"] == want
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -168,6 +169,38 @@ def test_text_functions(spark):
     assert tuple(normal) == ("a&b strasse", "c foo bar")
 
 
+def test_normalisers_and_splitters(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(text.match_normal(F.lit("A< BR / >b &amp; c"))) == "a b & c"
+    assert one(text.plain_normal(F.lit("Don't\xad  stop, now_1!"))) == "don t stop now_1"
+    assert one(text.clean_cell(F.lit(" `„<b>x</b>  y“` "))) in ("„ x y“", "x y")
+    assert one(text.context_normal(F.lit("a\x07 \t b \r\n\r\n\r\n\r\nc"))) == "a b\n\nc"
+    assert one(text.without_thoughts(F.lit("so</think>a <think>b</think>c<think>d"))) == "a c"
+    body = F.lit("# Head\nOne is. Two\ngoes on! - x\n- item one\n2) item two\n| t |\n\nEnd")
+    assert one(segments.sentences(body)) == ["One is.", "Two goes on!", "x", "item one", "item two", "End"]
+    assert one(segments.line_facts(body)) == ["item one", "item two"]
+    assert one(segments.claims(F.lit("A b c d e. A b c d e.\nno"))) == ["A b c d e."]
+    assert one(segments.fact_limit(F.lit(None).cast("string"))) == 24 and one(segments.belongs(F.lit("the long river"), F.lit(None).cast("string"))) is False
+    assert one(segments.belongs(F.lit("small rivers carry boats"), F.lit("Many boats that carry grain on small lakes")))
+
+
+def test_depths_and_merges(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("x", "y")], "src string, dst string")
+    got = {r["node"]: r["depth"] for r in graph.depths(edges, spark.createDataFrame([("a",)], "node string")).collect()}
+    assert got == {"a": 1, "b": 2, "c": 3, "d": 3}
+    nodes = spark.createDataFrame([("a", "One"), ("b", "one "), ("c", "Two"), ("d", "")], "node_id string, label string")
+    into, kept = graph.merge_equal_labels(nodes, edges, F.lower(F.trim("label")))
+    assert dict(map(tuple, into.collect())) == {"a": "a", "b": "a", "c": "c"} and sorted(map(tuple, kept.collect())) == [("a", "c"), ("c", "a")]
+
+
+def test_term_spans_and_anchors(spark):
+    docs = spark.createDataFrame([(1, "aXa xax"), (2, None), (3, "")], "doc_id long, text string")
+    spans = matching.term_spans(docs, ["xa", "a.b"])
+    assert sorted(map(tuple, spans.collect())) == [(1, "xa", 1, 1, 3), (1, "xa", 2, 4, 6)]
+    held = matching.anchors(spans.withColumnRenamed("key", "doc_id").join(docs, "doc_id"), 2).orderBy("nth").collect()
+    assert [(r["prefix"], r["exact"], r["suffix"]) for r in held] == [("a", "Xa", " x"), ("a ", "xa", "x")]
+
+
 def test_label_fingerprint_reads_all_lines(spark, tmp_path):
     spark.createDataFrame([(1, "Vögel\nHäuser\nrunning")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalog.QUERIES["label_fingerprint"](spark, str(tmp_path)).first()["stems"] == ["haus", "runn", "vogel"]
