@@ -425,10 +425,14 @@ def token_count(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.token_count(F.col("text")).alias("n_tokens"))
 
 
-@query()
+STEM = "CASE WHEN length(w) <= 3 THEN w " + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) - {len(e)} >= 3 THEN left(w, length(w) - {len(e)})" for e in text.ENDINGS) + " ELSE w END"
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[a-z0-9]+') AS l FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(l, lambda w: {STEM}), lambda x: length(x) >= 3))), ' ') AS stems FROM w""")
 def label_fingerprint(spark, sf_dir):
     """The stems that a document's whole text comes down to."""
-    return _docs(spark, sf_dir).select("doc_id", text.fingerprint(text.ascii_fold("text")).alias("stems"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.fingerprint(text.ascii_fold("text")), " ").alias("stems"))
 
 
 @query("SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(trim(source)), '[^\\p{L}\\p{N} \\-_/+.]', '', 'g'), '[ \\-_/+.]+', ' ', 'g')) AS term FROM documents WHERE source IS NOT NULL")
