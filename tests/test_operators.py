@@ -6,10 +6,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import segments, text
-from corpusloom.operators import chunking, evaluation, graph, lexical, matching, retrieval, upkeep
+from corpusloom.functions import answers as answers_of
+from corpusloom.functions import labels, segments, text
+from corpusloom.operators import alignment, chunking, evaluation, excerpts, graph, lexical, matching, retrieval, upkeep
 from corpusloom.operators.components import connected_components
-from corpusloom.plans import catalog, scores, texts  # noqa: F401  the last two register their queries in the catalog
+from corpusloom.plans import answers, catalog, scores, texts  # noqa: F401  the others register their queries in the catalog
 from corpusloom.sources import importers
 from corpusloom.streaming import counters
 from tests.conftest import SF
@@ -204,3 +205,77 @@ def test_term_spans_and_anchors(spark):
 def test_label_fingerprint_reads_all_lines(spark, tmp_path):
     spark.createDataFrame([(1, "Vögel\nHäuser\nrunning")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalog.QUERIES["label_fingerprint"](spark, str(tmp_path)).first()["stems"] == "haus runn vogel"
+
+
+def test_facts_are_matched_one_to_one(spark):
+    rows = [
+        (1, ["The sky is blue today.", "Water boils at 100 degrees."], ["water boils at 100 degrees.", "The sky is blue today.", "Something else entirely."]),
+        (2, ["Same fact here.", "Same fact here."], ["Same fact here."]),
+        (3, [], ["A lone sentence."]),
+        (4, None, None),
+        (5, [""], [""]),
+    ]
+    d = spark.createDataFrame(rows, "id int, expected array<string>, observed array<string>")
+    got = {r["id"]: [(m["expected"], m["observed"]) for m in r["m"]] for r in d.select("id", alignment.matched_facts(F.col("expected"), F.col("observed")).alias("m")).collect()}
+    assert got == {1: [(0, 1), (1, 0)], 2: [(0, 0)], 3: [], 4: [], 5: []}
+    m = {r["id"]: r for r in alignment.match_metrics(d.where("id < 4"), "id").collect()}
+    assert (m[1]["matched"], m[1]["recall"], round(m[1]["precision"], 6)) == (2, 1.0, 0.666667)
+    assert (m[2]["recall"], m[2]["precision"], m[3]["f1"]) == (0.5, 1.0, 0.0)
+
+
+def test_fact_matching_against_all_pairs(spark):
+    """The query's matches against the rule worked out in plain Python, every pair with its full ratio."""
+    from difflib import SequenceMatcher
+
+    pairs = catalog._pairs(spark, SF).select("case_id", segments.sentences(F.col("expected")).alias("e"), segments.sentences(F.col("actual")).alias("o"))
+    rows = pairs.select("case_id", "e", "o", *(F.transform(c, f).alias(c + n) for c in "eo" for n, f in (("p", text.plain_normal), ("h", lambda x: text.collapsed(F.lower(x)))))).collect()
+    got = {r["case_id"]: r["matched"] for r in catalog.QUERIES["fact_matching"](spark, SF).collect()}
+    want = {}
+    for r in rows:
+        used = set()
+        for i, a in enumerate(r["e"]):
+            best, at = 0.0, None
+            for j, b in enumerate(r["o"]):
+                wa, wb = ({w for w in p.split() if len(w) >= 4} for p in (r["ep"][i], r["op"][j]))
+                s = len(wa & wb) / min(len(wa), len(wb)) if wa and wb else 0.0
+                s = max(s, 0.8 * SequenceMatcher(None, a.lower().strip(), b.lower().strip(), autojunk=False).ratio())
+                s = 1.0 if r["eh"][i] in r["oh"][j] or r["oh"][j] in r["eh"][i] else s
+                if j not in used and s > best:
+                    best, at = s, j
+            if at is not None and best >= 0.36:
+                used.add(at)
+        want[r["case_id"]] = len(used)
+    assert got == want and sum(want.values()) > 0
+
+
+def test_lines_are_compared(spark):
+    d = spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc\nd"), (2, "a  \r\nb", "a\nb\n"), (3, "", "a"), (4, None, None)], "id int, x string, y string")
+    got = {r["id"]: tuple(r["d"]) for r in d.select("id", alignment.compared_lines(F.col("x"), F.col("y")).alias("d")).collect()}
+    assert got == {1: (4 / 7, 1, 1, 0, 1), 2: (1.0, 2, 0, 0, 0), 3: (0.0, 0, 1, 0, 0), 4: (1.0, 0, 0, 0, 0)}
+
+
+def test_labels_by_hand(spark):
+    rows = [("## 1. Über die 'Häuser',", "house"), ("`- item one;`", "Items one"), ("format", "x"), ("der die das", ""), ("", None), (None, "nodes here")]
+    d = spark.createDataFrame(rows, "a string, b string")
+    got = d.select(labels.clean(F.col("a")).alias("c"), labels.same(F.col("a"), F.col("b")).alias("s"), labels.stems_agree(F.col("a"), F.col("b")).alias("f"), labels.preferred(F.col("a"), F.col("b")).alias("p"), labels.names_form(F.col("b")).alias("m")).collect()
+    assert [r["c"] for r in got[:5]] == ["Über die 'Häuser'", "item one", "", "", ""]
+    assert [r["s"] for r in got] == [False, True, False, False, False, False]
+    assert [r["f"] for r in got] == [False, True, False, False, False, False]
+    assert [r["p"] for r in got[4:]] == ["", "nodes here"]
+    assert [r["m"] for r in got] == [False, False, True, True, True, True]
+
+
+def test_answers_by_hand(spark):
+    rows = [('{"facts": ["a b", {"claim": "c d"}, 3]}',), ("x ```json\n[\"q\", {\"text\": \"r\"}]\n``` y",), ("nothing {",), ("",), (None,), ('&quot;just a string&quot;',)]
+    got = [r["f"] for r in spark.createDataFrame(rows, "t string").select(answers_of.facts(answers_of.json_payload(F.col("t"))).alias("f")).collect()]
+    assert got == [["a b", "c d"], ["q", "r"], [], [], [], []]
+    said = [('{"winner": "Option B", "score": "80"}',), ('{"winner": "nobody"} the answer A is better',), ("Auswahl = a",), ("unclear",), (None,), ('{"choice": "left", "confidence": 250}',)]
+    got = [tuple(r["j"]) for r in spark.createDataFrame(said, "t string").select(answers_of.judged(F.col("t")).alias("j")).collect()]
+    assert got == [("B", 0.8, "json"), ("A", None, "regex"), ("A", None, "regex"), ("", None, "unparsed"), ("", None, "unparsed"), ("A", 1.0, "json")]
+
+
+def test_blocks_are_merged(spark):
+    words = "the quick brown fox jumps over one lazy dog and then it sleeps"
+    rows = [(["", None, "start " + words, words + " till noon", "fox jumps", "new", "new and more"],), (["abc", "c and"],), ([],), (None,)]
+    got = [r["t"] for r in spark.createDataFrame(rows, "l array<string>").select(excerpts.merged_blocks(F.col("l")).alias("t")).collect()]
+    assert got == [f"start {words} till noon\n\nnew\n\nnew and more", "abc\n\nc and", "", None]
