@@ -65,7 +65,8 @@ def winner(said: Column) -> Column:
 
 def judged(text: Column) -> Column:
     """(winner, confidence, mode) of a judge's answer: from its first JSON object, else from its words, else unparsed."""
-    value = F.try_parse_json(F.regexp_extract(text, r"(?s)\{.*?\}", 0))
+    # up to the first closing brace, or to the last one where objects are nested
+    value = F.coalesce(*(F.try_parse_json(F.regexp_extract(text, r, 0)) for r in (r"(?s)\{.*?\}", r"(?s)\{.*\}")))
     told = winner(_said(value, WINNER_KEYS))
     upper = F.upper(F.btrim(text, F.lit(" \t\r\n")))
     prose = F.coalesce(F.when(upper.isin("A", "B"), upper), *(F.nullif(F.regexp_extract(upper, "(?i)" + p, 1), F.lit("")) for p in WINNER_PROSE))

@@ -269,9 +269,9 @@ def test_answers_by_hand(spark):
     rows = [('{"facts": ["a b", {"claim": "c d"}, 3]}',), ("x ```json\n[\"q\", {\"text\": \"r\"}]\n``` y",), ("nothing {",), ("",), (None,), ('&quot;just a string&quot;',)]
     got = [r["f"] for r in spark.createDataFrame(rows, "t string").select(answers_of.facts(answers_of.json_payload(F.col("t"))).alias("f")).collect()]
     assert got == [["a b", "c d"], ["q", "r"], [], [], [], []]
-    said = [('{"winner": "Option B", "score": "80"}',), ('{"winner": "nobody"} the answer A is better',), ("Auswahl = a",), ("unclear",), (None,), ('{"choice": "left", "confidence": 250}',)]
+    said = [('{"winner": "Option B", "score": "80"}',), ('{"winner": "nobody"} the answer A is better',), ("Auswahl = a",), ("unclear",), (None,), ('{"choice": "left", "confidence": 250}',), ('So {"why": {"a": 1}, "pick": "b"}.',)]
     got = [tuple(r["j"]) for r in spark.createDataFrame(said, "t string").select(answers_of.judged(F.col("t")).alias("j")).collect()]
-    assert got == [("B", 0.8, "json"), ("A", None, "regex"), ("A", None, "regex"), ("", None, "unparsed"), ("", None, "unparsed"), ("A", 1.0, "json")]
+    assert got == [("B", 0.8, "json"), ("A", None, "regex"), ("A", None, "regex"), ("", None, "unparsed"), ("", None, "unparsed"), ("A", 1.0, "json"), ("B", None, "json")]
 
 
 def test_blocks_are_merged(spark):
