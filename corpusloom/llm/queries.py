@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, conversations, extraction, hnsw, language, minhash, mixing, quality, sharding, urls, warc, whitening
+from corpusloom.llm import bpe, conversations, extraction, hnsw, language, minhash, mixing, quality, sharding, suffixes, urls, warc, whitening
 from corpusloom.session import table
 
 
@@ -75,6 +75,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.dedupe(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLES = {
