@@ -202,7 +202,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     left = scratch(left.groupBy("core", "hull", "text", "at").agg(F.first("low").alias("low"), F.first("high").alias("high")), "places")
     hulls = scratch(left.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("text", "at", "low", "high")).alias("own")), "hulls")
     whole = left.join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"], "left_semi")
-    several = hulls.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
+    # staged, as below, so that the join's hot cores can be split
+    several = scratch(hulls.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core"), "several")
     contexts = scratch(_contexts(hulls.join(several, "core", "left_semi").select("core", "hull", "n", "own.*"), docs), "contexts")
     open_, size, told = contexts.select("*", F.lit(0).alias("begin"), digest(F.expr(f"substring(post, 1, {CORE})")).alias("rank")), SPAN, []
     for narrower in RANGES:
@@ -213,18 +214,18 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
         if narrower == 1:
             break
         # a rank whose strings may still differ goes on; of rows with the same name, one stands for all
-        split = names.groupBy("rank").agg(F.count("*").alias("m")).where("m > 1").select("rank")
+        split = scratch(names.groupBy("rank").agg(F.count("*").alias("m")).where("m > 1").select("rank"), "split")
         on = cut.join(names.join(split, "rank", "left_semi"), ["rank", "name"]).where("seen = 1 or (chosen.core = core and chosen.hull = hull)")
         on = on.select("core", "hull", F.greatest("n", "seen").alias("n"), "low", "high", "begin", "rank")
         open_, size = scratch(on.join(contexts.select("core", "hull", "pre", "post"), ["core", "hull"]), "open"), narrower
-        scratch.drop("cut", "names")
+        scratch.drop("cut", "names", "split")
         scratch.drop("open", keep=1)
     parts = reduce(DataFrame.union, told)
     # what stands alone in its hull has the hull's own place
     placed = parts.join(hulls.where("n = 1"), ["core", "hull"]).select("own.text", "own.at", parts["low"], parts["high"])
     runs = whole.select("text", "at", "low", "high").union(placed).select("text", (F.col("at") - F.col("high")).alias("begin"), (F.col("at") - F.col("low") + LENGTH).alias("end"))
     runs = scratch(runs, "runs")
-    scratch.drop("repeated", "places", "hulls", "contexts", "told", "open", "cut", "names")
+    scratch.drop("repeated", "places", "hulls", "several", "contexts", "told", "open", "cut", "names")
     return runs
 
 
