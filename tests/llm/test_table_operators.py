@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -286,12 +287,33 @@ def test_hnsw_search_finds_what_exact_search_does():
     v = hnsw._unit(v).astype(np.float32)
     order, layers = hnsw.build(v)
     want = v @ v.T >= 0.9
-    for widest in (1 / 32, 1.0):  # with and without an exact search in place of the widest beams
+    for widest in (hnsw.WIDEST, 10**6):  # with and without an exact search beyond the widest beam
         hnsw.WIDEST, reached = widest, []
         found = np.concatenate([np.stack(x, 1) for x in hnsw.search(v[order], layers, v, 0.9, reached)])
         assert len(np.unique(found, axis=0)) == len(found) and want[found[:, 0], order[found[:, 1]]].all()
         assert len(found) >= 0.99 * want.sum() and reached[1] >= hnsw.AUDIT_RECALL * reached[0]
-    hnsw.WIDEST = 1 / 32
+    hnsw.WIDEST = 192
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_small_shards_are_searched_through_their_graphs(monkeypatch, sf):
+    """Every query walks the graph; beyond the audit nothing is searched exactly, and the links are those of exact search."""
+    rows = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet").column("embedding").to_pylist()
+    v = hnsw._unit(np.unique(np.array(rows), axis=0)).astype(np.float32)
+    walked, through = [], []
+    beam, exact = hnsw.beam, hnsw.exact
+    monkeypatch.setattr(hnsw, "beam", lambda *a: walked.append(len(a[2])) or beam(*a))
+    monkeypatch.setattr(hnsw, "exact", lambda vs, qs, part, least: through.append(len(part)) or exact(vs, qs, part, least))
+    found = wanted = 0
+    for k in range(hnsw.LEAST_SHARDS):
+        shard = v[k :: hnsw.LEAST_SHARDS]
+        order, layers = hnsw.build(shard)
+        walked.clear()
+        through.clear()
+        pairs = np.concatenate([np.stack(x, 1) for x in hnsw.search(shard[order], layers, v, 0.9)])
+        assert sum(walked) >= len(v) and through == [min(hnsw.AUDITED, len(v))]
+        found, wanted = found + len(pairs), wanted + int((v @ shard.T >= 0.9).sum())
+    assert found >= 0.99 * wanted > 0
 
 
 def test_embeddings_against_brute_force_over_shards(spark):
