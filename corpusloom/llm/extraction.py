@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from corpusloom.llm.arrow import per_text
 
 SHORT, LONG, MOST_LINKS, STOP_DENSITY, KNOWN_DENSITY = 70, 200, 0.2, 0.2, 0.05
+# words of a short paragraph that may read like prose, and characters a sentence may have on the average in a language unknown here
+FEW_WORDS, SENTENCE = 4, 300
 
 # fixed values: frequent function words
 STOP_WORDS = frozenset(
@@ -38,6 +40,10 @@ HINTS = frozenset(
 )
 # fixed values: words that articles use as well; what they mark has to read like prose to be article text
 WEAK_HINTS = frozenset("recommended related search share sharing skip social widget".split())
+# fixed values: hints that articles use in names of their own parts, and elements that hold an article's prose: inside an
+# article neither ends the matter
+DOUBTFUL = frozenset("copyright dialog login modal overlay signup subscription toolbar".split())
+PROSE = frozenset("p blockquote pre".split())
 NOT_HINTED = frozenset("html body main article".split())
 # elements that hold a piece of text rather than a part of the page: only a whole name, not a part of one, marks them
 PIECES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption summary".split())
@@ -45,13 +51,14 @@ PIECES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ENDS = re.compile(r"[.!?…。！？][\"'»”’)]*(?=\s|$)|[。！？]")
 OPPOSITE = re.compile(r"^(?:has|no|with|without|is)[-_]")
 
 
-def _outside(tag: str, attributes: str) -> tuple[bool, bool]:
+def _outside(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element holds no article text, by its tag or by what its class, id and role say, and whether a weak hint
-    speaks against it."""
-    if tag in OUTSIDE:
+    speaks against it. Inside an article a header is the article's own, and hints at prose are weak."""
+    if tag in OUTSIDE and not (inside and tag == "header"):
         return True, False
     if not attributes or tag in NOT_HINTED:
         return bool(attributes) and tag == "article" and "comment" in attributes.lower(), False
@@ -61,46 +68,55 @@ def _outside(tag: str, attributes: str) -> tuple[bool, bool]:
             if OPPOSITE.match(name):
                 continue
             parts = (name,) if tag in PIECES else re.split(r"[-_]", name)
-            if not HINTS.isdisjoint(parts):
-                return True, False
+            if hints := HINTS.intersection(parts) - ({"header"} if inside else set()):
+                if not inside or tag not in PROSE and not hints <= DOUBTFUL:
+                    return True, False
+                weak = True
             weak = weak or not WEAK_HINTS.isdisjoint(parts)
     low = attributes.lower()
     return ("hidden" in low or "display" in low) and bool(HIDDEN.search(attributes)), weak
 
 
 class Block:
-    __slots__ = ("text", "linked", "outside", "weak", "inside", "heading")
+    __slots__ = ("text", "linked", "outside", "weak", "inside", "tag")
 
-    def __init__(self, text: str, linked: int, outside: bool, weak: bool, inside: bool, heading: bool):
-        self.text, self.linked, self.outside, self.weak, self.inside, self.heading = text, linked, outside, weak, inside, heading
+    def __init__(self, text: str, linked: int, outside: bool, weak: bool, inside: bool, tag: str):
+        self.text, self.linked, self.outside, self.weak, self.inside, self.tag = text, linked, outside, weak, inside, tag
 
     def stop_words(self) -> tuple[int, int]:
         """How many of the block's words are stop words, and how many words it has."""
         words = [w.strip(".,;:!?\"'()[]*#$%&|<>«»„“”").lower() for w in self.text.split()]
         return sum(map(STOP_WORDS.__contains__, words)), len(words)
 
-    def plain(self) -> bool:
-        return not self.outside and self.linked <= MOST_LINKS * len(self.text)
+    def linky(self) -> bool:
+        return self.linked > MOST_LINKS * len(self.text)
+
+    def reads(self, known: bool) -> bool:
+        """Whether it reads like prose: stop words enough; where they are of no use on the page, always; and where the block has next to
+        none, as in a language unknown here, if it is made of sentences."""
+        found, words = self.stop_words()
+        return not known or found >= STOP_DENSITY * words or found < KNOWN_DENSITY * words and len(ENDS.findall(self.text)) * SENTENCE >= len(self.text)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks that hold text, in order. outside: in a container outside the article; weak: in one with a weak hint
-    of that; inside: in <article> or <main>. An unclosed container ends where an element round it does, or where the page's first article begins."""
+    of that; inside: in <article> or <main>; tag: the element that it begins, if it does. An unclosed container ends where an element round it does, or where the page's first article begins."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # (tag, outside, weakly so, in an article) of the open elements
     texts: list[str] = []
     linked = links = at = 0
-    heading = outside = weak = inside = False
+    outside = weak = inside = False
+    begun = ""
 
     def flush() -> None:
-        nonlocal linked, heading
+        nonlocal linked, begun
         if texts:
             raw = "".join(texts)
             text = " ".join((references.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, linked, outside, weak, inside, heading))
+                out.append(Block(text, linked, outside, weak, inside, begun))
             texts.clear()
-        linked, heading = 0, False
+        linked, begun = 0, ""
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -132,7 +148,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "a":
             links = 0 if closing else 1
-        if tag in INLINE and (closing or not attributes or not any(_outside(tag, attributes))):
+        if tag in INLINE and (closing or not attributes or not any(_outside(tag, attributes, inside))):
             if not any(tag == t for t, *_ in stack[-1:]) or not closing:
                 continue
         flush()
@@ -148,10 +164,10 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             fresh = first and not any(t in OUTSIDE for t, *_ in stack)
             base, hinted = (False, False) if fresh or not stack else stack[-1][1:3]
-            own = _outside(tag, attributes)
+            own = _outside(tag, attributes, inside or first)
             stack.append((tag, base or own[0], hinted or own[1], inside or first))
         outside, weak, inside = stack[-1][1:] if stack else (False, False, False)
-        heading = tag in HEADINGS and not closing
+        begun = "" if closing else tag
     if at < len(page):
         add(page[at:])
     flush()
@@ -161,23 +177,32 @@ def blocks(page: str) -> list[Block]:
 def known_language(parts: list[Block]) -> bool:
     """Whether the stop words are of use on this page: some of the words of its longer plain blocks are among them. On a page
     without such blocks there is nothing to be told by."""
-    counts = [b.stop_words() for b in parts if b.plain() and len(b.text) >= SHORT]
+    counts = [b.stop_words() for b in parts if not b.outside and not b.linky() and len(b.text) >= SHORT]
     return not counts or sum(s for s, _ in counts) >= KNOWN_DENSITY * sum(n for _, n in counts)
 
 
 def first_pass(block: Block, known: bool = True) -> str:
-    """good or bad if decided; near (reads like prose) or short if not. On a page in a language without stop words here,
-    length and links decide alone."""
+    """good or bad if decided; near (reads like prose) or short if not. Links decide outside an article only, and there too
+    prose with some links is left to its neighbours."""
     n = len(block.text)
-    if not block.plain():
+    if block.outside:
         return "bad"
+    if block.linky():
+        if block.inside and not block.weak:
+            return "short"
+        return "near" if n >= SHORT and 2 * block.linked <= n and block.reads(known) else "bad"
     if n < SHORT:
-        return "bad" if block.weak else "short"
-    found, words = block.stop_words()
-    if not known or found >= STOP_DENSITY * words:
+        if block.weak:
+            return "bad"
+        found, words = block.stop_words()
+        sentence = block.tag == "p" and words >= FEW_WORDS and found >= STOP_DENSITY * words and ENDS.search(block.text, n - 2)
+        return "near" if sentence else "short"
+    if block.reads(known):
         return "good" if n > LONG else "near"
     # without stop words only the place tells an odd article from boilerplate
-    return "short" if block.inside and not block.weak else "bad"
+    if block.weak:
+        return "bad"
+    return "near" if block.tag == "pre" else "short" if block.inside else "bad"
 
 
 def second_pass(parts: list[Block], labels: list[str]) -> list[bool]:
@@ -206,7 +231,7 @@ def second_pass(parts: list[Block], labels: list[str]) -> list[bool]:
             elif article:
                 kept[i] = a == b == "good"
             else:
-                kept[i] = a == b == "good" or "good" in (a, b) and (labels[i] == "near" or parts[i].heading and b == "good")
+                kept[i] = a == b == "good" or "good" in (a, b) and (labels[i] == "near" or parts[i].tag in HEADINGS and b == "good")
     return kept
 
 

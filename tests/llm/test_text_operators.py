@@ -220,6 +220,58 @@ def test_extraction_keeps_article_text_with_hinting_names():
     assert extraction.main_text(page) == f"{one}\n\n{two}"
 
 
+PROSE = "The harbour lies in the north of the town and was built for the ships that came with the grain of the islands. "
+RUSSIAN = "Гавань лежит на севере города и была построена для судов. Они привозили зерно с островов, и город жил этим много лет. "
+
+
+@pytest.mark.parametrize(
+    "piece,text",
+    [
+        ('<p>It is named after <a href="/x">the old lighthouse.</a> that stood on a rock in front of the town and is gone.</p>',) * 2,
+        ('<p>See <a href="/x">the first report of it</a> and <a href="/y">the second one</a>.</p>',) * 2,
+        ('<ul><li><a href="/1">Smith, On harbours, 1911</a></li></ul>', "Smith, On harbours, 1911"),
+        (f'<p class="notice">{PROSE}</p>',) * 2,
+        (f'<blockquote class="comment">{PROSE}</blockquote>',) * 2,
+        (f'<section id="login-flow"><p>{PROSE * 2}</p></section>',) * 2,
+        (f'<div class="dialog">{PROSE * 2}</div>',) * 2,
+        ('<header class="entry-header"><h1>The harbour</h1></header>',) * 2,
+        (f"<p>{RUSSIAN * 3}</p>",) * 2,
+    ],
+)
+def test_extraction_keeps_all_of_an_article(piece, text):
+    import re
+
+    text = " ".join(re.sub("<[^>]*>", "", text).split())
+    page = f'<body><nav><a href="/">Home</a></nav><header><h2>Site</h2></header><article><p>{PROSE * 3}</p>{piece}<p>{PROSE * 3}</p></article><footer>&copy; x</footer>'
+    assert extraction.main_text(page) == "\n\n".join([(PROSE * 3).strip(), text, (PROSE * 3).strip()])
+
+
+@pytest.mark.parametrize("piece", ['<div class="comments"><p>{}</p></div>', '<div class="comment">{}</div>', '<div class="cookie-notice">{}</div>', '<p class="ad">short one</p>', '<aside>{}</aside>', '<form><p>{}</p></form>', '<nav>{}</nav>', '<ol class="commentlist"><li>{}</li></ol>'])
+def test_extraction_still_drops_what_is_not_of_the_article(piece):
+    page = f"<body><article><p>{PROSE * 3}</p>{piece.format(PROSE * 2)}</article>"
+    assert extraction.main_text(page) == (PROSE * 3).strip()
+
+
+def test_extraction_without_article():
+    pre = "x = harbour.ships(1911)[:20] + harbour.ships(1912)[:20] + harbour.ships(1913)[:20]"
+    parts = ["It is the oldest harbour of the islands.", (PROSE * 3).strip(), pre, (PROSE * 3).strip(), (RUSSIAN * 3).strip(), "It was closed in the spring of 1911."]
+    body = "".join(f"<pre>{t}</pre>" if t == pre else f"<p>{t}</p>" for t in parts)
+    page = f'<body><div class="nav"><a href="/">Home</a> <a href="/a">About the town</a></div><div>{body}</div><div><a href="/p">Privacy</a> <a href="/i">Imprint</a></div>'
+    assert extraction.main_text(page) == "\n\n".join(parts)
+
+
+def test_extraction_of_the_generated_pages(spark):
+    """The pages' articles are known by their markup: the text has just their blocks, whole and in order."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in extraction.extract(pages, keep=("page_id", "html")).collect():
+        inner = re.search("(?s)<article>(.*)</article>", r["html"] or "")
+        pieces = [" ".join(html.unescape(re.sub("(?i)<br[^>]*>", " ", re.sub(r"(?i)</?(?:b|i|em|strong|a)\b[^>]*>", "", p))).split()) for p in re.split(r"(?i)</?(?:p|h\d|ul|ol|li|div|table|tr|td|blockquote|pre)\b[^>]*>", inner[1] if inner else "")]
+        assert r["text"] == "\n\n".join(p for p in pieces if p), r["page_id"]
+
+
 def test_extraction_table(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (1, "u", PAGE, 2), (None, None, "", 3)], "page_id long, url string, html string, n_chars long")
     out = extraction.extract(df)
