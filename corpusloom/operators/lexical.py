@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import staged
@@ -33,12 +33,12 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def term_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, df, cf): documents and places that have the term. A document's tokens are counted inside its row first, so
-    that one scan and one aggregate give both."""
-    t = docs.select(F.array_sort(tokens(F.col(text))).alias("t"))
-    # in a sorted list a term's first place is where the one before it differs
-    once = t.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get("t", i - 1) != x), 1).otherwise(0).alias("first")))).alias("r"))
-    return once.groupBy("r.term").agg(F.sum("r.first").alias("df"), F.count("*").alias("cf")).select("term", F.col("df").cast("long").alias("df"), "cf")
+    """(term, df, cf): documents and places that have the term. Both are counted before anything is shuffled."""
+    t = docs.select(tokens(F.col(text)).alias("t"))
+    # the outer form: else a filter on the list is inferred and the tokens are made twice
+    once = t.select(F.explode_outer(F.array_distinct("t")).alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))
+    each = t.select(F.explode_outer("t").alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf"))
+    return once.union(each).where("term is not null").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def query_terms(queries: DataFrame, qid: str = "qid", text: str = "query") -> DataFrame:
@@ -65,25 +65,42 @@ def index(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str =
     terms = staged(wanted.select("term").distinct(), "lexical-terms")
     terms = F.broadcast(terms) if terms.count() <= MOST_TERMS else terms
     cut = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t")).withColumn("dl", F.greatest(F.lit(1), F.size("t")).cast("long"))
-    rows = cut.select("key", "dl", F.explode("t").alias("term")).join(terms, "term")
+    # the outer form: else a filter on the list is inferred and the tokens are made twice
+    rows = cut.select("key", "dl", F.explode_outer("t").alias("term")).join(terms, "term")
     found = staged(rows.groupBy("key", "dl", "term").agg(F.count("*").alias("tf")), "lexical-found")
-    return Index(wanted, found, found.groupBy("term").agg(F.count("*").alias("df")), corpus_stats(docs, text))
+    return Index(wanted, found, found.groupBy("term").agg(F.count("*").alias("df")), staged(corpus_stats(docs, text), "lexical-stats"))
+
+
+def shared_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(qid, key, score): the part of a query's distinct terms that a document has, for those that share any. Documents are
+    dealt out by key first, as for the other scores."""
+    wanted = query_terms(queries).select("qid", "term")
+    sized = wanted.groupBy("qid").agg(F.count("*").alias("n"))
+    asked = staged(wanted.join(sized, "qid"), "lexical-asked")
+    asked = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
+    cut = docs.select(F.col(key).alias("key"), F.array_distinct(tokens(F.col(text))).alias("t")).repartition("key")
+    met = cut.select("key", F.explode_outer("t").alias("term")).join(asked, "term")
+    return met.groupBy("qid", "key", "n").agg(F.count("*").alias("met")).select("qid", "key", (F.col("met") / F.col("n")).alias("score"))
+
+
+def _scored(held: Index, weight: Column, part: Column) -> DataFrame:
+    """(qid, key, score > 0): sums of `weight`, of a query's term, times `part`, of a document's. Documents are dealt out by key
+    before they meet the queries, so sums need no shuffle of their own, and of a task's sums only the best go on."""
+    asked = held.wanted.join(held.df, "term").crossJoin(F.broadcast(held.stats)).select("qid", "term", weight.alias("weight"))  # one row of statistics
+    rows = held.found.repartition("key").crossJoin(F.broadcast(held.stats)).select("key", "term", part.alias("part"))
+    return asked.join(rows, "term").groupBy("qid", "key").agg(F.sum(F.col("weight") * F.col("part")).alias("score")).where("score > 0")
 
 
 def bm25(held: Index, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, key, score) with a positive score."""
-    met = held.wanted.join(held.df, "term").join(held.found, "term").crossJoin(F.broadcast(held.stats))  # one row of statistics
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = (1 - b) + b * F.col("dl") / F.col("avgdl")
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
-    return met.groupBy("qid", "key").agg(F.sum(part).alias("score")).where("score > 0")
+    return _scored(held, F.col("qtf") * idf * (k1 + 1), F.col("tf") / (F.col("tf") + k1 * norm))
 
 
 def tfidf(held: Index) -> DataFrame:
     """(qid, key, score): the sum over the query's tokens, repeats counted, of tf / dl * (ln((N + 1) / (1 + df)) + 1)."""
-    met = held.wanted.join(held.df, "term").join(held.found, "term").crossJoin(F.broadcast(held.stats))
-    part = F.col("qtf") * (F.col("tf") / F.col("dl")) * (F.log((F.col("n_docs") + 1) / (1 + F.col("df"))) + 1)
-    return met.groupBy("qid", "key").agg(F.sum(part).alias("score")).where("score > 0")
+    return _scored(held, F.col("qtf") * (F.log((F.col("n_docs") + 1) / (1 + F.col("df"))) + 1), F.col("tf") / F.col("dl"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "qid", score: str = "score", pos: str = "key") -> DataFrame:

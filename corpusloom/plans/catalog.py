@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text
 from corpusloom.operators import chunking, evaluation, graph, lexical, matching, retrieval, upkeep
 from corpusloom.operators.components import connected_components
-from corpusloom.session import staged, table
+from corpusloom.session import spread, staged, table
 from corpusloom.sources import importers
 from corpusloom.streaming import counters
 
@@ -43,7 +43,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{Nl}}\p{{No}}]{{2,}}')"

@@ -54,9 +54,7 @@ def source_search(spark, sf_dir):
     """The sentences that hold the most of a query's words."""
     cut = _docs(spark, sf_dir).select("doc_id", F.posexplode(segments.candidates(F.col("text"))).alias("i", "text"))
     chunks = cut.select(F.struct("doc_id", (F.col("i") + 1).cast("long").alias("chunk")).alias("key"), "text")
-    held = lexical.index(chunks, _queries(spark, sf_dir), key="key")
-    sizes = held.wanted.groupBy("qid").agg(F.count("*").alias("n"))
-    scored = held.wanted.join(held.found, "term").groupBy("qid", "key").agg(F.count("*").alias("met")).join(sizes, "qid").select("qid", "key", (F.col("met") / F.col("n")).alias("score"))
+    scored = lexical.shared_terms(chunks, _queries(spark, sf_dir), key="key")
     return lexical.top_k(scored, 8).select("qid", "key.doc_id", "key.chunk", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 

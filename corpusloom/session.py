@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out over all cores where its files come in fewer pieces than there are: a file's row groups can't be split.
+    Larger tables have more pieces and stay as they are. The order of rows is lost."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
     path = tempfile.mkdtemp(prefix="corpusloom-")
