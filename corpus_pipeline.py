@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, language, minhash, mixing, quality
 from corpusloom.llm.queries import vocabulary
-from corpusloom.session import staged, table
+from corpusloom.session import spread, staged, table
 
 # SQL has no expression for mixture inference or suffix arrays; tests hold the stages against brute force
 ORACLE_SQL = None
@@ -67,7 +67,7 @@ STAGES = [("language", identify_language), ("quality", apply_quality_rules), ("n
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the whole of documents, each on what the one before it kept."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = spread(staged(stage(spark, docs, sf_dir), f"pipeline-{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, conversations, extraction, hnsw, language, minhash, mixing, quality, sharding, suffixes, urls, warc, whitening
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 
 def vocabulary() -> str:
@@ -21,7 +21,7 @@ def vocabulary() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+    coded = bpe.round_trip(spread(table(spark, sf_dir, "documents")), vocabulary())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -33,7 +33,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = language.fit(docs.where(~language.held_out()))
     told = language.identify(docs, model)
     return told.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
@@ -48,7 +48,7 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(quality.measured(table(spark, sf_dir, "documents"))).drop("repeat_spans")
+    return quality.judged(quality.measured(spread(table(spark, sf_dir, "documents")))).drop("repeat_spans")
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +56,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.extract(table(spark, sf_dir, "pages"))
+    return extraction.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffixes.dedupe(table(spark, sf_dir, "documents"))
+    cut = suffixes.dedupe(spread(table(spark, sf_dir, "documents")))
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
