@@ -1,5 +1,4 @@
-"""Pairs of texts set side by side: facts matched one to one, and lines compared. Sequential inside a row, so that a row's
-two texts are the only thing a task holds beyond its Arrow batch."""
+"""Pairs of texts set side by side: facts matched one to one, over tables of scored pairs, and lines compared."""
 
 from __future__ import annotations
 
@@ -8,65 +7,68 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from corpusloom.functions.text import collapsed, plain_normal
+from corpusloom.session import Scratch
 
-MATCHES = ArrayType(StructType([StructField("expected", IntegerType()), StructField("observed", IntegerType()), StructField("score", DoubleType())]))
 COUNTS = ("best_block", "inserted_lines", "deleted_lines", "replaced_lines")
 LINES = StructType([StructField("line_ratio", DoubleType()), *(StructField(c, IntegerType()) for c in COUNTS)])
 THRESHOLD = 0.36
 
 
-def _ratio(a: str, b: str, least: float) -> float:
-    """How much of two strings agrees; 0 where it can't be over `least`."""
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    return m.ratio() if m.real_quick_ratio() > least and m.quick_ratio() > least else 0.0
-
-
-def _similar(a: str, b: str, held: tuple, words: tuple, best: float) -> float:
-    if not a or not b:
-        return 0.0
-    if all(held) and (held[0] in held[1] or held[1] in held[0]):
-        return 1.0
-    shared = len(words[0] & words[1]) / min(map(len, words)) if all(words) else 0.0
-    least = max(best, shared, 0.0) / 0.8
-    return max(shared, 0.8 * _ratio(a.lower().strip(), b.lower().strip(), least))
-
-
-@F.pandas_udf(MATCHES)
-def _greedy(expected: pd.Series, observed: pd.Series) -> pd.Series:
-    def one(own, other):
-        words = lambda x: {w for w in x["plain"].split() if len(w) >= 4}
-        left, free, found = [(x["text"], x["held"], words(x)) for x in own], {i: (x["text"], x["held"], words(x)) for i, x in enumerate(other)}, []
-        for i, (text, held, mine) in enumerate(left):
-            at, score = -1, 0.0
-            for j, (their, there, theirs) in free.items():
-                s = _similar(text, their, (held, there), (mine, theirs), score)
-                if s > score:
-                    at, score = j, s
-            if at >= 0 and score >= THRESHOLD:
-                del free[at]
-                found.append({"expected": i, "observed": at, "score": score})
-        return found
-
-    return pd.Series([one(a, b) for a, b in zip(expected, observed)])
-
-
-def matched_facts(expected: Column, observed: Column) -> Column:
-    """(expected, observed, score) of two lists of facts: each expected one, in order, takes the most similar observed one
-    that is still free, from a similarity of 0.36: 1 where one holds the other, else shared words, or four fifths of the
-    characters that agree. Null lists match nothing."""
-    made = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(x.alias("text"), plain_normal(x).alias("plain"), collapsed(F.lower(x)).alias("held")))
-    return _greedy(made(expected), made(observed))
+@F.pandas_udf(DoubleType())
+def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """How much of two strings agrees; 0 where one is null."""
+    return pd.Series([difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a is not None and b is not None else 0.0 for a, b in zip(left, right)])
+
+
+def scored_pairs(rows: DataFrame, key: str, least: float = THRESHOLD) -> DataFrame:
+    """(key, i, j, score): how similar the facts of two lists (key, expected, observed) are, where that is `least` or more: 1 where one
+    holds the other, else shared words, or four fifths of the characters that agree. Characters are compared only where
+    the lengths allow for more than the words give. Null lists have no facts."""
+    each = lambda c, at: rows.select(key, F.posexplode(c).alias(at, "t")).select(key, at, F.lower(F.trim("t")).alias(f"{at}_low"), collapsed(F.lower("t")).alias(f"{at}_held"), F.filter(F.array_distinct(F.split(plain_normal(F.col("t")), " ")), lambda w: F.length(w) >= 4).alias(f"{at}_words"))
+    met = each("expected", "i").join(each("observed", "j"), key)
+    filled = (F.col("i_held") != "") & (F.col("j_held") != "")
+    held = filled & (F.contains("i_held", "j_held") | F.contains("j_held", "i_held"))
+    words = F.coalesce(F.try_divide(F.size(F.array_intersect("i_words", "j_words")).cast("double"), F.least(F.size("i_words"), F.size("j_words"))), F.lit(0.0))
+    shorter, both = F.least(F.length("i_low"), F.length("j_low")), F.length("i_low") + F.length("j_low")
+    met = met.select(key, "i", "j", "i_low", "j_low", F.when(held, 1.0).otherwise(words).alias("sure"), (1.6 * shorter / F.greatest(both, F.lit(1))).alias("most"))
+    met = met.where(F.greatest("sure", "most") >= least).withColumn("open", F.col("most") > F.greatest("sure", F.lit(least - 1e-9)))
+    ask = lambda c: F.when(F.col("open"), F.col(c))
+    score = F.greatest("sure", 0.8 * _ratio(ask("i_low"), ask("j_low")))
+    return met.select(key, "i", "j", score.alias("score")).where(F.col("score") >= least)
+
+
+def one_to_one(pairs: DataFrame, key: str) -> DataFrame:
+    """The rows of `pairs` (key, i, j, score) in which each i, in order, gets the best j that no earlier i has; ties: the
+    first j.
+
+    All i ask at once, each for the best j that it has left, and a j stays with the first i that asks; an i loses every
+    pair whose j is held by an earlier one. When nobody asks in vain, that is what taking turns would give: the matching is
+    the only stable one. So a round is two aggregates and a join, however many lists there are, and none is held whole."""
+    scratch = Scratch(pairs.sparkSession, "one-to-one")
+    left = scratch(pairs.select(key, "i", "j", "score"), "left")
+    while True:
+        best = left.groupBy(key, "i").agg(F.max(F.struct("score", (-F.col("j")).alias("back"))).alias("b")).select(key, "i", (-F.col("b.back")).alias("j"), "b.score")
+        best = scratch(best, "best")
+        held = scratch(best.groupBy(key, "j").agg(F.min("i").alias("first")), "held")
+        if best.join(held, [key, "j"]).where("i > first").isEmpty():
+            scratch.drop("left", "held")
+            return best
+        left = scratch(left.join(held, [key, "j"], "left").where("first is null or i <= first").select(key, "i", "j", "score"), "left")
+        scratch.drop("left", "best", "held", keep=1)
 
 
 def match_metrics(rows: DataFrame, key: str) -> DataFrame:
-    """(key, matched, expected, predicted, precision, recall, f1) of (key, expected, observed) lists."""
-    n = rows.select(key, F.size(matched_facts(F.col("expected"), F.col("observed"))).alias("matched"), F.size("expected").alias("expected"), F.size("observed").alias("predicted"))
+    """(key, matched, expected, predicted, precision, recall, f1) of (key, expected, observed) lists of facts, matched one to
+    one. Keys are unique."""
+    found = one_to_one(scored_pairs(rows, key), key).groupBy(key).agg(F.count("*").cast("int").alias("matched"))
+    n = rows.select(key, F.size("expected").alias("expected"), F.size("observed").alias("predicted")).join(found, key, "left").fillna(0, "matched")
     part = lambda c: F.coalesce(F.try_divide(F.col("matched").cast("double"), F.col(c)), F.lit(0.0))
     n = n.withColumns({"recall": part("expected"), "precision": part("predicted")})
-    return n.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return n.select(key, "matched", "expected", "predicted", "recall", "precision", f1.alias("f1"))
 
 
 @F.pandas_udf(LINES)

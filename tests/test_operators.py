@@ -153,6 +153,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, counters.daily_counts(events).collect()))
 
 
+def test_one_to_one_is_taking_turns(spark):
+    """Rounds of proposals against each i taking the best that is left, with many ties."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, i, j, rng.randrange(4) / 4) for k in range(40) for i in range(rng.randrange(1, 9)) for j in range(8) if rng.random() < 0.5]
+    want = set()
+    for k in range(40):
+        used = set()
+        for i in range(9):
+            free = [(-s, j) for kk, ii, j, s in rows if (kk, ii) == (k, i) and j not in used]
+            if free:
+                used.add(min(free)[1])
+                want.add((k, i, min(free)[1]))
+    got = alignment.one_to_one(spark.createDataFrame(rows, "k long, i int, j int, score double"), "k").collect()
+    assert {(r["k"], r["i"], r["j"]) for r in got} == want and len(got) == len(want)
+
+
 def test_excerpt(spark):
     text = "a" * 300 + " Needle " + "b" * 300
     out = spark.createDataFrame([(text,), ("short",), (None,)], "t string").select(matching.excerpt(F.col("t"), ["needle"], 100).alias("e")).collect()
@@ -216,7 +234,9 @@ def test_facts_are_matched_one_to_one(spark):
         (5, [""], [""]),
     ]
     d = spark.createDataFrame(rows, "id int, expected array<string>, observed array<string>")
-    got = {r["id"]: [(m["expected"], m["observed"]) for m in r["m"]] for r in d.select("id", alignment.matched_facts(F.col("expected"), F.col("observed")).alias("m")).collect()}
+    got = {i: [] for i in range(1, 6)}
+    for r in sorted(alignment.one_to_one(alignment.scored_pairs(d, "id"), "id").collect()):
+        got[r["id"]].append((r["i"], r["j"]))
     assert got == {1: [(0, 1), (1, 0)], 2: [(0, 0)], 3: [], 4: [], 5: []}
     m = {r["id"]: r for r in alignment.match_metrics(d.where("id < 4"), "id").collect()}
     assert (m[1]["matched"], m[1]["recall"], round(m[1]["precision"], 6)) == (2, 1.0, 0.666667)
