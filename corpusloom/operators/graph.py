@@ -91,3 +91,32 @@ def merge_equal_labels(nodes: DataFrame, edges: DataFrame, label) -> tuple[DataF
     end = lambda c: into.select(F.col("node_id").alias(c), F.col("into").alias(f"{c}_into"))
     kept = edges.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_into").alias("src"), F.col("dst_into").alias("dst"))
     return into, kept.where("src <> dst").distinct()
+
+
+def descendants(edges: DataFrame) -> DataFrame:
+    """(node, below): every node that a node's edges lead to, itself too if it is on a cycle. Paths are doubled: a round joins what is
+    known with itself, so there are as many rounds as the longest shortest path has binary digits. The result has a row for each pair."""
+    scratch = Scratch(edges.sparkSession, "descendants")
+    known = scratch(edges.select(F.col("src").alias("node"), F.col("dst").alias("below")).distinct(), "known")
+    n = known.count()
+    while n:
+        on = known.select(F.col("node").alias("below"), F.col("below").alias("next"))
+        known = scratch(known.union(known.join(on, "below").select("node", F.col("next").alias("below"))).distinct(), "known")
+        scratch.drop("known", keep=1)
+        m = known.count()
+        if m == n:
+            break
+        n = m
+    return known
+
+
+def single_root(nodes: DataFrame, edges: DataFrame, root: str = "root") -> DataFrame:
+    """(src, dst): the edges of a tree under one new root that reaches every node: each node keeps its least parent, and hangs under the root where
+    it has none. Of a cycle of such parents the least node lets go of its own."""
+    kept = edges.where("src <> dst").groupBy("dst").agg(F.min("src").alias("src"))
+    loops = descendants(on_cycles(kept))
+    # the nodes of a cycle reach each other: the least of them is below itself and above none that is less
+    cut = loops.groupBy("node").agg(F.min("below").alias("least")).where("node = least").select(F.col("node").alias("dst"))
+    kept = kept.join(cut, "dst", "left_anti").select("src", "dst")
+    bare = nodes.select(F.col("node_id").alias("dst")).distinct().join(kept, "dst", "left_anti")
+    return kept.union(bare.select(F.lit(root).alias("src"), "dst"))

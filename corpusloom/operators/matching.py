@@ -113,3 +113,20 @@ def excerpt_at(body, at, window: int = 400) -> object:
     end = F.when(start == 0, F.least(n, F.lit(window))).otherwise(end)
     start = F.when(end == n, F.greatest(F.lit(0), n - window)).otherwise(start)
     return F.concat(_mark(start > 0), _tidy(F.substring(body, start + 1, end - start)), _mark(end < n))
+
+
+def widest_cover(segments: DataFrame, spans: DataFrame, key: str = "key", width: int = 512) -> DataFrame:
+    """The rows of `segments` (key, seg_start, seg_end) with the span (span_start, span_end, and its other columns as `span`) of `spans` that
+    overlaps them and is the widest; ties: the first, then the least of the other columns. Null where none overlaps.
+
+    Both sides are cut into bins of `width` places, and what shares a bin is joined; a pair counts in its first common bin
+    only. So neither a text with many spans nor one long span makes all pairs."""
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / width))).alias("bin")
+    rest = [c for c in spans.columns if c not in (key, "span_start", "span_end")]
+    left = segments.select(key, "seg_start", "seg_end", bins("seg_start", "seg_end"))
+    right = spans.select(key, "span_start", "span_end", *rest, bins("span_start", "span_end"))
+    first = F.col("bin") == F.greatest(F.floor(F.col("seg_start") / width), F.floor(F.col("span_start") / width))
+    met = left.join(right, [key, "bin"]).where(first & (F.col("span_start") < F.col("seg_end")) & (F.col("span_end") > F.col("seg_start")))
+    best = F.min(F.struct((F.col("span_start") - F.col("span_end")).alias("narrow"), "span_start", "span_end", *rest))
+    won = met.groupBy(key, "seg_start", "seg_end").agg(best.alias("w")).select(key, "seg_start", "seg_end", F.struct("w.span_start", "w.span_end", *(f"w.{c}" for c in rest)).alias("span"))
+    return segments.join(won, [key, "seg_start", "seg_end"], "left")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as answers_of
 from corpusloom.functions import labels, segments, text
-from corpusloom.operators import alignment, chunking, evaluation, excerpts, graph, lexical, matching, retrieval, upkeep
+from corpusloom.operators import alignment, chunking, evaluation, excerpts, graph, layout, lexical, matching, retrieval, upkeep
 from corpusloom.operators.components import connected_components
-from corpusloom.plans import answers, catalog, scores, texts  # noqa: F401  the others register their queries in the catalog
+from corpusloom.plans import answers, catalog, layouts, scores, texts  # noqa: F401  the others register their queries in the catalog
 from corpusloom.sources import importers
 from corpusloom.streaming import counters
 from tests.conftest import SF
@@ -153,6 +153,87 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, counters.daily_counts(events).collect()))
 
 
+def test_index_stream_equals_batch(spark, tmp_path):
+    """After each of three micro-batches of adds, changes and removals the log leaves what an index of the texts has; a batch that is run
+    again changes nothing."""
+    from corpusloom.streaming import index
+
+    path, seen, texts = f"{tmp_path}/log", [], {}
+    batches = [
+        [(0, 1, "a cat, a cat", False), (0, 2, "dogs bark", False), (0, 3, None, False), (0, None, "lost", False), (0, 4, "", False)],
+        [(1, 1, "the dog", False), (1, 2, None, True), (1, 5, "first words", False), (2, 5, "last words words", False), (1, 9, None, True)],
+        [(3, 2, "dogs bark", False), (3, 5, "last words words", False), (3, 3, "no longer null", False), (3, 1, "x", True)],
+    ]
+    schema = "seq int, key long, text string, removed boolean"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        index.keep_up(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), path, f"{tmp_path}/ck").awaitTermination()
+        for _, key, text, removed in sorted(rows, key=lambda r: r[0]):
+            texts.pop(key, None)
+            if key is not None and not removed:
+                texts[key] = text
+        now = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        want = sorted(tuple(r) for r in lexical.postings(now).select("doc_id", "term", "tf", "dl").collect())
+        got = index.postings(spark, path, "bigint")
+        assert sorted(tuple(r) for r in got.where("term is not null").collect()) == want
+        assert sorted(r["key"] for r in got.select("key").distinct().collect()) == sorted(texts)
+        seen.append(want)
+    index.apply_changes(spark.createDataFrame(batches[2], schema), 2, path)
+    assert sorted(tuple(r) for r in index.postings(spark, path, "bigint").where("term is not null").collect()) == seen[-1]
+
+
+def test_layout_by_hand(spark):
+    pages = spark.createDataFrame([("b", i) for i in range(8)] + [("c", 1)], "book string, page int")
+    header = dict(enumerate("AABAABBA"))
+    lines = spark.createDataFrame([("b", i, "top", h, 10.0) for i, h in header.items()] + [("b", 0, "top", "once", 99.0), ("b", 7, "bottom", "f", 5.0), ("c", 1, "top", "A", 10.0)], "book string, page int, side string, key string, margin double")
+    chosen = layout.choices(pages, lines)
+    assert {(r["book"], r["page"]): (r["header"], r["top"], r["footer"]) for r in chosen.collect()} == {("b", i): (h, 10.0, None) for i, h in header.items()} | {("c", 1): (None, 0.0, None)}
+    found = layout.pairs(chosen)
+    assert sorted((r["book"], r["place"], r["header"], r["n"], r["selected"]) for r in found.where("book = 'b'").collect()) == [("b", 1, "A", 5, True), ("b", 2, "B", 3, True)]
+    # page 2 is an island, but its own pair fits it by more than the margin that an island may have
+    assert all(r["smooth"] == r["place"] for r in layout.smoothed(layout.assigned(chosen, found)).collect())
+    near = spark.createDataFrame([("b", i, p, {1: 0.0, 2: 3.0} if p == 1 else {1: 3.0, 2: 0.0}) for i, p in enumerate([1, 2, 1, 2, 1, 1, 2, 2, 1, 2, 1])], "book string, page int, place int, distances map<int,double>")
+    want, smooth = [1, 2, 1, 2, 1, 1, 2, 2, 1, 2, 1], None
+    smooth = list(want)
+    for i in range(1, len(want) - 1):
+        if smooth[i - 1] == want[i + 1] != smooth[i]:
+            smooth[i] = smooth[i - 1]
+    assert [r["smooth"] for r in layout.smoothed(near).orderBy("page").collect()] == smooth
+
+
+def test_reflow_and_page_ends_by_hand(spark):
+    text = "A long line of words that goes on and\non to a second line that is as long\nand ends. Yes.\nNew para-\ngraph here -\n\nlast-"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "\n\n")], "id long, text string")
+    got = [(r["id"], r["nth"], r["paragraph"]) for r in layout.reflowed(df, "id").orderBy("id", "nth").collect()]
+    assert got == [(1, 1, "A long line of words that goes on and on to a second line that is as long and ends. Yes."), (1, 2, "New paragraph here"), (1, 3, "last")]
+    pages = [("b", 1, "One.\n\nIt goes"), ("b", 2, "on"), ("b", 3, "and on"), ("b", 4, "still\n\nEnd."), ("b", 5, "# Head"), ("b", 6, "New."), ("b", 7, "small cut-"), ("b", 8, "ting"), ("b", 9, None), ("c", 1, "x")]
+    got = {(r["book"], r["page"]): r["text"] for r in layout.merged_pages(spark.createDataFrame(pages, "book string, page int, text string")).collect()}
+    assert got == {("b", 1): "One.\n\nIt goes on", ("b", 2): "", ("b", 3): "and on still", ("b", 4): "End.", ("b", 5): "# Head", ("b", 6): "New. small cut-", ("b", 7): "", ("b", 8): "ting", ("b", 9): "", ("c", 1): "x"}
+
+
+def test_widest_cover_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    seg = sorted({(k, a, a + rng.randrange(1, 900)) for k in range(6) for a in rng.sample(range(5000), 30)})
+    spans = [(rng.randrange(6), a, a + rng.choice([1, 7, 2000]), rng.choice("xy")) for a in rng.choices(range(5000), k=200)]
+    got = matching.widest_cover(spark.createDataFrame(seg, "key int, seg_start int, seg_end int"), spark.createDataFrame(spans, "key int, span_start int, span_end int, name string")).collect()
+    assert len(got) == len(seg)
+    for r in got:
+        over = [(a - b, a, b, n) for k, a, b, n in spans if k == r["key"] and a < r["seg_end"] and b > r["seg_start"]]
+        assert (tuple(r["span"]) if r["span"] else None) == (min(over)[1:] if over else None)
+
+
+def test_trees_by_hand(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("z", "y"), ("q", "q")], "src string, dst string")
+    below = {}
+    for r in graph.descendants(edges).collect():
+        below.setdefault(r["node"], set()).add(r["below"])
+    assert below == {"a": set("abcd"), "b": set("abcd"), "c": set("abcd"), "x": {"y"}, "z": {"y"}, "q": {"q"}}
+    nodes = spark.createDataFrame([(n,) for n in "abcdxyzqw"], "node_id string")
+    assert sorted(map(tuple, graph.single_root(nodes, edges).collect())) == sorted([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), *(("root", n) for n in "axzqw")])
+
+
 def test_one_to_one_is_taking_turns(spark):
     """Rounds of proposals against each i taking the best that is left, with many ties."""
     import random
