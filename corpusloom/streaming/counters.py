@@ -23,10 +23,10 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def run_to_table(counts: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Work through what is there, keep the counts in a table of the warehouse, and stop; a later call goes on from the checkpoint.
+    """Work through what is there, keep the counts in a table beside the checkpoint, and stop; a later call goes on from there.
     A batch that is run again writes the same table again."""
 
     def keep(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").saveAsTable(name)
+        df.write.mode("overwrite" if mode == "complete" else "append").option("path", f"{checkpoint}-{name}").saveAsTable(name)
 
     return counts.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
