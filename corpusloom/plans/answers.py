@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import answers, labels, segments, text
-from corpusloom.operators import alignment, chunking, excerpts
+from corpusloom.operators import alignment, chunking, excerpts, highlights
 from corpusloom.operators.matching import anchors, term_spans
 from corpusloom.plans.catalog import BASE, PAIRS, STEM, _bm25, _docs, _pairs, query, r6, spans_sql
 from corpusloom.plans.texts import CLAIMS, COLLAPSED, sql_of
@@ -271,8 +271,6 @@ def anchor_found(spark, sf_dir):
     """Anchors that were made at the places of a term, found again by the exact words and what stands round them."""
     d = _docs(spark, sf_dir).select("doc_id", "text")
     made = anchors(term_spans(d, ["license"]).select(F.col("key").alias("doc_id"), "nth", "span_start", "span_end").join(d, "doc_id"), 60)
-    places = F.transform(F.split(F.lower("text"), "license"), F.length)
-    starts = F.transform(F.sequence(F.lit(1), F.size(places) - 1), lambda k: F.aggregate(F.slice(places, 1, k), F.lit(0), lambda s, n: s + n) + (k - 1) * 7)
-    score = lambda s: excerpts.shared_end(F.substring(F.col("text"), F.greatest(s - 60, F.lit(0)) + 1, F.least(s, F.lit(60))), F.col("prefix")) + excerpts.shared_start(F.substring(F.col("text"), s + 8, F.length("suffix")), F.col("suffix"))
-    best = F.array_max(F.transform(starts, lambda s: F.struct(score(s).alias("score"), (-s).alias("at"))))
-    return made.select("doc_id", "nth", (-best["at"]).cast("long").alias("span_start"))
+    marks = made.select(F.struct("doc_id", "nth").alias("record_id"), F.col("doc_id").alias("key"), "exact", "prefix", "suffix")
+    found = highlights.found_anchors(marks, d.select(F.col("doc_id").alias("key"), "text"))
+    return found.select("record_id.doc_id", "record_id.nth", F.col("found_start").alias("span_start"))

@@ -1,6 +1,7 @@
 """The reference's operators: against their DuckDB SQL, and against hand-worked or plain-Python results."""
 
 import math
+import random
 import zipfile
 
 import pytest
@@ -8,9 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as answers_of
 from corpusloom.functions import labels, segments, text
-from corpusloom.operators import alignment, chunking, evaluation, excerpts, graph, layout, lexical, matching, retrieval, upkeep
+from corpusloom.operators import alignment, chunking, evaluation, excerpts, graph, highlights, layout, lexical, matching, retrieval, upkeep
 from corpusloom.operators.components import connected_components
-from corpusloom.plans import answers, catalog, layouts, scores, texts  # noqa: F401  the others register their queries in the catalog
+from corpusloom.plans import answers, catalog, layouts, records, scores, texts  # noqa: F401  the others register their queries in the catalog
 from corpusloom.sources import importers
 from corpusloom.streaming import counters
 from tests.conftest import SF
@@ -380,3 +381,58 @@ def test_blocks_are_merged(spark):
     rows = [(["", None, "start " + words, words + " till noon", "fox jumps", "new", "new and more"],), (["abc", "c and"],), ([],), (None,)]
     got = [r["t"] for r in spark.createDataFrame(rows, "l array<string>").select(excerpts.merged_blocks(F.col("l")).alias("t")).collect()]
     assert got == [f"start {words} till noon\n\nnew\n\nnew and more", "abc\n\nc and", "", None]
+
+
+def _anchor(body, exact, prefix, suffix):
+    """The place of an anchor worked out one place after another."""
+    alike = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    at = [i for i in range(len(body)) if exact and body.startswith(exact, i)]
+    if at:
+        back = lambda i: body[max(0, i - len(prefix)) : i][::-1]
+        s = max(at, key=lambda i: (alike(back(i), prefix[::-1]) + alike(body[i + len(exact) :], suffix), -i))
+        return s, s + len(exact), False
+    part = lambda c, cut: next((cut(n) for n in (len(c), 32, 24, 16, 12, 8) if 0 < n <= len(c) and cut(n) in body), None)
+    head, tail = part(prefix, lambda n: prefix[-n:]), part(suffix, lambda n: suffix[:n])
+    if head is None or tail is None:
+        return None
+    places = lambda x: [i for i in range(len(body)) if body.startswith(x, i)]
+    pairs = [(b - a - len(head), a + len(head)) for a in places(head) for b in places(tail) if b >= a + len(head)]
+    return (min(pairs)[1], sum(min(pairs)), True) if pairs else None
+
+
+def test_anchors_against_plain_python(spark):
+    rng = random.Random(7)
+    word = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = {k: word(rng.randint(0, 120), "ab\n\U0001f600") for k in range(40)} | {40: "aaaa", 41: "", 42: r"x\Ey\Qz x\Ey"}
+    rows = [(f"{k}:{i}", k, word(rng.randint(0, 5), "ab"), word(rng.randint(0, 14), "ab\n"), word(rng.randint(0, 14), "ab\n")) for k in texts for i in range(12)]
+    rows += [(f"{k}:c{i}", k, "zz", b[i : i + 10], b[i + 13 : i + 24]) for k, b in texts.items() for i in range(0, max(0, len(b) - 30), 9)]
+    rows += [("e", 42, r"x\Ey", r"\Qz ", ""), ("n", 3, None, None, None), ("gone", 99, "a", "b", "c"), ("wide", 40, "aa", "aa", "")]
+    anchors = spark.createDataFrame(rows, "record_id string, key long, exact string, prefix string, suffix string")
+    d = spark.createDataFrame([*texts.items(), (50, None)], "key long, text string")
+    got = {r["record_id"]: (r["found_start"], r["found_end"], r["inferred"]) for r in highlights.found_anchors(anchors, d).collect()}
+    want = {r: _anchor(texts[k], *(x or "" for x in rest)) for r, k, *rest in rows if texts.get(k)}
+    assert got == {r: w for r, w in want.items() if w}
+    assert sum(g[2] for g in got.values()) > 20 and got["e"] == (8, 12, False) and got["wide"] == (2, 4, False)
+
+
+def test_terms_of_records(spark):
+    d = spark.createDataFrame([(1, "Cat, cats; CAT\r\ncat_a Café+cat"), (2, "no\u2029such a.b a.b.c"), (3, None), (4, "")], "key long, text string")
+    rows = [("own", 1, "cat", False, False), ("word", 1, "cat", False, True), ("case", 1, "CAT", True, True), ("all", None, "cat", False, False), ("dots", None, "A.B", False, True), ("odd", 2, "\\E", True, False), ("blank", 1, " ", True, False), ("null", None, None, True, True), ("lost", 9, "cat", True, True), ("line", 2, "no\nsuch", True, True)]
+    terms = spark.createDataFrame(rows, "record_id string, key long, exact string, case_sensitive boolean, whole_word boolean")
+    got = {}
+    for r in highlights.found_terms(terms, d).orderBy("found_start").collect():
+        got.setdefault((r["record_id"], r["key"]), []).append((r["found_start"], r["found_end"]))
+    whole = [(0, 3), (11, 14), (26, 29)]
+    assert got == {("own", 1): [(0, 3), (5, 8), (11, 14), (15, 18), (26, 29)], ("word", 1): whole, ("case", 1): [(11, 14)], ("all", 1): whole, ("dots", 2): [(8, 11), (12, 15)], ("line", 2): [(0, 7)]}
+
+
+def test_records_follow_their_text(spark):
+    d = spark.createDataFrame([(1, "one two three four five six seven"), (2, "alpha omega12345 x"), (3, "")], "key long, text string")
+    rows = [("kept", 1, "two", "one ", " three four five six seven", "anchor"), ("moved", 1, "two", "one ", " three", "anchor"), ("inferred", 1, "gone", "one two ", " four five", "anchor"), ("empty", 2, "gone", "alpha om", "ega12345", "anchor"), ("lost", 2, "gone", "", "", "anchor"), ("void", 3, "a", "b", "c", "anchor"), ("away", 8, "a", "b", "c", "anchor")]
+    records = spark.createDataFrame(rows, "record_id string, key long, exact string, prefix string, suffix string, mode string")
+    got = {r["record_id"]: (r["exact"], r["prefix"], r["suffix"], r["changed"]) for r in highlights.synced_anchors(records, d).collect()}
+    rest = {n: (*r[:3], False) for n, _, *r in rows if n in ("kept", "lost", "void", "away")}
+    assert got == rest | {"moved": ("two", "one ", " three four five six seven", True), "inferred": ("three", "one two ", " four five six seven", True)}
+    shown = records.selectExpr("*", "case when record_id = 'kept' then 'glossary' else 'mark' end as kind", "true as case_sensitive", "true as whole_word")
+    assert {r["record_id"] for r in highlights.resolve_matches(shown, d).collect()} == {"kept", "moved", "inferred"}
+    assert {r["record_id"] for r in highlights.resolve_matches(shown, d, glossary=False).collect()} == {"moved", "inferred"}
