@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zipfile
 
 import pytest
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as answers_of
 from corpusloom.functions import labels, segments, text
-from corpusloom.operators import alignment, chunking, evaluation, excerpts, graph, highlights, layout, lexical, matching, retrieval, upkeep
+from corpusloom.operators import alignment, chunking, evaluation, excerpts, graph, highlights, layout, lexical, maps, matching, retrieval, upkeep
 from corpusloom.operators.components import connected_components
-from corpusloom.plans import answers, catalog, layouts, records, scores, texts  # noqa: F401  the others register their queries in the catalog
+from corpusloom.plans import answers, atlas, catalog, layouts, records, scores, texts  # noqa: F401  the others register their queries in the catalog
 from corpusloom.sources import importers
 from corpusloom.streaming import counters
 from tests.conftest import SF
@@ -436,3 +437,54 @@ def test_records_follow_their_text(spark):
     shown = records.selectExpr("*", "case when record_id = 'kept' then 'glossary' else 'mark' end as kind", "true as case_sensitive", "true as whole_word")
     assert {r["record_id"] for r in highlights.resolve_matches(shown, d).collect()} == {"kept", "moved", "inferred"}
     assert {r["record_id"] for r in highlights.resolve_matches(shown, d, glossary=False).collect()} == {"moved", "inferred"}
+
+
+def _cut(text, longest):
+    """Segments worked out one after another."""
+    white, out = " \t\r\n\f\x0b", []
+    for block in re.split(r"\n[ \t\r\n\f\x0b]*\n", text.strip(white)):
+        rest = block.strip(white)
+        while len(rest) > longest:
+            head = rest[:longest]
+            at = max(head.rfind(s) for s in (". ", "; ", ", "))
+            at = at if at >= longest // 2 else longest
+            out.append(rest[:at].strip(white))
+            rest = rest[at:].strip(white)
+        out.append(rest)
+    return [x for x in out if x]
+
+
+def test_segments_against_plain_python(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ab", "é\U0001f600", " ", ". ", ", ", "; ", "\n", "\n\n", ".", "\n \n"]) for _ in range(rng.randint(0, 200))) for _ in range(150)] + ["", None, "x" * 200, " \n ", "a" * 39 + ". " + "b" * 39]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r["i"]: r["s"] for r in d.select("i", maps.segments(F.col("text"), 40).alias("s")).collect()}
+    assert got == {i: None if t is None else _cut(t, 40) for i, t in enumerate(texts)}
+
+
+def test_maps_by_hand(spark):
+    nodes = spark.createDataFrame([(1, "b", "water cycle", 2, 0), (1, "a", "river", 2, 0), (1, "root", "Earth", 1, 6), (1, "deep", "sea", 3, 0), (1, "void", "", 2, 0), (2, "x", "stone", 1, 1)], "key long, node_id string, label string, depth int, children int")
+    asked = spark.createDataFrame([(1, "What is the water for?"), (3, "nothing")], "key long, query string")
+    picks = maps.frontier_rounds(nodes, asked, 9)
+    got = [tuple(r) for r in picks.orderBy("key", "round").select("key", "round", "node_id", "score").collect()]
+    assert got == [(1, 1, "b", 13), (1, 2, "a", 10), (1, 3, "b", 9), (1, 4, "a", 6), (2, 1, "x", 12), (2, 2, "x", 8)]
+    pieces = spark.createDataFrame([(1, 1, "Rain is water."), (1, 2, "The river bends. More."), (1, 3, "Old trees grow here, slowly. Yes."), (1, 4, "12 34"), (2, 1, "rocks")], "key long, nth int, segment string")
+    found = maps.evidence(picks, pieces, asked)
+    assert {(r["key"], r["round"], r["nth"], r["shared"]) for r in found.collect()} == {(1, 1, 1, 1), (1, 2, 1, 1), (1, 2, 2, 1), (1, 3, 1, 1), (1, 4, 1, 1), (1, 4, 2, 1)}
+    got = [tuple(r) for r in maps.coverage(picks, found, pieces).orderBy("key", "round").collect()]
+    assert got == [(1, 1, 1, 0.25), (1, 2, 2, 0.5), (1, 3, 2, 0.5), (1, 4, 2, 0.5), (2, 1, 0, 0.0), (2, 2, 0, 0.0)]
+    got = [tuple(r) for r in maps.gaps(pieces, found, nodes).orderBy("key", "gap").collect()]
+    assert got == [(1, 1, 3, "Old trees grow here, slowly", "a"), (1, 2, 4, "Luecke 2", "a"), (2, 1, 1, "rocks", "x")]
+    seeds = spark.createDataFrame([(1, 1, "Tables table format chair the"), (1, 2, "chair sofa format format"), (2, 1, "a b")], "key long, nth int, segment string")
+    assert [tuple(r) for r in maps.seed_concepts(seeds, 2).orderBy("place").collect()] == [(1, 1, "chair", 2), (1, 2, "tables", 1)]
+
+
+def test_grounding_by_hand(spark):
+    rows = [(1, "a", "Bridges"), (1, "b", "xeno"), (1, "c", "## Markup"), (2, "a", "graph format"), (2, "b", ""), (3, "a", "rowboats at s"), (3, "b", "sea"), (5, "a", "nothing of it"), (5, "b", 'said "a" und "b"')]
+    texts = [(1, "The bridge by x", ""), (2, "text", None), (3, "Two rowboats at sea", None), (4, None, "q"), (5, "", "")]
+    got = maps.grounding_report(spark.createDataFrame(rows, "key long, node_id string, label string"), spark.createDataFrame(texts, "key long, text string, query string"))
+    got = {r["key"]: tuple(r)[1:] for r in got.collect()}
+    assert got == {
+        1: (3, 2, 0.6667, 1, 0.3333, True, "grounded"), 2: (2, 0, 0.0, 1, 0.5, False, "meta_labels_detected"), 3: (2, 2, 1.0, 0, 0.0, True, "grounded"),
+        4: (0, 0, 0.0, 0, 0.0, False, "grounding_missing_spec"), 5: (2, 0, 0.0, 1, 0.5, False, "meta_labels_detected"),
+    }
