@@ -5,11 +5,11 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from corpusloom.functions.text import collapsed, plain_normal
+from corpusloom.functions.text import collapsed, glossary_normal, plain_normal
 from corpusloom.session import Scratch
 
 COUNTS = ("best_block", "inserted_lines", "deleted_lines", "replaced_lines")
@@ -71,6 +71,55 @@ def match_metrics(rows: DataFrame, key: str) -> DataFrame:
     return n.select(key, "matched", "expected", "predicted", "recall", "precision", f1.alias("f1"))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of `n` characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def similar_terms(expected: DataFrame, generated: DataFrame, key: str, within: float = 0.92) -> DataFrame:
+    """(key, i, j, score) of the terms (key, i, term) and (key, j, term) that are alike: 1 where they are equal in their normal form, `within`
+    where one holds the other, else the ratio of characters that agree, if it is 0.9 or more. Blank terms are like none.
+
+    No term is held against all others. Two terms with u characters in which they differ, at most a tenth of both lengths, agree in u + 1
+    runs at most, of which one has three characters or more: they share a run of three. Besides, u changes break three such runs
+    each, so of the 3u + 1 runs of a term that are rarest one is in the other. A term that is held by another has its rarest run in it."""
+    scratch = Scratch(expected.sparkSession, "terms")
+    side = lambda d, at: d.select(key, at, glossary_normal(F.col("term")).alias("t")).where("t <> ''")
+    left, right = scratch(side(expected, "i"), "left"), scratch(side(generated, "j"), "right")
+    runs = lambda d, at: d.select(key, at, F.length("t").alias("n"), F.explode(_grams(F.col("t"), 3)).alias("gram"))
+    a, b = scratch(runs(left, "i"), "a"), scratch(runs(right, "j"), "b")
+    often = a.select("gram").union(b.select("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = lambda d, at: d.join(often, "gram").withColumn("rank", F.row_number().over(Window.partitionBy(key, at).orderBy("df", "gram")))
+    # with the other term as long as a ratio of 0.9 allows, both have 20/9 of this one's length, and differ in a tenth of that
+    probes = ranked(a, "i").where(F.col("rank") <= 3 * F.floor(F.col("n") * 2 / 9) + 1).select(key, "i", "gram")
+    met = probes.join(b.select(key, "j", "gram"), [key, "gram"]).select(key, "i", "j")
+    held = ranked(b, "j").where("rank = 1").select(key, "j", "gram").join(a.select(key, "i", "gram"), [key, "gram"]).select(key, "i", "j")
+    equal = left.join(right, [key, "t"]).select(key, "i", "j")
+    # terms of one or two characters are looked for among runs of their length
+    short = lambda few, many, at, to: few.where("length(t) < 3").select(key, at, F.col("t").alias("gram")).join(many.select(key, to, F.explode(F.concat(_grams(F.col("t"), 1), _grams(F.col("t"), 2))).alias("gram")), [key, "gram"]).select(key, "i", "j")
+    pairs = met.union(held).union(equal).union(short(left, right, "i", "j")).union(short(right, left, "j", "i")).distinct()
+    told = pairs.join(left.withColumnRenamed("t", "x"), [key, "i"]).join(right.withColumnRenamed("t", "y"), [key, "j"])
+    sure = F.when(F.col("x") == F.col("y"), 1.0).when(F.contains("x", "y") | F.contains("y", "x"), within)
+    near = 2 * F.least(F.length("x"), F.length("y")) >= 0.9 * (F.length("x") + F.length("y")) - 1e-9
+    told = told.withColumn("sure", sure).where(F.col("sure").isNotNull() | near)
+    ask = lambda c: F.when(F.col("sure").isNull(), F.col(c))
+    out = scratch(told.select(key, "i", "j", F.coalesce("sure", _ratio(ask("x"), ask("y"))).alias("score")).where("score >= 0.9"), "alike")
+    scratch.drop("left", "right", "a", "b")
+    return out
+
+
+def term_metrics(expected: DataFrame, generated: DataFrame, key: str) -> DataFrame:
+    """(key, expected, generated, found, recall, precision, f1, hit_all) for every key of either side: a term is found if a generated one is like
+    it; several may be found by the same one."""
+    found = similar_terms(expected, generated, key).select(key, "i").distinct().groupBy(key).agg(F.count("*").alias("found"))
+    n = expected.groupBy(key).agg(F.count("*").alias("expected")).join(generated.groupBy(key).agg(F.count("*").alias("generated")), key, "full")
+    n = n.join(found, key, "left").fillna(0, ["expected", "generated", "found"])
+    part = lambda c: F.coalesce(F.try_divide(F.col("found").cast("double"), F.col(c)), F.lit(0.0))
+    n = n.withColumns({"recall": part("expected"), "precision": part("generated")})
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return n.select(key, "expected", "generated", "found", "recall", "precision", f1.alias("f1"), ((F.col("expected") > 0) & (F.col("found") >= F.col("expected"))).alias("hit_all"))
+
+
 @F.pandas_udf(LINES)
 def _lines(expected: pd.Series, actual: pd.Series) -> pd.DataFrame:
     def one(a, b):

@@ -23,6 +23,9 @@ META_PHRASES = (
     "die art der beziehung zwischen den knoten", "keine erklaerungen ausserhalb", "antworte nur mit",
 )
 META_SETS = (("relation", "beziehung", "knoten"), ("source", "target"), ("nodes", "edges"), ("graph", "format"), ("mindmap", "format"))
+# fixed values: marked and numbered headings; a small letter that begins a word, or a capital inside one
+HEADING, NUMBERED = r"^(#{1,6})\s+(.+?)\s*$", r"^(\d+(?:\.\d+){0,4})\s+(.+?)\s*$"
+UNTITLED = r"(?:^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}|[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]"
 MARKUP = r"(?m)(?:```|^\s*#+\s|^\s*[-*]\s|\*\*|^\s*[\[\]{}(),:;]+\s*$)"
 
 
@@ -41,6 +44,40 @@ def segmented(docs: DataFrame, key: str, longest: int = 700) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.posexplode(segments(F.col("text"), longest)).alias("i", "segment")).select("key", (F.col("i") + 1).alias("nth"), "segment")
 
 
+def outline(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(key, nth, label, level): the lines of each text (key, text) that are headings: marked ones, numbered ones, by the parts of their number, and
+    short ones in which every word begins with a capital. Of a text without any, the first sentences of its first six segments."""
+    lines = docs.select("key", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("key", (F.col("i") + 1).alias("nth"), F.btrim("line", F.lit(WHITE)).alias("line")).where("line <> ''")
+    part = lambda pattern, group: F.regexp_extract("line", pattern, group)
+    marked, numbered = F.col("line").rlike(HEADING), F.col("line").rlike(NUMBERED)
+    capital = (F.length("line") <= 80) & ~F.col("line").rlike(UNTITLED) & ~F.col("line").rlike("[.:;]$")
+    level = F.when(marked, F.length(part(HEADING, 1))).when(numbered, F.length(F.regexp_replace(part(NUMBERED, 1), "[^.]", "")) + 1).when(capital, F.lit(1))
+    said = F.when(marked, part(HEADING, 2)).when(numbered, part(NUMBERED, 2)).otherwise(F.col("line"))
+    found = lines.withColumn("level", level).where("level is not null").select("key", "nth", labels.clean(said, 2, 90).alias("label"), "level").where("label <> ''")
+    bare = pieces.where("nth <= 6").join(docs.select("key"), "key", "left_semi").join(found.select("key").distinct(), "key", "left_anti")
+    first = labels.clean(F.substring_index("segment", ".", 1), 2, 72)
+    return found.union(bare.select("key", "nth", first.alias("label"), F.lit(1).alias("level")).where("label <> ''"))
+
+
+def focus_sections(sections: DataFrame, queries: DataFrame, limit: int = 6) -> DataFrame:
+    """(key, rank, nth, shared): a map's sections (key, nth, label) by how many words of the query they have; ties: the first. Those without one come last."""
+    asked = queries.select("key", labels.words(F.coalesce("query", F.lit(""))).alias("asked"))
+    told = sections.join(asked, "key", "left").withColumn("shared", F.size(F.array_intersect(F.coalesce("asked", F.array().cast("array<string>")), labels.words(F.col("label")))))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "nth"))
+    return told.withColumn("rank", rank).where(F.col("rank") <= limit).select("key", "rank", "nth", "shared")
+
+
+def focus_segments(pieces: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(key, rank, nth, shared): a map's segments by how many words of the query they have, only those that have one; ties: the first.
+    A query without words, or none, has them all count as one."""
+    asked = queries.select("key", labels.words(F.coalesce("query", F.lit(""))).alias("asked"))
+    none = F.array().cast("array<string>")
+    told = pieces.join(asked, "key", "left").select("key", "nth", F.coalesce("asked", none).alias("asked"), labels.words(F.col("segment")).alias("w"))
+    shared = F.when(F.size("asked") == 0, 1).otherwise(F.size(F.array_intersect("asked", "w")))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "nth"))
+    return told.withColumn("shared", shared).where("shared > 0").withColumn("rank", rank).where(F.col("rank") <= limit).select("key", "rank", "nth", "shared")
+
+
 def seed_concepts(pieces: DataFrame, limit: int = 12) -> DataFrame:
     """(key, place, label, n): a map's most frequent words of four letters or more; ties: that which comes first. Of the three times
     `limit` first ones those that name a form, or have the stems of an earlier one, are left out."""

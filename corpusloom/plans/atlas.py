@@ -84,6 +84,35 @@ def coverage_gaps(spark, sf_dir):
     return maps.gaps(pieces, found, nodes).withColumnRenamed("key", "doc_id")
 
 
+OUTLINE = rf"""{SEGMENTS}, ln AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), {BLANK}) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS nth FROM documents),
+hd AS (SELECT doc_id, nth, CASE WHEN regexp_matches(line, '{maps.HEADING}') THEN length(regexp_extract(line, '{maps.HEADING}', 1)) WHEN regexp_matches(line, '{maps.NUMBERED}') THEN 1 + length(regexp_replace(regexp_extract(line, '{maps.NUMBERED}', 1), '[^.]', '', 'g'))
+    WHEN length(line) <= 80 AND NOT regexp_matches(line, '{maps.UNTITLED}') AND NOT regexp_matches(line, '[.:;]$') THEN 1 END AS level,
+  CASE WHEN regexp_matches(line, '{maps.HEADING}') THEN regexp_extract(line, '{maps.HEADING}', 2) WHEN regexp_matches(line, '{maps.NUMBERED}') THEN regexp_extract(line, '{maps.NUMBERED}', 2) ELSE line END AS said FROM ln WHERE line <> ''),
+fd AS (SELECT doc_id, nth, {_clean('said', 2, 90)} AS label, level FROM hd WHERE level IS NOT NULL), fk AS (SELECT * FROM fd WHERE label <> ''),
+sx AS (SELECT * FROM fk UNION ALL SELECT * FROM (SELECT doc_id, nth, {_clean("split_part(piece, '.', 1)", 2, 72)} AS label, 1 AS level FROM seg WHERE nth <= 6 AND doc_id NOT IN (SELECT doc_id FROM fk)) WHERE label <> ''),
+qq AS (SELECT doc_id, {_words("left(split_part(text, '.', 1), 200)")} AS asked FROM documents WHERE text IS NOT NULL)"""
+
+
+def _outline(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents")).where("text is not null").select(F.col("doc_id").alias("key"), "text")
+    pieces = maps.segmented(docs, "key")
+    return maps.outline(docs, pieces), pieces, docs.select("key", F.left(F.substring_index("text", ".", 1), F.lit(200)).alias("query"))
+
+
+@query(f"WITH RECURSIVE {OUTLINE} SELECT doc_id, nth, label, level::INT AS level FROM sx")
+def outline(spark, sf_dir):
+    return _outline(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
+
+
+@query(f"""WITH RECURSIVE {OUTLINE}, a AS (SELECT doc_id, nth, len(list_intersect(asked, {_words('label')}))::INT AS shared FROM sx JOIN qq USING (doc_id)), b AS (SELECT doc_id, nth, (CASE WHEN len(asked) = 0 THEN 1 ELSE len(list_intersect(asked, {_words('piece')})) END)::INT AS shared FROM seg JOIN qq USING (doc_id))
+SELECT doc_id, 'section' AS kind, (row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, nth))::INT AS rank, nth, shared FROM a QUALIFY rank <= 6 UNION ALL SELECT doc_id, 'segment', (row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, nth))::INT AS rank, nth, shared FROM b WHERE shared > 0 QUALIFY rank <= 10""")
+def source_focus(spark, sf_dir):
+    """The sections and segments of each document that have most of its first sentence's words."""
+    sections, pieces, asked = _outline(spark, sf_dir)
+    kind = lambda d, k: d.select(F.col("key").alias("doc_id"), F.lit(k).alias("kind"), "rank", "nth", "shared")
+    return kind(maps.focus_sections(sections, asked), "section").union(kind(maps.focus_segments(pieces, asked), "segment"))
+
+
 LABELS = ("a", "b", "c")
 
 

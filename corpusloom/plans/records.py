@@ -1,4 +1,4 @@
-"""Registered queries over highlight records, and their DuckDB SQL.
+"""Registered queries over highlight records, and their DuckDB SQL; terms of one text looked for in another.
 
 Each place of a word in a document is an anchor, and each document is then edited: some get a line in front, in some the
 word is another, some lose their beginning."""
@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import highlights, matching
-from corpusloom.plans.catalog import GLOSSARY, query, spans_sql
+from corpusloom.operators import alignment, highlights, matching, variables
+from corpusloom.plans.catalog import GLOSSARY, _pairs, query, r6, spans_sql
 from corpusloom.session import spread, table
 
 ANCHORS = f"""a AS (SELECT s.doc_id, i AS nth, text[a + 1:e] AS exact, text[greatest(0, a - 48) + 1:a] AS prefix, text[e + 1:e + 48] AS suffix FROM ({spans_sql('license')}) s JOIN documents USING (doc_id)),
@@ -62,3 +62,35 @@ SELECT doc_id || ':' || nth AS record_id, doc_id, md5(exact) AS exact, md5(prefi
 def anchor_sync(spark, sf_dir):
     out = highlights.synced_anchors(*_records(spark, sf_dir))
     return out.select("record_id", F.col("key").alias("doc_id"), *(F.md5(c).alias(c) for c in ("exact", "prefix", "suffix")), "changed")
+
+
+def _terms(spark, sf_dir):
+    """Runs of up to three words of each turn, and of its answer, one after another."""
+    cut = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+(?: [\p{L}\p{N}]+){0,2}"), 0))
+    pairs = _pairs(spark, sf_dir)
+    return tuple(pairs.select("case_id", F.posexplode(cut(c)).alias(at, "term")) for c, at in (("expected", "i"), ("actual", "j")))
+
+
+@query()
+def glossary_metrics(spark, sf_dir):
+    """How many of a turn's terms its answer has, or has one that is like them."""
+    out = alignment.term_metrics(*_terms(spark, sf_dir), "case_id")
+    return out.select("case_id", "expected", "generated", "found", r6("recall"), r6("precision"), r6("f1"), "hit_all")
+
+
+VARIABLES = [("License Name", "permit {{ und }}"), ("und", "and ${the}"), ("THE", "our")]
+
+
+@query("""WITH t AS (SELECT doc_id, replace(replace(replace(coalesce(text, ''), 'license', '${license-name}'), ' the ', ' ${the} '), ' und ', ' {{ und }} ') || '${nobody}{{  }}' AS t FROM documents),
+a AS (SELECT *, replace(replace(t, '${license-name}', 'permit {{ und }}'), '${the}', 'our') AS b FROM t)
+SELECT doc_id, md5(replace(b, '{{ und }}', 'and ${the}')) AS digest,
+  array_to_string(list_transform(list_sort(list_filter([(strpos(t, '${license-name}'), 'license-name'), (strpos(t, '${the}'), 'the')], lambda x: x[1] > 0)), lambda x: x[2]), ',') || CASE WHEN NOT contains(b, '{{ und }}') THEN '' WHEN contains(t, '${license-name}') OR contains(t, '${the}') THEN ',und' ELSE 'und' END AS used, 'nobody' AS missing FROM a""")
+def variable_substitution(spark, sf_dir):
+    """Documents with placeholders for some words, filled in."""
+    text = F.coalesce("text", F.lit(""))
+    for word, holder in (("license", "${license-name}"), (" the ", " ${the} "), (" und ", " {{ und }} ")):
+        text = F.replace(text, F.lit(word), F.lit(holder))
+    texts = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), F.concat(text, F.lit("${nobody}{{  }}")).alias("text"))
+    known = spark.createDataFrame([(i, *v) for i, v in enumerate(VARIABLES)], "place int, name string, value string")
+    out = variables.substituted(texts, known)
+    return out.select(F.col("key").alias("doc_id"), F.md5("text").alias("digest"), F.array_join("used", ",").alias("used"), F.array_join("missing", ",").alias("missing"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as answers_of
 from corpusloom.functions import labels, segments, text
-from corpusloom.operators import alignment, chunking, evaluation, excerpts, graph, highlights, layout, lexical, maps, matching, retrieval, upkeep
+from corpusloom.operators import alignment, chunking, evaluation, excerpts, graph, highlights, layout, lexical, maps, matching, retrieval, upkeep, variables
 from corpusloom.operators.components import connected_components
 from corpusloom.plans import answers, atlas, catalog, layouts, records, scores, texts  # noqa: F401  the others register their queries in the catalog
 from corpusloom.sources import importers
@@ -488,3 +488,68 @@ def test_grounding_by_hand(spark):
         1: (3, 2, 0.6667, 1, 0.3333, True, "grounded"), 2: (2, 0, 0.0, 1, 0.5, False, "meta_labels_detected"), 3: (2, 2, 1.0, 0, 0.0, True, "grounded"),
         4: (0, 0, 0.0, 0, 0.0, False, "grounding_missing_spec"), 5: (2, 0, 0.0, 1, 0.5, False, "meta_labels_detected"),
     }
+
+
+def _alike(x, y):
+    from difflib import SequenceMatcher
+
+    return 1.0 if x == y else 0.92 if x in y or y in x else SequenceMatcher(None, x, y, autojunk=False).ratio()
+
+
+def test_similar_terms_against_all_pairs(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 45))) for _ in range(120)]
+
+    def changed(t):
+        t = list(t)
+        for _ in range(rng.randint(0, 1 + len(t) // 9)):
+            at = rng.randint(0, len(t))
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        return "".join(t)
+
+    left = [(i % 3, i, t) for i, t in enumerate(base + ["", "  ", None, "aa", "b", "Über-Maß", "aaaaaaaaaaaaaaaaaaaa"])]
+    right = [(i % 3, i, changed(t)) for i, t in enumerate(base)] + [(k, 200 + i, t) for i, t in enumerate(["a", "aab", "über maß", "aaaaaaaaaaaaaaaaaaa", "", None, "bcd"]) for k in range(3)]
+    schema = "k int, {} int, term string"
+    a, b = spark.createDataFrame(left, schema.format("i")), spark.createDataFrame(right, schema.format("j"))
+    told = [{(r["k"], r[at]): r["t"] for r in d.select("k", at, text.glossary_normal(F.col("term")).alias("t")).collect() if r["t"]} for d, at in ((a, "i"), (b, "j"))]
+    want = {(k, i, j): round(s, 9) for (k, i), x in told[0].items() for (m, j), y in told[1].items() if k == m and (s := _alike(x, y)) >= 0.9}
+    got = {(r["k"], r["i"], r["j"]): round(r["score"], 9) for r in alignment.similar_terms(a, b, "k").collect()}
+    assert got == want and sum(0.9 <= s < 1 and s != 0.92 for s in want.values()) > 20
+    m = {r["k"]: r for r in alignment.term_metrics(a, b.where("k < 2"), "k").collect()}
+    assert m[2]["generated"] == 0 and m[2]["precision"] == 0.0 and m[0]["found"] == len({i for k, i, _ in want if k == 0})
+
+
+def test_glossary_metrics_against_all_pairs(spark):
+    a, b = (records_of(d, at) for d, at in zip(records._terms(spark, SF), "ij"))
+    got = {r["case_id"]: r["found"] for r in catalog.QUERIES["glossary_metrics"](spark, SF).collect()}
+    want = {k: sum(any(_alike(x, y) >= 0.9 for y in b.get(k, [])) for x in a.get(k, [])) for k in a.keys() | b.keys()}
+    assert got == want and sum(want.values()) > 0
+
+
+def records_of(d, at):
+    out = {}
+    for r in d.select("case_id", text.glossary_normal(F.col("term")).alias("t")).where("t <> ''").collect():
+        out.setdefault(r["case_id"], []).append(r["t"])
+    return out
+
+
+def test_variables_by_hand(spark):
+    known = spark.createDataFrame([(0, "Name", "N"), (1, " a-b ", "{{name}}"), (2, "NAME", "M"), (3, "void", None), (4, "", "x"), (5, "a_b", "second"), (6, "deep", "${Name}")], "place int, name string, value string")
+    rows = [(1, "${Name} ${name} ${NAME} {{ name }}"), (2, "${A B}|{{deep}}|${deep}"), (3, "${ } ${none} {{none}} ${void}."), (4, "plain $ {x}"), (5, ""), (6, None), (7, "${A_B}${a-b}")]
+    got = {r["key"]: (r["text"], r["used"], r["missing"]) for r in variables.substituted(spark.createDataFrame(rows, "key int, text string"), known).collect()}
+    assert got == {
+        1: ("N N M N", ["Name", "name", "NAME"], []), 2: ("N|${Name}|${Name}", ["A B", "deep", "name"], []),
+        3: ("${ } ${none} {{none}} .", ["void"], ["none"]), 4: ("plain $ {x}", [], []), 5: ("", [], []), 6: ("", [], []),
+        7: ("secondN", ["A_B", "a-b", "name"], []),
+    }
+
+
+def test_outlines_by_hand(spark):
+    body = "  \nintro of it\n## Deep Sea \n1.2.3 the third part\nAll About Water\nNot about it\nAll Done.\n# 12\nÜber Alles It\n" + "Long " * 20
+    pieces = spark.createDataFrame([(2, 1, "first words. more"), (2, 2, "12"), (3, 1, "x")], "key long, nth int, segment string")
+    docs = spark.createDataFrame([(1, body), (2, "first words. more\n\n12"), (4, ""), (5, None)], "key long, text string")
+    got = maps.outline(docs, pieces)
+    assert [tuple(r) for r in got.orderBy("key", "nth").collect()] == [(1, 3, "Deep Sea", 2), (1, 4, "the third part", 3), (1, 5, "All About Water", 1), (1, 9, "Über Alles It", 1), (2, 1, "first words", 1)]
+    asked = spark.createDataFrame([(1, "the water and the sea"), (2, ""), (3, "y")], "key long, query string")
+    assert [tuple(r) for r in maps.focus_sections(got, asked, 3).orderBy("key", "rank").collect()] == [(1, 1, 3, 1), (1, 2, 5, 1), (1, 3, 4, 0), (2, 1, 1, 0)]
+    assert [tuple(r) for r in maps.focus_segments(pieces, asked).orderBy("key", "rank").collect()] == [(2, 1, 1, 1), (2, 2, 2, 1)]
