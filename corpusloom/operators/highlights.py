@@ -123,3 +123,38 @@ def synced_anchors(records: DataFrame, texts: DataFrame) -> DataFrame:
         same = same & F.col(c).eqNullSafe(F.col(f"made.{c}"))
     rest = [c for c in records.columns if c not in parts]
     return kept.select(*rest, *(F.when(F.col("made").isNull(), F.col(c)).otherwise(F.col(f"made.{c}")).alias(c) for c in parts), (F.col("made").isNotNull() & ~same).alias("changed"))
+
+
+def tab_name(name: Column) -> Column:
+    """A tab's name without blanks round it and without the mark of a locked one."""
+    bare = F.trim(F.coalesce(name, F.lit("")))
+    return F.when(bare.startswith("\U0001f512 "), F.trim(F.substring(bare, 3, 1 << 30))).otherwise(bare)
+
+
+def glossary_records(entries: DataFrame) -> DataFrame:
+    """(exact, definition, kind, mode, case_sensitive, whole_word): a record for each term and alias of two characters or more of `entries` (place,
+    term, aliases, definition), whatever its case once only, as its first entry has it; an entry's term comes before its aliases. Places are unique."""
+    names = F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))
+    each = entries.select("place", F.trim(F.coalesce("definition", F.lit(""))).alias("definition"), F.posexplode(F.transform(names, lambda n: F.trim(n))).alias("at", "exact")).where(F.length("exact") >= 2)
+    won = each.groupBy(F.lower("exact").alias("low")).agg(F.min(F.struct("place", "at", "exact", "definition")).alias("w"))
+    return won.select("w.exact", "w.definition", F.lit("glossary").alias("kind"), F.lit("term_all").alias("mode"), F.lit(False).alias("case_sensitive"), F.lit(True).alias("whole_word"))
+
+
+def preview(exact: Column, longest: int = 40) -> Column:
+    """An anchor's words on one line, cut with dots beyond `longest` characters."""
+    line = F.trim(F.regexp_replace(F.coalesce(exact, F.lit("")), r"(?U)\s+", " "))
+    return F.when(F.length(line) > longest, F.concat(F.left(line, F.lit(longest - 3)), F.lit("..."))).otherwise(line)
+
+
+def jump_targets(records: DataFrame) -> DataFrame:
+    """(record_id, kind, tabs, exact_preview) of the records (record_id, kind, tabs, exact) that are no glossary's."""
+    tabs = F.filter(F.transform(F.coalesce("tabs", F.array().cast("array<string>")), tab_name), lambda t: t != "")
+    return records.where("kind is distinct from 'glossary'").select("record_id", "kind", tabs.alias("tabs"), preview(F.col("exact")).alias("exact_preview"))
+
+
+def renamed_tabs(tabs: Column, old: str, new: str) -> Column:
+    """Names of tabs after one is renamed, each once, in order. Names without the old one, and all if old or new is blank or they are equal, stay as they are."""
+    before, after = tab_name(F.lit(old)), tab_name(F.lit(new))
+    bare = F.filter(F.transform(tabs, tab_name), lambda t: t != "")
+    moved = F.array_distinct(F.transform(bare, lambda t: F.when(t == before, after).otherwise(t)))
+    return F.when((before != "") & (after != "") & (before != after) & F.array_contains(bare, before), moved).otherwise(tabs)

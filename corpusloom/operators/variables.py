@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import Scratch
+
 # fixed values: the first form of a placeholder, and the second, which is looked for in what the first pass made
 FORMS = (r"\$\{([^{}]+)\}", r"\{\{\s*([^{}]+?)\s*\}\}")
 
@@ -27,12 +29,13 @@ def _values(names: DataFrame, variables: DataFrame) -> DataFrame:
     return out.select("name", F.coalesce("v0", "v1", "v2").alias("value")).where("value is not null")
 
 
-def _passed(texts: DataFrame, variables: DataFrame, form: str) -> DataFrame:
+def _passed(texts: DataFrame, variables: DataFrame, form: str, scratch: Scratch) -> DataFrame:
     """`texts` (key, text, used, missing) with the placeholders of one form replaced. A text is cut at its placeholders; the distinct
     names meet the variables, and only they meet the pieces."""
     has = F.col("text").rlike(form)
     parts = F.arrays_zip(F.split("text", form, -1).alias("piece"), F.regexp_extract_all("text", F.lit(form), 1).alias("name"), F.regexp_extract_all("text", F.lit(form), 0).alias("whole"))
     each = texts.where(has).select("key", "used", "missing", F.posexplode(parts).alias("i", "p")).select("key", "used", "missing", "i", "p.piece", "p.whole", F.trim("p.name").alias("name"))
+    each = scratch(each, "pieces")
     told = each.join(_values(each.where("name <> ''"), variables), "name", "left")
     said = F.struct("i", F.concat("piece", F.coalesce("value", "whole", F.lit(""))).alias("said"), F.when(F.col("value").isNotNull(), F.col("name")).alias("hit"), F.when(F.col("value").isNull() & (F.col("name") != ""), F.col("name")).alias("miss"))
     held = told.groupBy("key", "used", "missing").agg(F.array_sort(F.collect_list(said)).alias("s"))
@@ -46,6 +49,8 @@ def substituted(texts: DataFrame, variables: DataFrame) -> DataFrame:
     that were and weren't found, in order. Values are not searched for placeholders of the first form. Keys are unique; null is empty."""
     none = F.array().cast("array<string>")
     out = texts.select("key", F.coalesce("text", F.lit("")).alias("text"), none.alias("used"), none.alias("missing"))
-    for form in FORMS:
-        out = _passed(out, variables, form)
-    return out
+    scratch = Scratch(texts.sparkSession, "variables")
+    first, second = FORMS
+    out = scratch(_passed(out, variables, first, scratch), "first")
+    scratch.drop("pieces")
+    return _passed(out, variables, second, scratch)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import alignment, highlights, matching, variables
+from corpusloom.plans.answers import TITLES, _titles
 from corpusloom.plans.catalog import GLOSSARY, _pairs, query, r6, spans_sql
 from corpusloom.session import spread, table
 
@@ -94,3 +95,34 @@ def variable_substitution(spark, sf_dir):
     known = spark.createDataFrame([(i, *v) for i, v in enumerate(VARIABLES)], "place int, name string, value string")
     out = variables.substituted(texts, known)
     return out.select(F.col("key").alias("doc_id"), F.md5("text").alias("digest"), F.array_join("used", ",").alias("used"), F.array_join("missing", ",").alias("missing"))
+
+
+@query(f"""WITH {TITLES}, e AS (SELECT page_id, unnest([trim(a), trim(b), trim(c)]) AS exact, generate_subscripts([a, b, c], 1) AS nth FROM t)
+SELECT exact, 'page ' || page_id AS definition, 'glossary' AS kind FROM e WHERE length(exact) >= 2 QUALIFY row_number() OVER (PARTITION BY lower(exact) ORDER BY page_id, nth) = 1""")
+def glossary_records(spark, sf_dir):
+    """A glossary of all pages' titles, their headings as aliases."""
+    entries = _titles(spark, sf_dir).select(F.col("page_id").alias("place"), F.col("a").alias("term"), F.array("b", "c").alias("aliases"), F.concat(F.lit("page "), "page_id").alias("definition"))
+    return highlights.glossary_records(entries).select("exact", "definition", "kind")
+
+
+TABS = r"""SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS tabs, regexp_extract(html, '(?s)<p>(.*?)</p>', 1) AS exact FROM pages"""
+
+
+def _tabs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1).alias("tabs"), F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1).alias("exact"))
+
+
+@query(rf"""WITH p AS ({TABS}), l AS (SELECT page_id, tabs, trim(regexp_replace(exact, '[\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g')) AS line FROM p)
+SELECT page_id, len(tabs)::BIGINT AS tabs, CASE WHEN length(line) > 40 THEN left(line, 37) || '...' ELSE line END AS exact_preview FROM l WHERE page_id % 7 <> 0""")
+def jump_targets(spark, sf_dir):
+    """Each page's first paragraph as an anchor, its links as tabs; every seventh page's record is a glossary's, which is no target."""
+    kind = F.when(F.col("page_id") % 7 == 0, "glossary").otherwise("mark").alias("kind")
+    out = highlights.jump_targets(_tabs(spark, sf_dir).select(F.col("page_id").alias("record_id"), kind, "tabs", "exact"))
+    return out.select(F.col("record_id").alias("page_id"), F.size("tabs").cast("long").alias("tabs"), "exact_preview")
+
+
+@query(rf"""WITH p AS ({TABS}), d AS (SELECT page_id, tabs, list_transform(tabs, lambda t: CASE WHEN t = '/de' THEN '/the' ELSE t END) AS moved FROM p)
+SELECT page_id, array_to_string(CASE WHEN list_contains(tabs, '/de') THEN list_filter(moved, lambda t, i: list_position(moved, t) = i) ELSE tabs END, ' ') AS tabs FROM d""")
+def rename_tab(spark, sf_dir):
+    """One link of the pages takes the name of another."""
+    return _tabs(spark, sf_dir).select("page_id", F.array_join(highlights.renamed_tabs(F.col("tabs"), "/de", "/the"), " ").alias("tabs"))

@@ -550,6 +550,17 @@ def test_outlines_by_hand(spark):
     docs = spark.createDataFrame([(1, body), (2, "first words. more\n\n12"), (4, ""), (5, None)], "key long, text string")
     got = maps.outline(docs, pieces)
     assert [tuple(r) for r in got.orderBy("key", "nth").collect()] == [(1, 3, "Deep Sea", 2), (1, 4, "the third part", 3), (1, 5, "All About Water", 1), (1, 9, "Über Alles It", 1), (2, 1, "first words", 1)]
-    asked = spark.createDataFrame([(1, "the water and the sea"), (2, ""), (3, "y")], "key long, query string")
+    asked = spark.createDataFrame([(1, "the water and the sea"), (2, ""), (3, "yonder")], "key long, query string")
     assert [tuple(r) for r in maps.focus_sections(got, asked, 3).orderBy("key", "rank").collect()] == [(1, 1, 3, 1), (1, 2, 5, 1), (1, 3, 4, 0), (2, 1, 1, 0)]
     assert [tuple(r) for r in maps.focus_segments(pieces, asked).orderBy("key", "rank").collect()] == [(2, 1, 1, 1), (2, 2, 2, 1)]
+
+
+def test_glossaries_and_tabs_by_hand(spark):
+    rows = [(1, " Cat ", ["x", "feline", None], " an animal "), (2, "CAT", ["Feline", "Tiger"], "again"), (3, None, None, None), (4, "dog", [], None)]
+    got = highlights.glossary_records(spark.createDataFrame(rows, "place int, term string, aliases array<string>, definition string"))
+    assert {(r["exact"], r["definition"]) for r in got.collect()} == {("Cat", "an animal"), ("feline", "an animal"), ("Tiger", "again"), ("dog", "")}
+    d = spark.createDataFrame([(1, "mark", ["\U0001f512 a", " ", "b"], "x\n y" + "z" * 40), (2, "glossary", ["a"], "t"), (3, None, None, None)], "record_id int, kind string, tabs array<string>, exact string")
+    assert [tuple(r) for r in highlights.jump_targets(d).orderBy("record_id").collect()] == [(1, "mark", ["a", "b"], "x y" + "z" * 34 + "..."), (3, None, [], "")]
+    one, none, blank = (highlights.renamed_tabs(F.col("tabs"), a, b) for a, b in (("a", "b"), ("q", "b"), ("a", " ")))
+    got = [tuple(r) for r in d.orderBy("record_id").select(one, none, blank).collect()]
+    assert got == [(["b"], ["\U0001f512 a", " ", "b"], ["\U0001f512 a", " ", "b"]), (["b"], ["a"], ["a"]), (None, None, None)]
