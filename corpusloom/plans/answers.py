@@ -148,13 +148,13 @@ def _md5(c):
     return F.md5(F.encode(c, "UTF-8"))
 
 
-CHUNKS = """c AS (SELECT doc_id, text, unnest(CASE WHEN length(text) > 800 THEN range(0, length(text) - 799, 700) WHEN length(text) > 0 THEN [0] ELSE [] END) AS s FROM documents),
+CHUNKS = """c AS (SELECT doc_id, text, unnest(CASE WHEN length(text) > 800 THEN range(0, length(text) - 100, 700) WHEN length(text) > 0 THEN [0] ELSE [] END) AS s FROM documents),
 p AS (SELECT doc_id, text, s // 700 AS chunk_idx, substring(text, s + 1, 800) AS chunk FROM c), k AS (SELECT *, strpos(text, chunk) - 1 AS a, strpos(text, chunk) - 1 + length(chunk) AS e FROM p)"""
 
 
 def _placed(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    c = chunking.fixed_size(d, 800, 100).select("doc_id", "chunk_idx", "chunk").join(d.select("doc_id", "text"), "doc_id")
+    c = chunking.fixed_size(d, 800, 100, tail=True).select("doc_id", "chunk_idx", "chunk").join(d.select("doc_id", "text"), "doc_id")
     return c.withColumns({"a": excerpts.chunk_start(F.col("text"), F.col("chunk")), "e": excerpts.chunk_end(F.col("text"), F.col("chunk"))})
 
 
@@ -186,7 +186,7 @@ MERGED = """list_reduce(@, lambda x, y: CASE WHEN contains(x, y) THEN x WHEN con
 @query(f"WITH {CHUNKS}, b AS (SELECT doc_id, list(trim(chunk, E' \\t\\r\\n') ORDER BY chunk_idx) FILTER (trim(chunk, E' \\t\\r\\n') <> '') AS l FROM p GROUP BY doc_id), m AS (SELECT doc_id, {sql_of(MERGED, 'l')} AS t FROM b WHERE len(l) > 0) SELECT doc_id, length(t)::BIGINT AS n, md5(t) AS digest FROM m")
 def overlap_merge(spark, sf_dir):
     """A document's overlapping chunks as one text again."""
-    c = chunking.fixed_size(_docs(spark, sf_dir), 800, 100).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk"))).alias("l"))
+    c = chunking.fixed_size(_docs(spark, sf_dir), 800, 100, tail=True).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk"))).alias("l"))
     m = c.select("doc_id", excerpts.merged_blocks(F.transform("l", lambda x: x["chunk"])).alias("t")).where("t <> ''")
     return m.select("doc_id", F.length("t").cast("long").alias("n"), _md5(F.col("t")).alias("digest"))
 

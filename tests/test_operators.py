@@ -73,6 +73,17 @@ def test_fixed_size_drops_an_unaligned_tail(spark):
     out = [(r["doc_id"], r["chunk"]) for r in chunking.fixed_size(df, 4, 1).collect()]
     assert out == [(1, "abcd"), (1, "defg"), (1, "ghij"), (2, "abc")]
     assert [r["chunk"] for r in chunking.fixed_size(df.where("doc_id = 1"), 4, 0).collect()] == ["abcd", "efgh"]
+    whole = lambda size, over: [r["chunk"] for r in chunking.fixed_size(df.where("doc_id = 1"), size, over, tail=True).collect()]
+    assert whole(4, 0) == ["abcd", "efgh", "ij"] and whole(4, 1) == ["abcd", "defg", "ghij"] and whole(9, 2) == ["abcdefghi", "hij"]
+
+
+def test_overlapping_chunks_merge_to_the_whole_text(spark):
+    """Texts without a repeat of 40 characters come back whole, however their length falls on the windows."""
+    texts = [" ".join(f"w{i * 7919 % 10007}" for i in range(n)) for n in (1, 150, 151, 400, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    c = chunking.fixed_size(df, 800, 100, tail=True).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk"))).alias("l"))
+    got = {r["doc_id"]: r["t"] for r in c.select("doc_id", excerpts.merged_blocks(F.transform("l", lambda x: x["chunk"])).alias("t")).collect()}
+    assert got == dict(enumerate(texts))
 
 
 def test_rank_metrics_by_hand(spark):
