@@ -35,17 +35,25 @@ def safe_pattern(pattern: str) -> tuple[str, bool]:
 
 
 def regex_search(docs: DataFrame, patterns: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, matches, first_pos) of texts that some pattern finds, case ignored; first_pos is 0-based in the trimmed
-    text. Patterns that don't compile are taken literally. A few patterns are columns of one scan, not a join."""
+    """(key, score, matches, first_pos) of texts that some pattern finds, case ignored, line by line; first_pos is 0-based in
+    the trimmed text. Patterns that don't compile are taken literally. A few patterns are columns of one scan, not a join."""
     body = F.btrim(F.col(text), F.lit(" \t\n\r"))
-    made = [f"(?is){safe_pattern(p)[0]}" for p in patterns]
+    # case and lines as Python takes them: ^ and $ hold at every line, which only a line feed ends
+    made = [f"(?imud-s:{safe_pattern(p)[0]})" for p in patterns]
     hit = [F.col("body").rlike(p) for p in made]
-    at = [F.when(h, F.length(F.regexp_extract("body", f"(?is)^(.*?)(?:{p[5:]})", 1))) for h, p in zip(hit, made)]
+    at = [F.when(h, F.length(F.regexp_extract("body", rf"(?s)\A(.*?){p}", 1))) for h, p in zip(hit, made)]
     rows = docs.select(F.col(key).alias("key"), body.alias("body")).withColumn("matches", reduce(lambda a, b: a + b, (h.cast("int") for h in hit)))
     rows = rows.where("matches > 0").withColumn("first_pos", F.least(*at, F.lit(2**31 - 1)).cast("long"))
     return rows.select("key", (REGEX_BASE + F.least(F.lit(REGEX_CAP), REGEX_MORE * (F.col("matches") - 1))).alias("score"), F.col("matches").cast("long").alias("matches"), "first_pos")
 
 
+def regex_order(found: DataFrame, k: int) -> DataFrame:
+    """The k best of what regex_search found, with rank: most patterns, then the earliest place, then the order of keys."""
+    best = found.orderBy(F.desc("matches"), F.desc("score"), "first_pos", "key").limit(k)
+    # k rows
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("matches"), F.desc("score"), "first_pos", "key")))
+
+
 def pattern_hits(found: DataFrame) -> DataFrame:
     """(qid, key, score) of (qid, key, term): the score of a text that so many of a query's patterns find."""
     n = found.groupBy("qid", "key").agg(F.count("*").alias("n"))
