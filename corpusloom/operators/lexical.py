@@ -86,7 +86,9 @@ def shared_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
 def _scored(held: Index, weight: Column, part: Column) -> DataFrame:
     """(qid, key, score > 0): sums of `weight`, of a query's term, times `part`, of a document's. Documents are dealt out by key
     before they meet the queries, so sums need no shuffle of their own, and of a task's sums only the best go on."""
-    asked = held.wanted.join(held.df, "term").crossJoin(F.broadcast(held.stats)).select("qid", "term", weight.alias("weight"))  # one row of statistics
+    asked = staged(held.wanted.join(held.df, "term").crossJoin(F.broadcast(held.stats)).select("qid", "term", weight.alias("weight")), "lexical-weights")  # one row of statistics
+    # a join that shuffles would undo the deal by key, and every pair of query and document would be shuffled for its sum
+    asked = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
     rows = held.found.repartition("key").crossJoin(F.broadcast(held.stats)).select("key", "term", part.alias("part"))
     return asked.join(rows, "term").groupBy("qid", "key").agg(F.sum(F.col("weight") * F.col("part")).alias("score")).where("score > 0")
 
