@@ -83,9 +83,11 @@ def documents(hits: DataFrame, k: int, gap: int = retrieval.SPAN_GAP) -> DataFra
     scores for each query, equal ones in order of `doc`. An excerpt is the text of a document's clusters, overlaps told
     once, with a mark between them."""
     held = clustered(hits, gap)
-    parts = held.groupBy("qid", "doc", "cluster").agg(F.array_sort(F.collect_list(F.struct("place", "excerpt"))).alias("l"), F.array_distinct(F.flatten(F.collect_list("methods"))).alias("m"))
+    ranked = lexical.top_k(retrieval.roll_up(held), k, pos="doc")
+    # only what is shown is told
+    shown = held.join(ranked.select("qid", "doc"), ["qid", "doc"], "left_semi")
+    parts = shown.groupBy("qid", "doc", "cluster").agg(F.array_sort(F.collect_list(F.struct("place", "excerpt"))).alias("l"), F.array_distinct(F.flatten(F.collect_list("methods"))).alias("m"))
     told = parts.withColumn("told", _told_once(excerpts.merged_blocks(F.transform("l", lambda x: x["excerpt"]))))
     texts = told.groupBy("qid", "doc").agg(F.array_sort(F.collect_list(F.struct("cluster", "told"))).alias("l"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("m")))).alias("methods"))
     texts = texts.select("qid", "doc", "methods", _told_once(F.array_join(F.transform("l", lambda x: x["told"]), BETWEEN_PASSAGES)).alias("excerpt"))
-    ranked = lexical.top_k(retrieval.roll_up(held), k, pos="doc")
     return ranked.join(texts, ["qid", "doc"])
