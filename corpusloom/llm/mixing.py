@@ -121,7 +121,9 @@ def spans(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, taken (words that the schedule takes of it).
+    """A row per document: doc_id, source, size, source_size, target, taken (words that the schedule takes of it), first_slot
+    (the first slot of the mix whose block holds some of it, null if none does), n_slots (how many blocks do, each time
+    round counted).
 
     Needs doc_id, source, text; other columns are not read. Null or empty text has size 0 and takes 0. Repeated rows are
     documents of their own; between equal ones it is open which is taken more often, the rows as a set are the same.
@@ -144,13 +146,13 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, most_epochs: i
     each, longer = "(takes div blocks)", "(takes % blocks)"
     block = lambda x: F.expr(f"CASE WHEN {x} < {longer} * ({each} + 1) THEN {x} div ({each} + 1) ELSE {longer} + ({x} - {longer} * ({each} + 1)) div {each} END")
     pieces = at.withColumn("b", F.explode_outer(F.sequence(block("a"), block("(z - 1)"))))
-    slots = plan.select(F.col("source").alias("us"), F.col("block").alias("ub"), F.col("start").alias("us0"), F.col("end").alias("us1"))
+    slots = plan.select("slot", F.col("source").alias("us"), F.col("block").alias("ub"), F.col("start").alias("us0"), F.col("end").alias("us1"))
     met = pieces.join(slots, F.col("source").eqNullSafe(F.col("us")) & (F.col("b") == F.col("ub")), "left")
     part = F.least("z", "us1") - F.greatest("a", "us0")
     return (
         met.groupBy("source", "piece", "seat", "doc_id", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots")
     )
 
 

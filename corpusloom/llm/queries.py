@@ -64,7 +64,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,13 +172,13 @@ w2 AS (SELECT *, greatest(takes / (sum(takes) OVER ()), 64.0::DOUBLE / n) AS par
 lo AS (SELECT *, floor(coalesce(sum(part) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) / (sum(part) OVER ()) * 4294967296)::BIGINT AS lo FROM w2),
 iv AS (SELECT *, coalesce(lead(lo) OVER (ORDER BY source NULLS LAST), 4294967296) AS hi FROM lo),
 slots AS (SELECT i, (i * 2654435769) % 4294967296 AS x FROM range((SELECT max(n) FROM iv)) AS t(i)),
-drawn AS (SELECT iv.source, takes, row_number() OVER (PARTITION BY iv.source ORDER BY i) - 1 AS b, count(*) OVER (PARTITION BY iv.source) AS k FROM slots JOIN iv ON x >= lo AND x < hi),
-blocks AS (SELECT source, b, b * (takes // k) + least(b, takes % k) AS s0, (b + 1) * (takes // k) + least(b + 1, takes % k) AS s1 FROM drawn),
+drawn AS (SELECT iv.source, takes, i, row_number() OVER (PARTITION BY iv.source ORDER BY i) - 1 AS b, count(*) OVER (PARTITION BY iv.source) AS k FROM slots JOIN iv ON x >= lo AND x < hi),
+blocks AS (SELECT source, i, b, b * (takes // k) + least(b, takes % k) AS s0, (b + 1) * (takes // k) + least(b + 1, takes % k) AS s1 FROM drawn),
 cuts AS (SELECT DISTINCT source, takes, takes // k AS q, takes % k AS m FROM drawn),
 placed AS (SELECT s.*, goal.source_size, goal.target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s JOIN goal ON s.source IS NOT DISTINCT FROM goal.source),
 turns AS (SELECT doc_id, placed.source, q, m, start + e * source_size AS a, least(start + e * source_size + size, takes) AS z FROM placed JOIN cuts ON placed.source IS NOT DISTINCT FROM cuts.source, range(3) AS t(e) WHERE size > 0 AND start + e * source_size < takes),
 cut AS (SELECT doc_id, source, a, z, unnest(range(CASE WHEN a < m * (q + 1) THEN a // (q + 1) ELSE m + (a - m * (q + 1)) // q END, 1 + CASE WHEN z - 1 < m * (q + 1) THEN (z - 1) // (q + 1) ELSE m + (z - 1 - m * (q + 1)) // q END)) AS b FROM turns),
-got AS (SELECT doc_id, sum(least(z, s1) - greatest(a, s0))::BIGINT AS taken FROM cut JOIN blocks ON cut.b = blocks.b AND cut.source IS NOT DISTINCT FROM blocks.source GROUP BY doc_id)
-SELECT placed.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (doc_id)
+got AS (SELECT doc_id, sum(least(z, s1) - greatest(a, s0))::BIGINT AS taken, min(i)::BIGINT AS first_slot, count(*) AS n_slots FROM cut JOIN blocks ON cut.b = blocks.b AND cut.source IS NOT DISTINCT FROM blocks.source GROUP BY doc_id)
+SELECT placed.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots FROM placed LEFT JOIN got USING (doc_id)
 """,
 }

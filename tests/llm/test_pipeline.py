@@ -1,8 +1,11 @@
 """The pipeline's stages on a whole small table, each against plain Python over the rows that it got."""
 
+import base64
 import hashlib
 import math
+import random
 import re
+import zlib
 from collections import Counter
 
 import public_tokenizers
@@ -10,9 +13,11 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from corpusloom.llm import language
 from tests.conftest import SF
 from tests.llm.test_table_operators import brute_links, shingle_set
 
+LARGER = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -140,3 +145,38 @@ def test_long_texts_ties_and_repeated_rows(spark):
             assert ids(docs.collect()) == Counter({1: 1, 2: 1})
     out = docs.collect()
     assert {r["doc_id"] for r in out} <= {1, 2} and all(r["round_trip"] for r in out)
+
+
+def test_language_drops_texts_of_no_learned_language(spark):
+    """Planted texts in other scripts and of random letters go; labelled texts that the model never saw stay. The model is
+    of some 600 documents: one of about 130, of the smallest table, keeps random letters of the plain alphabet."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [" ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(120)) for _ in range(5)]
+    consonants = [" ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randint(3, 9))) for _ in range(120)) for _ in range(5)]
+    coded = [base64.b64encode(rng.randbytes(900)).decode() for _ in range(5)]
+    russian = ["Съешь же ещё этих мягких французских булок, да выпей чаю на берегу реки вечером. " * 5, "Однажды весною, в час небывало жаркого заката, в Москве появились два гражданина. " * 5]
+    greek = ["Ο ήλιος ανατέλλει κάθε πρωί πάνω από τη θάλασσα και τα βουνά της πατρίδας μας. " * 5]
+    planted = noise + consonants + coded + russian + greek
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").where("text is not null and lang is not null")
+    rows = [r.asDict() for r in docs.collect()]
+    learned = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    unseen = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    model = language.fit(spark.createDataFrame(learned, docs.schema))
+    asked = [(10**6 + i, t) for i, t in enumerate(planted)] + [(r["doc_id"], r["text"]) for r in unseen]
+    fits = {r["doc_id"]: r["fits"] for r in language.identify(spark.createDataFrame(asked, "doc_id long, text string"), model, keep=("doc_id",)).collect()}
+    assert len(fits) == len(asked)
+    assert not [planted[i - 10**6][:40] for i, ok in fits.items() if ok and i >= 10**6]
+    # those that go are not prose: too few letters to tell a language from chance
+    gone = [r["text"] for r in unseen if not fits[r["doc_id"]]]
+    assert len(unseen) > 200 and not [t for t in gone if sum(map(str.isalpha, t)) >= 100]
+
+
+def test_language_stage_drops_planted_texts(spark):
+    """The stage itself, over the whole table with texts of random letters among its rows."""
+    rng = random.Random(8)
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    odd = [r.asDict() | {"doc_id": 10**6 + i, "lang": None, "text": " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxzq", k=6)) for _ in range(80))} for i, r in enumerate(docs.limit(10).collect())]
+    kept = ids(corpus_pipeline.identify_language(spark, docs.union(spark.createDataFrame(odd, docs.schema)), SF).collect())
+    assert not [i for i in kept if i >= 10**6]
+    assert sum(kept.values()) == sum(ids(corpus_pipeline.identify_language(spark, docs, SF).collect()).values())
