@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from corpusloom.functions.text import collapsed, glossary_normal, plain_normal
-from corpusloom.session import Scratch
+from corpusloom.session import Scratch, merged
 
 COUNTS = ("best_block", "inserted_lines", "deleted_lines", "replaced_lines")
 LINES = StructType([StructField("line_ratio", DoubleType()), *(StructField(c, IntegerType()) for c in COUNTS)])
 THRESHOLD = 0.36
+# distinct runs of characters that are handed to all tasks
+MOST_RUNS = 500_000
 
 
 @F.pandas_udf(DoubleType())
@@ -88,23 +90,24 @@ def similar_terms(expected: DataFrame, generated: DataFrame, key: str, within: f
     left, right = scratch(side(expected, "i"), "left"), scratch(side(generated, "j"), "right")
     runs = lambda d, at: d.select(key, at, F.length("t").alias("n"), F.explode(_grams(F.col("t"), 3)).alias("gram"))
     a, b = scratch(runs(left, "i"), "a"), scratch(runs(right, "j"), "b")
-    often = a.select("gram").union(b.select("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    often = scratch(a.select("gram").union(b.select("gram")).groupBy("gram").agg(F.count("*").alias("df")), "often")
+    often = F.broadcast(often) if often.count() <= MOST_RUNS else merged(often)
     ranked = lambda d, at: d.join(often, "gram").withColumn("rank", F.row_number().over(Window.partitionBy(key, at).orderBy("df", "gram")))
     # with the other term as long as a ratio of 0.9 allows, both have 20/9 of this one's length, and differ in a tenth of that
     probes = ranked(a, "i").where(F.col("rank") <= 3 * F.floor(F.col("n") * 2 / 9) + 1).select(key, "i", "gram")
-    met = probes.join(b.select(key, "j", "gram"), [key, "gram"]).select(key, "i", "j")
-    held = ranked(b, "j").where("rank = 1").select(key, "j", "gram").join(a.select(key, "i", "gram"), [key, "gram"]).select(key, "i", "j")
-    equal = left.join(right, [key, "t"]).select(key, "i", "j")
+    met = probes.join(merged(b.select(key, "j", "gram")), [key, "gram"]).select(key, "i", "j")
+    held = ranked(b, "j").where("rank = 1").select(key, "j", "gram").join(merged(a.select(key, "i", "gram")), [key, "gram"]).select(key, "i", "j")
+    equal = left.join(merged(right), [key, "t"]).select(key, "i", "j")
     # terms of one or two characters are looked for among runs of their length
-    short = lambda few, many, at, to: few.where("length(t) < 3").select(key, at, F.col("t").alias("gram")).join(many.select(key, to, F.explode(F.concat(_grams(F.col("t"), 1), _grams(F.col("t"), 2))).alias("gram")), [key, "gram"]).select(key, "i", "j")
+    short = lambda few, many, at, to: few.where("length(t) < 3").select(key, at, F.col("t").alias("gram")).join(merged(many.select(key, to, F.explode(F.concat(_grams(F.col("t"), 1), _grams(F.col("t"), 2))).alias("gram"))), [key, "gram"]).select(key, "i", "j")
     pairs = met.union(held).union(equal).union(short(left, right, "i", "j")).union(short(right, left, "j", "i")).distinct()
-    told = pairs.join(left.withColumnRenamed("t", "x"), [key, "i"]).join(right.withColumnRenamed("t", "y"), [key, "j"])
+    told = pairs.join(merged(left.withColumnRenamed("t", "x")), [key, "i"]).join(merged(right.withColumnRenamed("t", "y")), [key, "j"])
     sure = F.when(F.col("x") == F.col("y"), 1.0).when(F.contains("x", "y") | F.contains("y", "x"), within)
     near = 2 * F.least(F.length("x"), F.length("y")) >= 0.9 * (F.length("x") + F.length("y")) - 1e-9
     told = told.withColumn("sure", sure).where(F.col("sure").isNotNull() | near)
     ask = lambda c: F.when(F.col("sure").isNull(), F.col(c))
     out = scratch(told.select(key, "i", "j", F.coalesce("sure", _ratio(ask("x"), ask("y"))).alias("score")).where("score >= 0.9"), "alike")
-    scratch.drop("left", "right", "a", "b")
+    scratch.drop("left", "right", "a", "b", "often")
     return out
 
 
@@ -113,7 +116,7 @@ def term_metrics(expected: DataFrame, generated: DataFrame, key: str) -> DataFra
     it; several may be found by the same one."""
     found = similar_terms(expected, generated, key).select(key, "i").distinct().groupBy(key).agg(F.count("*").alias("found"))
     n = expected.groupBy(key).agg(F.count("*").alias("expected")).join(generated.groupBy(key).agg(F.count("*").alias("generated")), key, "full")
-    n = n.join(found, key, "left").fillna(0, ["expected", "generated", "found"])
+    n = n.join(merged(found), key, "left").fillna(0, ["expected", "generated", "found"])
     part = lambda c: F.coalesce(F.try_divide(F.col("found").cast("double"), F.col(c)), F.lit(0.0))
     n = n.withColumns({"recall": part("expected"), "precision": part("generated")})
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))

@@ -48,6 +48,12 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """`df`, joined by a merge of sorted sides: a staged table's files are many times smaller than its rows, so that by their
+    size it would be sent through the driver to all tasks."""
+    return df.hint("merge")
+
+
 class Scratch:
     """The staged tables of one run of an operator. Those that its result doesn't read are dropped when it is done."""
 
