@@ -129,4 +129,4 @@ def index_upkeep(spark, sf_dir):
     changed = docs.where(F.col("lang").isin("en", "de", "fr")).select("key", edited.alias("text"), (F.col("lang") != "en").alias("removed"))
     for i, batch in enumerate((docs.select("key", "text", F.lit(False).alias("removed")), changed, docs.where("lang = 'fr'").select("key", "text", F.lit(False).alias("removed")))):
         index.apply_changes(batch.withColumn("seq", F.lit(i)), i, path)
-    return index.term_table(index.postings(spark, path, "bigint"))
+    return index.term_table(spark, path, "bigint")

@@ -1,6 +1,8 @@
 """What has to stay bounded as tables grow, held on small ones."""
 
-from corpusloom.operators import alignment
+from pyspark.sql import functions as F
+
+from corpusloom.operators import alignment, lexical
 from corpusloom.session import Scratch
 
 
@@ -16,3 +18,16 @@ def test_terms_are_not_sent_through_the_driver(spark, monkeypatch):
     assert alignment.term_metrics(a, b, "k").select("found").distinct().collect() == [(4,)]
     # only the counts of the runs, which are counted before, go to all tasks
     assert plans["alike"].count("BroadcastHashJoin") == 2
+
+
+def test_index_log_is_not_larger_than_its_texts(spark, tmp_path):
+    from corpusloom.streaming import index
+
+    path = f"{tmp_path}/log"
+    texts = spark.range(20).selectExpr("id as key", "concat_ws(' ', transform(sequence(1, 400), i -> substr(md5(concat(id, ':', i)), 1, 6))) as text", "false as removed", "0 as seq")
+    texts = texts.withColumn("text", F.translate("text", "0123456789", "ghijklmnop"))
+    for i in range(3):
+        index.apply_changes(texts, i, path)
+    # a change of a document is one row, and takes back nothing
+    assert spark.read.parquet(path).count() == 60
+    assert sorted(tuple(r) for r in index.term_table(spark, path, "bigint").collect()) == sorted(tuple(r) for r in lexical.term_stats(texts, "key").collect())
