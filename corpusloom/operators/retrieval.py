@@ -119,6 +119,30 @@ def roll_up(clustered: DataFrame) -> DataFrame:
     return by.select("qid", "doc", score.alias("score"), "hit_count", "cluster_count", "span_start", "span_end")
 
 
+ASKED_ROWS = 256
+
+
+def best_of_block(vectors, queries, k: int, step: int = ASKED_ROWS):
+    """(row of the query, row of the vector, cosine) of the k best for each query, ties by the order of vectors. Both are matrices
+    without zero rows; `step` queries at a time, so that a block's memory doesn't grow with the number of queries."""
+    import numpy as np
+
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (vectors, queries))
+    k, parts = min(k, len(a)), []
+    for start in range(0, len(b), step):
+        sims = b[start : start + step] @ a.T
+        told = sims.round(12)
+        told[np.isnan(told)] = -np.inf  # vectors that aren't finite come last
+        # all that are as good as the k-th, then the first k of them
+        row, col = np.nonzero(told >= np.partition(told, -k, axis=1)[:, -k][:, None])
+        order = np.lexsort((col, -told[row, col], row))
+        row, col = row[order], col[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[first], col[first]
+        parts.append((row + start, col, sims[row, col]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block_rows: int = 8192) -> DataFrame:
     """(qid, key, score, rank): the k vectors of the largest cosine for each query (qid, qvec), ties by key.
 
@@ -139,12 +163,11 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
         out = []
         for dim in set(map(len, asked["qvec"])) if len(rows) else ():
             v, q = rows[rows["vec"].map(len) == dim].sort_values("key"), asked[asked["qvec"].map(len) == dim]
-            if not len(v):
+            if not len(v) or not len(q):
                 continue
             a, b = (np.stack(x.to_numpy()).astype(float) for x in (v["vec"], q["qvec"]))
-            sims = (b / np.linalg.norm(b, axis=1)[:, None]) @ (a / np.linalg.norm(a, axis=1)[:, None]).T
-            order = np.argsort(-sims.round(12), axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), order.shape[1]), "key": v["key"].to_numpy()[order].ravel(), "score": np.take_along_axis(sims, order, 1).ravel()}))
+            row, col, score = best_of_block(a, b, k)
+            out.append(pd.DataFrame({"qid": q["qid"].to_numpy()[row], "key": v["key"].to_numpy()[col], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"qid": [], "key": [], "score": []})
 
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, key {vectors.schema[key].dataType.simpleString()}, score double"

@@ -1,8 +1,12 @@
 """What has to stay bounded as tables grow, held on small ones."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusloom.operators import alignment, lexical
+from corpusloom.operators import alignment, chunking, lexical, retrieval
 from corpusloom.session import Scratch
 
 
@@ -31,3 +35,24 @@ def test_index_log_is_not_larger_than_its_texts(spark, tmp_path):
     # a change of a document is one row, and takes back nothing
     assert spark.read.parquet(path).count() == 60
     assert sorted(tuple(r) for r in index.term_table(spark, path, "bigint").collect()) == sorted(tuple(r) for r in lexical.term_stats(texts, "key").collect())
+
+
+def test_chunks_leave_in_small_frames():
+    text = "# One\n\n" + "\n\n".join(["## Two", *("some words of it " * 10 for _ in range(60))])
+    frame = pd.DataFrame({"key": range(50), "text": [text] * 50, "name": ["n"] * 50})
+    got = list(chunking._frames(frame, "recursive", 800, 100, 200_000))
+    assert len(got) > 5 and all(f["parent_text"].str.len().sum() + f["raw_text"].str.len().sum() < 250_000 for f in got)
+    want = [(k, i, *c) for k in range(50) for i, c in enumerate(chunking.chunks_of(text, "n", "recursive", 800, 100))]
+    assert [tuple(r) for f in got for r in f.itertuples(index=False)] == want
+
+
+def test_memory_of_a_block_does_not_grow_with_its_queries():
+    made = np.random.default_rng(0)
+    a, b = made.integers(1, 4, (3000, 4)).astype(float), made.integers(1, 4, (4000, 4)).astype(float)  # many ties
+    tracemalloc.start()
+    row, col, score = retrieval.best_of_block(a, b, 7)
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # all pairs are 96 MB
+    tracemalloc.stop()
+    sims = (b / np.linalg.norm(b, axis=1)[:, None]) @ (a / np.linalg.norm(a, axis=1)[:, None]).T
+    order = np.argsort(-sims.round(12), axis=1, kind="stable")[:, :7]
+    assert (row == np.repeat(np.arange(4000), 7)).all() and (col == order.ravel()).all() and np.allclose(score, np.take_along_axis(sims, order, 1).ravel())
