@@ -10,6 +10,9 @@ from corpusloom.session import Scratch
 # fixed values: the first form of a placeholder, and the second, which is looked for in what the first pass made
 FORMS = (r"\$\{([^{}]+)\}", r"\{\{\s*([^{}]+?)\s*\}\}")
 
+# names with a value that are handed to all tasks
+MOST_NAMES = 500_000
+
 
 def canonical(name: Column) -> Column:
     """A name in lower case, with one underscore for each run of other characters than letters and digits of ASCII, none at its ends."""
@@ -36,7 +39,9 @@ def _passed(texts: DataFrame, variables: DataFrame, form: str, scratch: Scratch)
     parts = F.arrays_zip(F.split("text", form, -1).alias("piece"), F.regexp_extract_all("text", F.lit(form), 1).alias("name"), F.regexp_extract_all("text", F.lit(form), 0).alias("whole"))
     each = texts.where(has).select("key", "used", "missing", F.posexplode(parts).alias("i", "p")).select("key", "used", "missing", "i", "p.piece", "p.whole", F.trim("p.name").alias("name"))
     each = scratch(each, "pieces")
-    told = each.join(_values(each.where("name <> ''"), variables), "name", "left")
+    # a name that most texts have would be one task's work in a join that deals out by name
+    known = scratch(_values(each.where("name <> ''"), variables), "known")
+    told = each.join(F.broadcast(known) if known.count() <= MOST_NAMES else known, "name", "left")
     said = F.struct("i", F.concat("piece", F.coalesce("value", "whole", F.lit(""))).alias("said"), F.when(F.col("value").isNotNull(), F.col("name")).alias("hit"), F.when(F.col("value").isNull() & (F.col("name") != ""), F.col("name")).alias("miss"))
     held = told.groupBy("key", "used", "missing").agg(F.array_sort(F.collect_list(said)).alias("s"))
     more = lambda c, f: F.array_distinct(F.concat(c, F.array_compact(F.col(f"s.{f}"))))
@@ -52,5 +57,5 @@ def substituted(texts: DataFrame, variables: DataFrame) -> DataFrame:
     scratch = Scratch(texts.sparkSession, "variables")
     first, second = FORMS
     out = scratch(_passed(out, variables, first, scratch), "first")
-    scratch.drop("pieces")
+    scratch.drop("pieces", "known")
     return _passed(out, variables, second, scratch)

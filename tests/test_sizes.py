@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusloom.operators import alignment, chunking, lexical, retrieval
+from corpusloom.operators import alignment, chunking, lexical, retrieval, variables
 from corpusloom.session import Scratch
 
 
@@ -56,3 +56,23 @@ def test_memory_of_a_block_does_not_grow_with_its_queries():
     sims = (b / np.linalg.norm(b, axis=1)[:, None]) @ (a / np.linalg.norm(a, axis=1)[:, None]).T
     order = np.argsort(-sims.round(12), axis=1, kind="stable")[:, :7]
     assert (row == np.repeat(np.arange(4000), 7)).all() and (col == order.ravel()).all() and np.allclose(score, np.take_along_axis(sims, order, 1).ravel())
+
+
+def test_frequent_names_are_no_task_of_their_own(spark, monkeypatch):
+    plans, write = {}, Scratch.__call__
+
+    def noted(self, df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return write(self, df, name)
+
+    monkeypatch.setattr(Scratch, "__call__", noted)
+    monkeypatch.setattr(variables, "MOST_NAMES", 10)
+    texts = spark.createDataFrame([(i, "${a} and {{b}}") for i in range(9)], "key long, text string")
+    known = spark.createDataFrame([(0, "A", "x"), (1, "b", "y")], "place int, name string, value string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = variables.substituted(texts, known)
+        assert {tuple(r) for r in out.select("text", F.array_join("used", ",")).collect()} == {("x and y", "a,b")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [name" in plans["first"]
