@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import labels
 from corpusloom.functions.text import ascii_fold, collapsed, fingerprint
+from corpusloom.session import merged
 
 WHITE = " \t\r\n\f\x0b"
 # fixed values: what a level that is left, a free place for a child, a shared word and an earlier visit count for
@@ -81,7 +82,9 @@ def focus_segments(pieces: DataFrame, queries: DataFrame, limit: int = 10) -> Da
 def seed_concepts(pieces: DataFrame, limit: int = 12) -> DataFrame:
     """(key, place, label, n): a map's most frequent words of four letters or more; ties: that which comes first. Of the three times
     `limit` first ones those that name a form, or have the stems of an earlier one, are left out."""
-    each = pieces.select("key", "nth", F.posexplode(labels.words(F.col("segment"), 4)).alias("at", "word"))
+    # a map's words come to one task as one text a segment, and are counted and ranked there; the outer form, else they are made twice
+    told = pieces.select("key", "nth", F.array_join(labels.words(F.col("segment"), 4), " ").alias("told")).repartition("key")
+    each = told.select("key", "nth", F.posexplode_outer(F.split("told", " ")).alias("at", "word")).where("word <> ''")
     counts = each.groupBy("key", "word").agg(F.count("*").alias("n"), F.min(F.struct("nth", "at")).alias("first"))
     order = Window.partitionBy("key").orderBy(F.desc("n"), "first")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 3 * limit)
@@ -107,12 +110,14 @@ def frontier_rounds(nodes: DataFrame, queries: DataFrame, rounds: int, target_de
 
 
 def evidence(picks: DataFrame, pieces: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """(key, round, nth, shared): the segments that share most words with a round's label and the map's query; ties: the first. Words
-    meet through postings; segments without a shared word are no evidence."""
-    asked = picks.join(queries, "key", "left").select("key", "round", F.array_union(labels.words(F.col("label")), labels.words(F.coalesce("query", F.lit("")))).alias("w"))
-    wanted = asked.select("key", "round", F.explode("w").alias("word"))
-    postings = pieces.select("key", "nth", F.explode(F.array_distinct(labels.words(F.col("segment")))).alias("word"))
-    found = wanted.join(postings, ["key", "word"]).groupBy("key", "round", "nth").agg(F.count("*").alias("shared"))
+    """(key, round, nth, shared): the segments that share most words with a round's label and the map's query; ties: the first. A map's
+    rounds meet each of its segments whole; segments without a shared word are no evidence."""
+    words = F.array_union(labels.words(F.col("label")), labels.words(F.coalesce("query", F.lit(""))))
+    asked = picks.join(queries, "key", "left").select("key", "round", words.alias("w")).groupBy("key").agg(F.collect_list(F.struct("round", "w")).alias("asked"))
+    told = pieces.join(merged(asked), "key").select("key", "nth", "asked", labels.words(F.col("segment")).alias("has"))
+    each = F.transform("asked", lambda a: F.struct(a["round"].alias("round"), F.size(F.array_intersect(a["w"], F.col("has"))).cast("long").alias("shared")))
+    # the outer form: else a filter on the list is inferred and the words are made twice
+    found = told.select("key", "nth", F.explode_outer(each).alias("e")).where("e.shared > 0").select("key", "e.round", "nth", "e.shared")
     order = Window.partitionBy("key", "round").orderBy(F.desc("shared"), "nth")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("key", "round", "nth", "shared")
 
@@ -130,13 +135,12 @@ def gaps(pieces: DataFrame, found: DataFrame, nodes: DataFrame, most: int = 4) -
     """(key, gap, nth, gap_label, parent_id): a map's first `most` segments that are no evidence and hold none of the labels, each with
     a label from its first sentence. Since no node shares a word with it, the parent is the node with the least id."""
     named = nodes.select("key", "node_id", labels.clean(F.col("label"), 2, 120).alias("whole")).where("whole <> ''")
-    open_ = pieces.join(found.select("key", "nth").distinct(), ["key", "nth"], "left_anti")
-    postings = open_.select("key", "nth", F.explode(F.array_distinct(labels.words(F.col("segment")))).alias("word"))
-    of = named.select("key", F.explode(F.array_distinct(labels.words(F.col("whole")))).alias("word")).distinct()
-    met = postings.join(of, ["key", "word"], "left_semi").select("key", "nth").distinct()
-    rest = open_.join(met, ["key", "nth"], "left_anti").withColumn("low", collapsed(F.lower("segment")))
-    long = named.where(F.length("whole") >= 8).select("key", F.lower("whole").alias("needle"))
-    bare = rest.join(long, (rest["key"] == long["key"]) & F.contains("low", "needle"), "left_anti").drop("low")
+    open_ = pieces.join(merged(found.select("key", "nth").distinct()), ["key", "nth"], "left_anti")
+    held = named.select("key", labels.words(F.col("whole")).alias("w"), F.when(F.length("whole") >= 8, F.lower("whole")).alias("needle"))
+    held = held.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("of"), F.collect_list("needle").alias("needles"))
+    rest = open_.join(merged(held), "key", "left").withColumn("low", collapsed(F.lower("segment")))
+    met = F.arrays_overlap("of", labels.words(F.col("segment"))) | F.exists("needles", lambda n: F.contains("low", n))
+    bare = rest.where(~F.coalesce(met, F.lit(False))).select(*pieces.columns)
     first = bare.withColumn("gap", F.row_number().over(Window.partitionBy("key").orderBy("nth"))).where(F.col("gap") <= most)
     parent = named.groupBy("key").agg(F.min("node_id").alias("parent_id"))
     line = F.substring_index(F.substring_index("segment", "\n", 1), ".", 1)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusloom.operators import alignment, chunking, lexical, retrieval, variables
+from corpusloom.operators import alignment, chunking, lexical, maps, retrieval, variables
 from corpusloom.session import Scratch
 
 
@@ -76,3 +76,16 @@ def test_frequent_names_are_no_task_of_their_own(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin [name" in plans["first"]
+
+
+def test_words_of_maps_are_dealt_out_once_and_not_as_postings(spark):
+    pieces = spark.createDataFrame([(1, 1, "bridge over water bridge"), (1, 2, ""), (2, 1, "a b")], "key long, nth int, segment string")
+    shuffles = lambda d: [x for x in d._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    seeds = maps.seed_concepts(pieces, 2)
+    assert [tuple(r)[:3] for r in seeds.orderBy("place").collect()] == [(1, 1, "bridge"), (1, 2, "over")]
+    assert not any("word" in x for x in shuffles(maps.seed_concepts(pieces, 2)))
+    picks = spark.createDataFrame([(1, 1, "water over"), (1, 2, "bridge")], "key long, round int, label string")
+    asked = spark.createDataFrame([(1, None)], "key long, query string")
+    found = maps.evidence(picks, pieces, asked)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 1, 2), (1, 2, 1, 1)]
+    assert not any("word" in x for x in shuffles(maps.evidence(picks, pieces, asked)))
