@@ -78,8 +78,9 @@ def shared_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     sized = wanted.groupBy("qid").agg(F.count("*").alias("n"))
     asked = staged(wanted.join(sized, "qid"), "lexical-asked")
     asked = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
-    cut = docs.select(F.col(key).alias("key"), F.array_distinct(tokens(F.col(text))).alias("t")).repartition("key")
-    met = cut.select("key", F.explode_outer("t").alias("term")).join(asked, "term")
+    # as one text: a list of short words takes several times its letters in a shuffle
+    cut = docs.select(F.col(key).alias("key"), F.array_join(F.array_distinct(tokens(F.col(text))), " ").alias("t")).repartition("key")
+    met = cut.select("key", F.explode_outer(F.split("t", " ")).alias("term")).join(asked, "term")
     return met.groupBy("qid", "key", "n").agg(F.count("*").alias("met")).select("qid", "key", (F.col("met") / F.col("n")).alias("score"))
 
 
