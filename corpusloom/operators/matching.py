@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 STRONG, SUPPORTED = 0.90, 0.55
 
@@ -24,11 +28,35 @@ def token_overlap(a, b) -> object:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.least(F.size(a), F.size(b))), F.lit(0.0))
 
 
+MOST_FACTS = 20_000
+
+
 def evidence_containment(facts: DataFrame, docs: DataFrame) -> DataFrame:
     """(fact_id, key) where a source (key, text) holds the normalised fact (fact_id, fact) of six characters or more.
 
-    The facts are the stated, small side. Instead of testing every pair, a source's words meet each fact's longest word,
-    and only sources that have it are searched."""
+    The facts are the stated, small side. While they are few, each source is searched for all of them in one pass, where it is
+    read; else a source's words meet each fact's longest word, and only sources that have it are searched."""
+    few = facts.select("fact_id", normal(F.col("fact")).alias("needle")).where(F.length("needle") >= 6)
+    if few.count() > MOST_FACTS:
+        return _probed(facts, docs)
+    shared = docs.sparkSession.sparkContext.broadcast([r["needle"] for r in few.select("needle").distinct().collect()])
+    hays = docs.select("key", normal(F.col("text")).alias("hay"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ahocorasick.Automaton()
+        for needle in shared.value:
+            known.add_word(needle, needle)
+        known.make_automaton()
+        for batch in batches if shared.value else ():
+            met = [{needle for _, needle in known.iter(hay)} if (hay := x.as_py()) else () for x in batch.column("hay")]
+            row = [i for i, of in enumerate(met) for _ in of]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row, pa.int64())), pa.array([n for of in met for n in of], pa.string())], ["key", "needle"])
+
+    held = hays.mapInArrow(run, StructType([hays.schema["key"], StructField("needle", StringType())]))
+    return F.broadcast(few).join(held, "needle").select("fact_id", "key")
+
+
+def _probed(facts: DataFrame, docs: DataFrame) -> DataFrame:
     split = F.split("needle", " ")
     f = facts.select("fact_id", normal(F.col("fact")).alias("needle")).where(F.length("needle") >= 6)
     # a fact's first and last word may be parts of longer ones in the source, so only an inner word is a sure probe

@@ -67,15 +67,15 @@ def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
 def _lists(spark: SparkSession, sf_dir: str, k: int) -> list[DataFrame]:
     """The BM25 and the TF-IDF list of the same index."""
     held = _index(spark, sf_dir)
-    return [lexical.top_k(lexical.bm25(held), k), lexical.top_k(lexical.tfidf(held), k)]
+    return [lexical.top_k(lexical.bm25(held, most=k), k), lexical.top_k(lexical.tfidf(held, k), k)]
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return lexical.top_k(lexical.bm25(_index(spark, sf_dir)), k)
+    return lexical.top_k(lexical.bm25(_index(spark, sf_dir), most=k), k)
 
 
 def _tfidf(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return lexical.top_k(lexical.tfidf(_index(spark, sf_dir)), k)
+    return lexical.top_k(lexical.tfidf(_index(spark, sf_dir), k), k)
 
 
 @query(f"WITH {BASE} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
@@ -145,7 +145,7 @@ def regex_first_merge(spark, sf_dir):
     held = _index(spark, sf_dir)
     owned = held.wanted.where(F.length("term") >= 11).select("qid", "term")
     found = retrieval.pattern_hits(owned.join(held.found.select("key", "term"), "term"))
-    return retrieval.regex_first(found, lexical.top_k(lexical.bm25(held), 10)).select("qid", F.col("key").alias("doc_id"), r6("score"), "part")
+    return retrieval.regex_first(found, lexical.top_k(lexical.bm25(held, most=10), 10)).select("qid", F.col("key").alias("doc_id"), r6("score"), "part")
 
 
 @query(f"WITH {BASE} SELECT qid, doc_id, rank FROM bmr WHERE rank <= 5")
@@ -245,7 +245,7 @@ MEANS = ("precision", "recall", "f1", "hit_at_k", "mrr", "ap", "ndcg")
 
 
 def _metrics(spark, sf_dir):
-    expected = _evidence(spark, sf_dir).select(F.col("fact_id").alias("qid"), "key")
+    expected = staged(_evidence(spark, sf_dir).select(F.col("fact_id").alias("qid"), "key"), "evidence")
     return evaluation.rank_metrics(_bm25(spark, sf_dir, 10).select("qid", "key", "rank"), expected, _queries(spark, sf_dir))
 
 

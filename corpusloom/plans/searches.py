@@ -28,7 +28,7 @@ def chunk_search(spark, sf_dir):
     Python."""
     pages, asked = _outlines(spark, sf_dir), _queries(spark, sf_dir)
     index = search.chunk_index(pages, "sliding", 800, 100, "page_id", "text", "url")
-    words = lexical.top_k(lexical.bm25(lexical.index(index, asked, "key", "indexed_text")), FETCH)
+    words = lexical.top_k(lexical.bm25(lexical.index(index, asked, "key", "indexed_text"), most=FETCH), FETCH)
     v = table(spark, sf_dir, "embeddings")
     vectors = v.join(index.select(F.col("doc").alias("vec_id")).distinct(), "vec_id", "left_semi")
     own = asked.join(v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), "qid").select("qid", "qvec")

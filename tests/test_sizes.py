@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusloom.operators import alignment, chunking, lexical, maps, retrieval, variables
+from corpusloom.operators import alignment, chunking, lexical, maps, matching, retrieval, variables
 from corpusloom.session import Scratch
 
 
@@ -89,3 +89,32 @@ def test_words_of_maps_are_dealt_out_once_and_not_as_postings(spark):
     found = maps.evidence(picks, pieces, asked)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 1, 2), (1, 2, 1, 1)]
     assert not any("word" in x for x in shuffles(maps.evidence(picks, pieces, asked)))
+
+
+def test_postings_are_a_row_a_document_and_scores_stay_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK", 3)
+    monkeypatch.setattr(lexical, "ASKED", 2)
+    monkeypatch.setattr(lexical, "CELLS", 8)
+    words = "alpha beta gamma delta omega".split()
+    rows = [(i, " ".join(words[(i * j) % 5] for j in range(i % 7))) for i in range(40)] + [(3, "beta beta"), (3, "omega alpha"), (5, None), (None, "alpha beta"), (None, "beta omega")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(words[i : i + 2])) for i in range(5)], "qid long, query string")
+    held = lexical.index(docs, asked)
+    assert held.rows.count() == len(set(rows))
+    plain = lambda d: sorted((r["qid"], -1 if r["key"] is None else r["key"], round(r["score"], 9), r["rank"]) for r in d.collect())
+    for score in (lexical.bm25, lexical.tfidf):
+        best = score(held, most=4)
+        assert "key#" in best._jdf.queryExecution().executedPlan().toString() and "HashAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+        assert plain(lexical.top_k(best, 4)) == plain(lexical.top_k(score(held), 4))
+    monkeypatch.setattr(lexical, "MOST_TERMS", 0)
+    assert lexical.index(docs, asked).rows is None
+
+
+def test_facts_are_found_where_sources_are_read(spark, monkeypatch):
+    facts = spark.createDataFrame([(1, "One  two three"), (2, "one two THREE"), (3, "short"), (4, "two three"), (5, "absent words here")], "fact_id long, fact string")
+    docs = spark.createDataFrame([(1, "so one\ttwo three, one two three"), (1, "two three"), (2, None), (None, "zone two threes")], "key long, text string")
+    found = matching.evidence_containment(facts, docs)
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, found.collect())) == sorted(f"Row(fact_id={f}, key={k})" for f, k in [(1, 1), (2, 1), (4, 1), (4, 1), (1, None), (2, None), (4, None)])
+    monkeypatch.setattr(matching, "MOST_FACTS", 0)
+    assert set(map(str, matching.evidence_containment(facts, docs.dropna()).collect())) == set(map(str, found.dropna().collect()))
