@@ -63,10 +63,17 @@ def merged_blocks(blocks: Column, least: int = 40, most: int = 500) -> Column:
     # character, stands between the two
     again = rf"([^{PART}]{{{least},}}+){PART}\1"
 
+    def overlap(tail, block):
+        # there the block's first characters stand; mostly they do where they are first met, and the search is over
+        head = F.left(block, F.lit(least))
+        rest = F.substring(tail, F.position(head, tail), F.lit(most))
+        met = F.length(F.regexp_extract(F.concat(tail, F.lit(PART), F.left(block, F.lit(most))), again, 1))
+        whole = F.startswith(block, rest) & ~F.contains(rest, F.lit(PART))
+        return F.when((F.length(block) < least) | ~F.contains(tail, head), 0).when(whole, F.length(rest)).otherwise(met)
+
     def joined(told, block):
-        met = F.regexp_extract(F.concat(F.right(told, F.lit(most)), F.lit(PART), F.left(block, F.lit(most))), again, 1)
         # a one-element array binds the overlap, which would else be looked for twice
-        new = F.transform(F.array(F.length(met)), lambda k: F.when(k == 0, F.concat(F.rtrim(told), F.lit("\n\n"), block)).otherwise(F.concat(told, F.substring(block, k + 1, F.length(block)))))
+        new = F.transform(F.array(overlap(F.right(told, F.lit(most)), block)), lambda k: F.when(k == 0, F.concat(F.rtrim(told), F.lit("\n\n"), block)).otherwise(F.concat(told, F.substring(block, k + 1, F.length(block)))))
         return F.when(told == "", block).when(F.contains(told, block), told).when(F.contains(block, told), block).otherwise(F.get(new, F.lit(0)))
 
     return F.aggregate(filled, F.lit(""), joined)
