@@ -114,7 +114,10 @@ def without_repeats(body, between: str) -> object:
     """The parts of a text, in order, without those that say the same as the one before, case and white space aside."""
     parts = F.filter(F.transform(F.split(body, between), lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: p != "")
     same = lambda p: F.lower(F.btrim(F.regexp_replace(p, r"(?U)\s+", " "), F.lit(" ")))
-    return F.filter(parts, lambda p, i: (i == 0) | (same(p) != same(F.get(parts, i - 1))))
+    told = F.transform(parts, lambda p: F.struct(p.alias("part"), same(p).alias("same")))
+    # a one-element array binds the parts, which would else be made again for each of them
+    kept = F.transform(F.array(told), lambda ps: F.filter(ps, lambda p, i: (i == 0) | (p["same"] != F.get(ps, i - 1)["same"])))
+    return F.transform(F.get(kept, F.lit(0)), lambda p: p["part"])
 
 
 def excerpt(body, terms: list[str], window: int = 400) -> object:
