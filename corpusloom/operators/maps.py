@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import labels
 from corpusloom.functions.text import ascii_fold, collapsed, fingerprint
-from corpusloom.session import merged
+from corpusloom.session import merged, staged
 
 WHITE = " \t\r\n\f\x0b"
 # fixed values: what a level that is left, a free place for a child, a shared word and an earlier visit count for
@@ -54,7 +54,9 @@ def outline(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     capital = (F.length("line") <= 80) & ~F.col("line").rlike(UNTITLED) & ~F.col("line").rlike("[.:;]$")
     level = F.when(marked, F.length(part(HEADING, 1))).when(numbered, F.length(F.regexp_replace(part(NUMBERED, 1), "[^.]", "")) + 1).when(capital, F.lit(1))
     said = F.when(marked, part(HEADING, 2)).when(numbered, part(NUMBERED, 2)).otherwise(F.col("line"))
-    found = lines.withColumn("level", level).where("level is not null").select("key", "nth", labels.clean(said, 2, 90).alias("label"), "level").where("label <> ''")
+    # the lists of one and the table are steps of their own: else lines are read and cleaned again wherever they are used
+    found = lines.withColumn("level", F.explode_outer(F.array(level))).where("level is not null").select("key", "nth", F.explode_outer(F.array(labels.bare(said))).alias("label"), "level")
+    found = staged(found.withColumn("label", F.explode_outer(F.array(labels.named(F.col("label"), 2, 90)))).where("label <> ''"), "outline")
     bare = pieces.where("nth <= 6").join(docs.select("key"), "key", "left_semi").join(found.select("key").distinct(), "key", "left_anti")
     first = labels.clean(F.substring_index("segment", ".", 1), 2, 72)
     return found.union(bare.select("key", "nth", first.alias("label"), F.lit(1).alias("level")).where("label <> ''"))

@@ -10,7 +10,7 @@ from corpusloom.operators import maps
 from corpusloom.plans.answers import TITLES, _clean, _stems, _titles, _words
 from corpusloom.plans.catalog import query
 from corpusloom.plans.texts import COLLAPSED, sql_of
-from corpusloom.session import Scratch, spread, table
+from corpusloom.session import Scratch, spread, staged, table
 
 BLANK = r"E' \t\r\n\f\x0b'"
 LAST = lambda sep: f"CASE WHEN contains(left(rest, 700), '{sep}') THEN 699 - strpos(reverse(left(rest, 700)), '{sep[::-1]}') ELSE -1 END"
@@ -95,7 +95,7 @@ qq AS (SELECT doc_id, {_words("left(split_part(text, '.', 1), 200)")} AS asked F
 
 def _outline(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents")).where("text is not null").select(F.col("doc_id").alias("key"), "text")
-    pieces = maps.segmented(docs, "key")
+    pieces = staged(maps.segmented(docs, "key"), "segments")
     return maps.outline(docs, pieces), pieces, docs.select("key", F.left(F.substring_index("text", ".", 1), F.lit(200)).alias("query"))
 
 
