@@ -26,18 +26,26 @@ WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 def words(text: Column, least: int = 3) -> Column:
     """Folded words of `least` letters or more that are no stop words, in order."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.regexp_extract_all(ascii_fold(text), F.lit(WORD), 0), lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
+    return F.filter(F.regexp_extract_all(ascii_fold(text), F.lit(WORD), 0), lambda w: (F.length(w) >= least) & ~w.isin(*STOP_WORDS))
 
 
 def clean(label: Column, least: int = 3, longest: int = 80) -> Column:
     """A label without quotes, heading and list marks, trailing commas and doubled blanks; empty if it names only the form
     or has no word of `least` letters."""
+    return named(bare(label), least, longest)
+
+
+def bare(label: Column) -> Column:
+    """A label without what surrounds it."""
     x = F.replace(F.replace(label, F.lit("\\n"), F.lit(" ")), F.lit("\\t"), F.lit(" "))
     for ends in (" \t\r\n", "` ", "\"'", " \t\r\n"):
         x = F.btrim(x, F.lit(ends))
     x = F.btrim(F.regexp_replace(x, "[,;:]+$", ""), F.lit(" \t\r\n"))
-    x = collapsed(F.regexp_replace(F.regexp_replace(x, r"^#{1,6}\s+", ""), r"^(?:[-*+]\s+|\d+[.)]\s+)", ""))
+    return collapsed(F.regexp_replace(F.regexp_replace(x, r"^#{1,6}\s+", ""), r"^(?:[-*+]\s+|\d+[.)]\s+)", ""))
+
+
+def named(x: Column, least: int = 3, longest: int = 80) -> Column:
+    """A bare label, cut to `longest`; empty if it names only the form or has no word of `least` letters."""
     told = ~ascii_fold(x).isin(*META_LABELS) & (F.size(words(x, least)) > 0)
     return F.when(told, F.btrim(F.substring(x, 1, longest))).otherwise("")
 
@@ -68,7 +76,11 @@ def preferred(current: Column, candidate: Column) -> Column:
 
 def grounded(label: Column, text: Column) -> Column:
     """Whether a text holds a label of eight characters or more, or shares a word with it."""
-    x = clean(label, 2, 120)
+    return holds(text, clean(label, 2, 120))
+
+
+def holds(text: Column, x: Column) -> Column:
+    """The same for a label that is clean, so that a query can clean it in a step of its own."""
     held = (F.length(x) >= 8) & F.contains(collapsed(F.lower(text)), F.lower(x))
     return F.coalesce((x != "") & (F.trim(text) != "") & (held | F.arrays_overlap(words(x), words(text))), F.lit(False))
 

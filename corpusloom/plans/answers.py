@@ -83,7 +83,10 @@ def label_grounded(spark, sf_dir):
     """Whether each line, as a label, is borne out by the line before it."""
     cut = _docs(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("l")).select("doc_id", "l", F.posexplode("l").alias("i", "line"))
     cut = cut.withColumn("before", F.when(F.col("i") > 0, F.get("l", F.col("i") - 1)))
-    return cut.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), labels.grounded(F.col("line"), F.col("before")).alias("grounded"))
+    # lists of one are steps of their own: else the label is cleaned again wherever it is used
+    cut = cut.select("doc_id", "i", "before", F.explode_outer(F.array(labels.bare(F.col("line")))).alias("x"))
+    cut = cut.select("doc_id", "i", "before", F.explode_outer(F.array(labels.named(F.col("x"), 2, 120))).alias("x"))
+    return cut.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), labels.holds(F.col("before"), F.col("x")).alias("grounded"))
 
 
 @query(f"WITH {LINES}, k AS (SELECT *, lower(trim(line)) AS x FROM l) SELECT doc_id, i, x = '' OR len({_words('x')}) = 0 OR " + " OR ".join(f"contains(x, '{t}')" for t in labels.META_TRACES) + " AS meta FROM k")
@@ -187,7 +190,8 @@ MERGED = """list_reduce(@, lambda x, y: CASE WHEN contains(x, y) THEN x WHEN con
 def overlap_merge(spark, sf_dir):
     """A document's overlapping chunks as one text again."""
     c = chunking.fixed_size(_docs(spark, sf_dir), 800, 100, tail=True).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk"))).alias("l"))
-    m = c.select("doc_id", excerpts.merged_blocks(F.transform("l", lambda x: x["chunk"])).alias("t")).where("t <> ''")
+    # the list of one is a step of its own: else the blocks are merged again for each use of the text
+    m = c.select("doc_id", F.explode_outer(F.array(excerpts.merged_blocks(F.transform("l", lambda x: x["chunk"])))).alias("t")).where("t <> ''")
     return m.select("doc_id", F.length("t").cast("long").alias("n"), _md5(F.col("t")).alias("digest"))
 
 

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusloom.operators import alignment, chunking, lexical, maps, matching, retrieval, variables
+from corpusloom.operators import alignment, chunking, excerpts, lexical, maps, matching, retrieval, variables
+from corpusloom.plans import answers, atlas, catalog  # noqa: F401  the others register their queries in the catalog
 from corpusloom.session import Scratch
 
 
@@ -118,3 +119,29 @@ def test_facts_are_found_where_sources_are_read(spark, monkeypatch):
     assert sorted(map(str, found.collect())) == sorted(f"Row(fact_id={f}, key={k})" for f, k in [(1, 1), (2, 1), (4, 1), (4, 1), (1, None), (2, None), (4, None)])
     monkeypatch.setattr(matching, "MOST_FACTS", 0)
     assert set(map(str, matching.evidence_containment(facts, docs.dropna()).collect())) == set(map(str, found.dropna().collect()))
+
+
+def test_parts_of_a_text_are_made_once(spark):
+    d = spark.createDataFrame([("a\n\nA \n b\nc c\nC  c\nb",), (None,), ("",)], "t string")
+    out = d.select(matching.without_repeats(F.col("t"), r"\n+").alias("l"))
+    assert [r["l"] for r in out.collect()] == [["a", "b", "c c", "b"], None, []]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_overlaps_are_found_at_the_edge_of_blocks_only(spark):
+    run, odd = "x" * 45, "abcdefgh" * 6
+    merge = lambda *blocks: spark.createDataFrame([(list(blocks),)], "l array<string>").select(excerpts.merged_blocks(F.col("l")).alias("t")).first()["t"]
+    # what a block says twice, parted by the mark, is no overlap with the next one
+    assert merge(f"one {run}{excerpts.PART}{run} two", "three " * 9) == f"one {run}{excerpts.PART}{run} two\n\n" + ("three " * 9).strip()
+    # the block's first characters stand at two places, and only from the second does it go on alike
+    assert merge(f"{odd}!{odd}yes", f"{odd}yes and more") == f"{odd}!{odd}yes and more"
+    assert merge(f"so {odd}", f"{odd} and more") == f"so {odd} and more"
+
+
+def test_labels_and_blocks_are_made_in_steps_of_their_own(spark):
+    for name in ("label_grounded", "overlap_merge"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(array(" in plan, name
+    # segments and headings are read from tables, not cut again
+    plan = catalog.QUERIES["source_focus"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
