@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+from collections import defaultdict
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,12 +19,71 @@ LINES = StructType([StructField("line_ratio", DoubleType()), *(StructField(c, In
 THRESHOLD = 0.36
 # distinct runs of characters that are handed to all tasks
 MOST_RUNS = 500_000
+# characters of a string up to which pairs are compared on a grid of bits: 2 MB for two of that length
+LONGEST = 4_000
+
+
+@lru_cache(maxsize=256)
+def _places(text: str) -> tuple[int, dict[str, bytes]]:
+    """The bytes of a row of a grid over `text`, and for each character the row in which its places are set; the last bit
+    of a row is never set, so that no run goes on in the next one."""
+    wide, at = len(text) // 8 + 1, defaultdict(int)
+    for j, c in enumerate(text):
+        at[c] |= 1 << j
+    return wide, {c: bits.to_bytes(wide, "little") for c, bits in at.items()}
+
+
+def agreeing(a: str, b: str, least: float = 0) -> int:
+    """How many characters are in difflib's blocks of two strings: their longest common run, the first in `a`, then in `b`, and in the
+    same way those left and right of it. 0 where that is less than `least`, as soon as it is certain.
+
+    A row of the grid is a character of `a`, with the places of `b` that have it set; a number holds the grid, and an
+    `and` with itself moved by a row and a place leaves the starts of longer runs. No run within a part is longer than the one that
+    parts it, and between two runs one side has a character or more: k runs of m at most in r rows and t places have 2mk + k - 1 <= r + t."""
+    wide, rows = _places(b)
+    row, none = 8 * wide, bytes(wide)
+    grid = int.from_bytes(b"".join([rows.get(c, none) for c in a]), "little")
+    found, most = 0, min(len(a), len(b))
+    todo = [(most, grid, len(a), 0, len(b))]
+    while todo and most >= least:
+        fits, grid, n, start, end = todo.pop()
+        most -= fits
+        grid &= int.from_bytes(((1 << end) - (1 << start)).to_bytes(wide, "little") * n, "little")
+        if not grid:
+            continue
+        runs, size = [grid], 1
+        while longer := runs[-1] & runs[-1] >> (row + 1) * size:
+            runs.append(longer)
+            size *= 2
+        last, step = runs.pop(), size
+        while runs:
+            step //= 2
+            if longer := last & runs.pop() >> (row + 1) * size:
+                last, size = longer, size + step
+        i, j = divmod((last & -last).bit_length() - 1, row)
+        found, most = found + size, most + size
+        parts = []
+        for rest, r, s, e in ((grid, i, start, j), (grid >> row * (i + size), n - i - size, j + size, end)):
+            if fits := min(r, e - s, (r + e - s + 1) * size // (2 * size + 1)):
+                parts.append((fits, rest, r, s, e))
+                most += fits
+        todo += sorted(parts)
+    return found if most >= least else 0
+
+
+def likeness(a: str, b: str, least: float = 0) -> float:
+    """difflib's ratio of two strings; 0 where that is less than `least`."""
+    both = len(a) + len(b)
+    if max(len(a), len(b)) > LONGEST:
+        held = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        return held.ratio() if held.quick_ratio() >= least - 1e-9 else 0.0
+    return 2.0 * agreeing(a, b, least * both / 2 - 1e-9) / both if both else 1.0
 
 
 @F.pandas_udf(DoubleType())
-def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """How much of two strings agrees; 0 where one is null."""
-    return pd.Series([difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a is not None and b is not None else 0.0 for a, b in zip(left, right)])
+def _ratio(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
+    """How much of two strings agrees; 0 where that is less than `least`, or where one is null."""
+    return pd.Series([likeness(a, b, x) if a is not None and b is not None else 0.0 for a, b, x in zip(left, right, least)], dtype=float)
 
 
 def scored_pairs(rows: DataFrame, key: str, least: float = THRESHOLD) -> DataFrame:
@@ -35,11 +96,13 @@ def scored_pairs(rows: DataFrame, key: str, least: float = THRESHOLD) -> DataFra
     held = filled & (F.contains("i_held", "j_held") | F.contains("j_held", "i_held"))
     words = F.coalesce(F.try_divide(F.size(F.array_intersect("i_words", "j_words")).cast("double"), F.least(F.size("i_words"), F.size("j_words"))), F.lit(0.0))
     shorter, both = F.least(F.length("i_low"), F.length("j_low")), F.length("i_low") + F.length("j_low")
-    met = met.select(key, "i", "j", "i_low", "j_low", F.when(held, 1.0).otherwise(words).alias("sure"), (1.6 * shorter / F.greatest(both, F.lit(1))).alias("most"))
-    met = met.where(F.greatest("sure", "most") >= least).withColumn("open", F.col("most") > F.greatest("sure", F.lit(least - 1e-9)))
-    ask = lambda c: F.when(F.col("open"), F.col(c))
-    score = F.greatest("sure", 0.8 * _ratio(ask("i_low"), ask("j_low")))
-    return met.select(key, "i", "j", score.alias("score")).where(F.col("score") >= least)
+    # lists of one are steps of their own: else words are met, and characters compared, again wherever the outcome is used
+    known = F.array(F.struct(F.when(held, 1.0).otherwise(words).alias("sure"), (1.6 * shorter / F.greatest(both, F.lit(1))).alias("most")))
+    met = met.select(key, "i", "j", "i_low", "j_low", F.inline(known)).where(F.greatest("sure", "most") >= least)
+    needed = F.greatest("sure", F.lit(least - 1e-9))
+    ask = lambda c: F.when(F.col("most") > needed, F.col(c))
+    met = met.select(key, "i", "j", "sure", _ratio(ask("i_low"), ask("j_low"), needed / 0.8).alias("ratio"))
+    return met.select(key, "i", "j", F.explode(F.array(F.greatest("sure", 0.8 * F.col("ratio")))).alias("score")).where(F.col("score") >= least)
 
 
 def one_to_one(pairs: DataFrame, key: str) -> DataFrame:
@@ -64,7 +127,8 @@ def one_to_one(pairs: DataFrame, key: str) -> DataFrame:
 
 def match_metrics(rows: DataFrame, key: str) -> DataFrame:
     """(key, matched, expected, predicted, precision, recall, f1) of (key, expected, observed) lists of facts, matched one to
-    one. Keys are unique."""
+    one. Keys are unique. The lists are staged, so that they are made once."""
+    rows = Scratch(rows.sparkSession, "facts")(rows.select(key, "expected", "observed"), "lists")
     found = one_to_one(scored_pairs(rows, key), key).groupBy(key).agg(F.count("*").cast("int").alias("matched"))
     n = rows.select(key, F.size("expected").alias("expected"), F.size("observed").alias("predicted")).join(found, key, "left").fillna(0, "matched")
     part = lambda c: F.coalesce(F.try_divide(F.col("matched").cast("double"), F.col(c)), F.lit(0.0))
@@ -106,7 +170,7 @@ def similar_terms(expected: DataFrame, generated: DataFrame, key: str, within: f
     near = 2 * F.least(F.length("x"), F.length("y")) >= 0.9 * (F.length("x") + F.length("y")) - 1e-9
     told = told.withColumn("sure", sure).where(F.col("sure").isNotNull() | near)
     ask = lambda c: F.when(F.col("sure").isNull(), F.col(c))
-    out = scratch(told.select(key, "i", "j", F.coalesce("sure", _ratio(ask("x"), ask("y"))).alias("score")).where("score >= 0.9"), "alike")
+    out = scratch(told.select(key, "i", "j", F.coalesce("sure", _ratio(ask("x"), ask("y"), F.lit(0.9))).alias("score")).where("score >= 0.9"), "alike")
     scratch.drop("left", "right", "a", "b", "often")
     return out
 

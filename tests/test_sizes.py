@@ -1,6 +1,8 @@
 """What has to stay bounded as tables grow, held on small ones."""
 
+import random
 import tracemalloc
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -145,3 +147,23 @@ def test_labels_and_blocks_are_made_in_steps_of_their_own(spark):
     # segments and headings are read from tables, not cut again
     plan = catalog.QUERIES["source_focus"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_characters_are_compared_once_and_no_further_than_needed(spark, monkeypatch):
+    rows = [(1, ["The sky is blue today.", "Water boils."], ["water boils at 100 degrees.", "The sky was blue."]), (2, ["x"], None)]
+    d = spark.createDataFrame(rows, "id int, expected array<string>, observed array<string>")
+    plan = alignment.scored_pairs(d, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("array_intersect") == 1
+    # lists are read from a table, not made again for each side
+    assert "transform(" not in alignment.match_metrics(d.withColumn("expected", F.transform("expected", F.lower)), "id")._jdf.queryExecution().optimizedPlan().toString()
+    made = random.Random(0)
+    for n in range(3000):
+        a, b = ("".join(made.choices(("ab", "abcde ", "etaoin shr", "aé漢𝄞 ")[n % 4], k=made.randrange(30))) for _ in range(2))
+        b = a[: made.randrange(20)] + b + a[made.randrange(5, 30) :] if n % 3 == 0 else b
+        held = SequenceMatcher(None, a, b, autojunk=False)
+        same, ratio = sum(x.size for x in held.get_matching_blocks()), held.ratio()
+        assert [alignment.agreeing(a, b, x) for x in (0, same, same + 1)] == [same, same, 0], (a, b)
+        assert [alignment.likeness(a, b, x) for x in (0, ratio)] == [ratio, ratio], (a, b)
+    monkeypatch.setattr(alignment, "LONGEST", 5)
+    assert alignment.likeness("a longer one", "one longer") == SequenceMatcher(None, "a longer one", "one longer", autojunk=False).ratio()
+    assert alignment.likeness("a longer one", "xyz", 0.9) == 0
