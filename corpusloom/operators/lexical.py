@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from corpusloom.session import staged
 
@@ -125,19 +125,103 @@ def _numbered(wanted: DataFrame, terms: DataFrame, cut: DataFrame) -> Index:
     return Index(wanted, found, staged(df, "lexical-df"), staged(stats, "lexical-stats"), rows, numbers)
 
 
-def shared_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(qid, key, score): the part of a query's distinct terms that a document has, for those that share any. Documents are
-    dealt out by key first, as for the other scores."""
+def shared_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = None, once: bool = False) -> DataFrame:
+    """(qid, key, score): the part of a query's distinct terms that a document has, for those that share any; with `most`, so many of
+    each query at least, the best among them. Rows of one key are one document. They are dealt out by key first, as for the
+    other scores, but not where each key comes `once`."""
     wanted = query_terms(queries).select("qid", "term")
     sized = wanted.groupBy("qid").agg(F.count("*").alias("n"))
     asked = staged(wanted.join(sized, "qid"), "lexical-asked")
-    asked = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
+    few = asked.count() <= MOST_TERMS
     # as one text: a list of short words takes several times its letters in a shuffle
-    cut = docs.select(F.col(key).alias("key"), F.array_join(F.array_distinct(tokens(F.col(text))), " ").alias("t")).repartition("key")
-    met = cut.select("key", F.explode_outer(F.split("t", " ")).alias("term")).join(asked, "term")
+    cut = docs.select(F.col(key).alias("key"), F.array_join(F.array_distinct(tokens(F.col(text))), " ").alias("t"))
+    if few and most:
+        return _best_shared(cut if once else cut.repartition("key").sortWithinPartitions("key"), asked, queries, most)
+    asked = F.broadcast(asked) if few else asked
+    met = cut.repartition("key").select("key", F.explode_outer(F.split("t", " ")).alias("term")).join(asked, "term")
     return met.groupBy("qid", "key", "n").agg(F.count("*").alias("met")).select("qid", "key", (F.col("met") / F.col("n")).alias("score"))
 
 
+def _best_shared(cut: DataFrame, asked: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """The best of shared_terms among documents (key, t), whose distinct words are one text; `asked` (qid, term, n) is small."""
+    spark = cut.sparkSession
+    words = asked.collect()
+    terms, numbers = ({x: i for i, x in enumerate(dict.fromkeys(r[c] for r in words))} for c in ("term", "qid"))
+    term, query = (np.array([of[r[c]] for r in words], np.int64) for of, c in ((terms, "term"), (numbers, "qid")))
+    order = np.argsort(term, kind="stable")
+    shared = spark.sparkContext.broadcast((list(terms), np.searchsorted(term[order], np.arange(len(terms) + 1)), query[order], len(numbers)))
+    rows = cut.select("key", F.xxhash64("key").alias("same"), F.coalesce("t", F.lit("")).alias("said"))
+    found = rows.mapInArrow(lambda batches: most_shared(batches, shared.value, most), StructType([StructField("query", IntegerType()), rows.schema["key"], StructField("met", LongType())]))
+    sizes = {r["qid"]: r["n"] for r in words}
+    qids = spark.createDataFrame([(i, q, sizes[q]) for q, i in numbers.items()], StructType([StructField("query", IntegerType()), queries.schema["qid"], StructField("n", LongType())]))
+    return found.join(F.broadcast(qids), "query").select("qid", "key", (F.col("met") / F.col("n")).alias("score"))
+
+
+def most_shared(batches: Iterator[pa.RecordBatch], asked: tuple, k: int) -> Iterator[pa.RecordBatch]:
+    """(query, key, met) of the k documents that share most terms with each query among a task's rows (key, same, said); ties go by
+    key. Rows with an equal `same`, one after another, are one document.
+
+    asked: the terms, for each the place of its first query, these queries, one term after another, and their number. Only the queries
+    that have a document's terms are looked at, and only what shares as much as a query's k-th so far is kept."""
+    known, first, of, n_queries = asked
+    known, many = pa.array(known, pa.string()), np.diff(first)
+    least, size = np.ones(n_queries, np.int64), 0
+    held: list[pa.Table] = []
+    carried = None  # of the last document: same, terms met by each query, key
+
+    def best() -> None:
+        nonlocal held, size
+        all_held = pa.concat_tables(held).combine_chunks()
+        keys = all_held.column("key").combine_chunks()
+        parts = keys.flatten() if pa.types.is_struct(keys.type) else [keys]
+        order = pc.sort_indices(pa.table([all_held.column("query"), all_held.column("met"), *parts], [str(i) for i in range(2 + len(parts))]), sort_keys=[("0", "ascending"), ("1", "descending"), *((str(i + 2), "ascending") for i in range(len(parts)))], null_placement="at_start")
+        all_held = all_held.take(order)
+        q = all_held.column("query").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = np.flatnonzero(place == k - 1)
+        least[q[last]] = all_held.column("met").to_numpy()[last]
+        held = [all_held.filter(pa.array(place < k))]
+        size = len(held[0])
+
+    def offer(met: np.ndarray, keys: pa.Array) -> None:
+        nonlocal size
+        row, q = np.nonzero(met >= least)
+        held.append(pa.table([pa.array(q.astype(np.int32)), keys.take(pa.array(row)), pa.array(met[row, q])], ["query", "key", "met"]))
+        size += len(row)
+        if size > 50_000 + k * n_queries:
+            best()
+
+    for batch in batches if n_queries else ():
+        if not len(batch):
+            continue
+        keys, same = batch.column("key"), batch.column("same").to_numpy()
+        lists = pc.split_pattern(batch.column("said"), " ")
+        at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy()
+        row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())[at >= 0]
+        at = at[at >= 0]
+        begin = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+        doc = np.searchsorted(begin, row, "right") - 1
+        # a part's cells: one for each query, and one for each query of each term
+        costs = np.cumsum(np.bincount(doc, many[at], len(begin)) + n_queries) // CELLS
+        starts = np.flatnonzero(np.r_[True, costs[1:] != costs[:-1]])
+        for a, z in zip(starts, [*starts[1:], len(begin)]):
+            inside = slice(*np.searchsorted(doc, (a, z)))
+            t, n = at[inside], many[at[inside]]
+            q = of[np.repeat(first[t] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            met = np.bincount(np.repeat(doc[inside] - a, n) * n_queries + q, minlength=(z - a) * n_queries).reshape(z - a, n_queries)
+            told = keys.take(pa.array(begin[a:z]))
+            if carried and carried[0] == same[begin[a]]:
+                met[0] += carried[1]
+            elif carried:
+                offer(carried[1][None], carried[2])
+            carried = same[begin[z - 1]], met[-1].copy(), told[-1:]
+            offer(met[:-1], told[:-1])
+    if carried:
+        offer(carried[1][None], carried[2])
+        best()
+        yield from held[0].cast(pa.schema([pa.field("query", pa.int32()), held[0].schema.field("key"), pa.field("met", pa.int64())])).combine_chunks().to_batches()
+
+
 def best_of(batches: Iterator[pa.RecordBatch], asked: tuple, k: int) -> Iterator[pa.RecordBatch]:
     """(query, key, score) of the k best of each query among a task's rows (key, same, terms, parts), which come in the order of keys;
     scores that are equal to 9 digits go by that order. Rows with an equal `same`, one after another, are one document.

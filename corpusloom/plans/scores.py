@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions import segments
 from corpusloom.operators import evaluation, graph, lexical, matching, retrieval, summaries
 from corpusloom.plans.catalog import BASE, CLOSURE, CONTAINED, GRAPH, PAIRS, TOKENS, _bm25, _docs, _graph, _pairs, _queries, query, r6
-from corpusloom.session import staged, table
+from corpusloom.session import merged, staged, table
 
 TOP = 10
 # candidates that are fetched for each list before they are fused
 FETCH = max(30, 4 * TOP)
+# sentences of a query, and ids of several documents that are handed to all tasks
+HITS, MOST_IDS = 8, 1_000_000
 HYBRID = f"""{BASE}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_bool_or(list_transform(embedding, lambda x: x <> 0))),
 dn AS (SELECT item_id AS qid, b.vec_id AS doc_id, list_cosine_similarity(a.e, b.e) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(a.e, b.e), 12) DESC, b.vec_id) AS rank FROM benchmark JOIN v a ON a.vec_id = item_id, v b),
 lists AS (SELECT qid, doc_id, score, rank, 'lexical' AS bucket FROM bmr WHERE rank <= {FETCH} UNION ALL SELECT qid, doc_id, score, rank, 'dense' FROM dn WHERE rank <= {FETCH}),
@@ -51,11 +53,21 @@ q AS (SELECT DISTINCT item_id AS qid, unnest({TOKENS.format('text')}) AS term FR
 s AS (SELECT qid, doc_id, i, count(*) / any_value(n) AS score FROM q JOIN t USING (term) JOIN n USING (qid) GROUP BY qid, doc_id, i)
 SELECT qid, doc_id, i AS chunk, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, i) AS rank FROM s QUALIFY rank <= 8""")
 def source_search(spark, sf_dir):
-    """The sentences that hold the most of a query's words."""
-    cut = _docs(spark, sf_dir).select("doc_id", F.posexplode(segments.candidates(F.col("text"))).alias("i", "text"))
-    chunks = cut.select(F.struct("doc_id", (F.col("i") + 1).cast("long").alias("chunk")).alias("key"), "text")
-    scored = lexical.shared_terms(chunks, _queries(spark, sf_dir), key="key")
-    return lexical.top_k(scored, 8).select("qid", "key.doc_id", "key.chunk", r6("score"), F.col("rank").cast("long").alias("rank"))
+    """The sentences that hold the most of a query's words. Documents whose id others share are dealt out by their sentences'
+    keys; those of all others, the most, are scored where they are read."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    again = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id")), "source-again")
+    n = again.count()
+
+    def best(docs, once):
+        cut = docs.select("doc_id", F.posexplode(segments.candidates(F.col("text"))).alias("i", "text"))
+        chunks = cut.select(F.struct("doc_id", (F.col("i") + 1).cast("long").alias("chunk")).alias("key"), "text")
+        return lexical.shared_terms(chunks, _queries(spark, sf_dir), key="key", most=HITS, once=once)
+
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    again = F.broadcast(again) if n <= MOST_IDS else merged(again)
+    scored = best(docs.join(again, same, "left_anti"), True).union(best(docs.join(again, same, "left_semi"), False)) if n else best(docs, True)
+    return lexical.top_k(scored, HITS).select("qid", "key.doc_id", "key.chunk", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _judgements(spark, sf_dir):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.operators import alignment, chunking, excerpts, lexical, maps, matching, retrieval, variables
-from corpusloom.plans import answers, atlas, catalog  # noqa: F401  the others register their queries in the catalog
+from corpusloom.plans import answers, atlas, catalog, scores  # noqa: F401  the others register their queries in the catalog
 from corpusloom.session import Scratch
 
 
@@ -167,3 +167,29 @@ def test_characters_are_compared_once_and_no_further_than_needed(spark, monkeypa
     monkeypatch.setattr(alignment, "LONGEST", 5)
     assert alignment.likeness("a longer one", "one longer") == SequenceMatcher(None, "a longer one", "one longer", autojunk=False).ratio()
     assert alignment.likeness("a longer one", "xyz", 0.9) == 0
+
+
+def test_sentences_are_scored_where_they_are_read(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lexical, "CELLS", 8)
+    words = "alpha beta gamma delta omega".split()
+    rows = [(i, ". ".join(" ".join(words[(i * j + s) % 5] for j in range(1 + i % 6)) for s in range(1 + i % 3))) for i in range(40)]
+    rows += [(3, "beta beta. alpha"), (3, "omega alpha"), (5, None), (None, "alpha beta"), (None, "beta omega. gamma"), (77, "")]
+    asked = [(i, " ".join(words[i : i + 3])) for i in range(5)] + [(7, "absent"), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # a key's rows are one document, whose parts add up
+    met = {}
+    for doc, text in rows:
+        for i, part in enumerate(x for x in (text or "").split(". ") if x):
+            for q, said in asked:
+                if shared := len(set(said.split()) & set(part.split())):
+                    met[q, doc, i + 1] = met.get((q, doc, i + 1), 0) + shared / len(set(said.split()))
+    want = []
+    for q, _ in asked:
+        best = sorted(((-round(s, 9), -1 if d is None else d, c) for (k, d, c), s in met.items() if k == q))[:8]
+        want += [(q, d, c, round(-s, 6), r + 1) for r, (s, d, c) in enumerate(best)]
+    out = catalog.QUERIES["source_search"](spark, str(tmp_path))
+    assert sorted((r["qid"], -1 if r["doc_id"] is None else r["doc_id"], r["chunk"], r["score"], r["rank"]) for r in out.collect()) == sorted(want)
+    # no sentence of a document with an id of its own is dealt out, and no pair of query and sentence is a row
+    plan = catalog.QUERIES["source_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(key" not in plan and "HashAggregate" not in plan
