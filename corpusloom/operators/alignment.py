@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import difflib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from corpusloom.functions.text import collapsed, glossary_normal, plain_normal
 from corpusloom.session import Scratch, merged
@@ -17,8 +22,11 @@ from corpusloom.session import Scratch, merged
 COUNTS = ("best_block", "inserted_lines", "deleted_lines", "replaced_lines")
 LINES = StructType([StructField("line_ratio", DoubleType()), *(StructField(c, IntegerType()) for c in COUNTS)])
 THRESHOLD = 0.36
-# distinct runs of characters that are handed to all tasks
-MOST_RUNS = 500_000
+# what a term counts as that holds another
+WITHIN = 0.92
+# distinct runs of characters, or keys, that are handed to all tasks; terms of a key on one side that meet in one task, and those
+# that meet in one row; rows of a frame
+MOST_RUNS, MOST_LISTED, MOST_BESIDE, FRAME = 500_000, 5_000, 1_000, 200_000
 # characters of a string up to which pairs are compared on a grid of bits: 2 MB for two of that length
 LONGEST = 4_000
 
@@ -142,16 +150,151 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def similar_terms(expected: DataFrame, generated: DataFrame, key: str, within: float = 0.92) -> DataFrame:
+def similar_terms(expected: DataFrame, generated: DataFrame, key: str, within: float = WITHIN, scratch: Scratch | None = None) -> DataFrame:
     """(key, i, j, score) of the terms (key, i, term) and (key, j, term) that are alike: 1 where they are equal in their normal form, `within`
     where one holds the other, else the ratio of characters that agree, if it is 0.9 or more. Blank terms are like none.
 
+    A key's terms meet in one task, each dealt out once; only those of keys that have more than MOST_LISTED on a side meet by their runs
+    of characters, in joins. Terms are staged first, unless they are already, in `scratch`."""
+    own = scratch or Scratch(expected.sparkSession, "terms")
+    left, right = (expected, generated) if scratch else (own(expected.select(key, "i", "term"), "left"), own(generated.select(key, "j", "term"), "right"))
+    sizes = (d.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > MOST_LISTED).select(key) for d in (left, right))
+    large = own(reduce(DataFrame.union, sizes).where(F.col(key).isNotNull()).distinct(), "large")
+    n = large.count()
+    held = F.broadcast(large) if n <= MOST_RUNS else merged(large)
+    side = lambda d, at: d.select(key, at, glossary_normal(F.col("term")).alias("t")).where(f"t <> '' and {at} is not null")
+    many = [own(side(d.join(held, key, "left_semi"), at), f"large-{at}") for d, at in ((left, "i"), (right, "j"))]
+    few = [side(d.join(held, key, "left_anti") if n else d, at) for d, at in ((left, "i"), (right, "j"))]
+    out = own(_listed(*few, key, within).union(_by_runs(own, *many, key, within)), "alike")
+    own.drop("left", "right", "large", "large-i", "large-j", "a", "b", "often")
+    return out
+
+
+def _listed(left: DataFrame, right: DataFrame, key: str, within: float) -> DataFrame:
+    """similar_terms of (key, i, t) and (key, j, t), terms in their normal form, of which no key has many."""
+    none = lambda d, at: F.lit(None).cast(d.schema[at].dataType).alias(at)
+    both = left.select(key, "i", none(right, "j"), "t").union(right.select(key, none(left, "i"), "j", "t")).where(F.col(key).isNotNull())
+    rows = both.repartition(key).sortWithinPartitions(key, F.col("i").isNull()).select(key, F.xxhash64(key).alias("same"), "i", "j", "t")
+    return rows.mapInArrow(lambda batches: listed_pairs(batches, within), StructType([rows.schema[key], rows.schema["i"], rows.schema["j"], StructField("score", DoubleType())]))
+
+
+def listed_pairs(batches: Iterator[pa.RecordBatch], within: float) -> Iterator[pa.RecordBatch]:
+    """(key, i, j, score) of the terms that are alike among a task's rows (key, same, i, j, t): those of a key come one after
+    another, of the left side (i) first, with an equal `same`."""
+    rest = None
+
+    def told(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        terms, right = rows.column("t").to_pylist(), np.cumsum(np.r_[0, rows.column("i").is_null().to_numpy()])
+        found: list[tuple] = []
+
+        def frame() -> pa.RecordBatch:
+            i, j, score = zip(*found)
+            found.clear()
+            out = [rows.column(0).take(pa.array(i)), rows.column("i").take(pa.array(i)), rows.column("j").take(pa.array(j)), pa.array(score)]
+            return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], [rows.column_names[0], "i", "j", "score"])
+
+        for start, end in zip([0, *ends], ends):
+            middle = end - int(right[end] - right[start])
+            places = defaultdict(list), defaultdict(list)
+            for of, place in ((range(start, middle), places[0]), (range(middle, end), places[1])):
+                for at in of:
+                    place[terms[at]].append(at)
+            for x, y, score in alike(places[0], places[1], within):
+                for i in places[0][x]:
+                    found += ((i, j, score) for j in places[1][y])
+                if len(found) > FRAME:
+                    yield frame()
+        if found:
+            yield frame()
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+        same = rows.column("same").to_numpy()
+        ends = (np.flatnonzero(same[1:] != same[:-1]) + 1).tolist()
+        yield from told(rows, ends)
+        rest = rows.slice(ends[-1]) if ends else rows
+    if rest is not None and len(rest):
+        yield from told(rest, [len(rest)])
+
+
+def _laid(terms: Iterable[str]) -> tuple[list[str], list[int], str, list[int]]:
+    """Distinct terms from short to long, their lengths, the text of all of them, and where each starts in it."""
+    terms = sorted(terms, key=len)
+    sizes = [len(t) for t in terms]
+    return terms, sizes, "\n".join([*terms, ""]), [0, *accumulate(n + 1 for n in sizes)]
+
+
+def _holders(part: str, laid: tuple, least: int) -> Iterator[str]:
+    """The terms of `least` characters or more that hold a part."""
+    terms, sizes, text, starts = laid
+    at = text.find(part, starts[bisect_left(sizes, least)])
+    while at >= 0:
+        k = bisect_right(starts, at) - 1
+        yield terms[k]
+        at = text.find(part, starts[k + 1])
+
+
+def alike(left: Iterable[str], right: Iterable[str], within: float) -> Iterator[tuple[str, str, float]]:
+    """(x, y, score) of the distinct terms x and y that are alike, 0.9 or more, as similar_terms has it. Terms hold no line ends.
+
+    Terms with u characters in which they differ, at most a tenth of both lengths, agree in runs: each of the u touches one of x's u + 1
+    parts at most, so one part stands whole in y, moved by no more characters than one of them may have of its own. No
+    more than u of x's pairs of characters are missing there either."""
+    xs, ys = _laid(left), _laid(right)
+    for x, n in zip(xs[0], xs[1]):
+        sure = set()
+        for y in _holders(x, ys, n):
+            sure.add(y)
+            score = 1.0 if x == y else within
+            if score >= 0.9:
+                yield x, y, score
+        # with y as long as a ratio of 0.9 allows, both have 20/9 of the length of x, and differ in a tenth of that
+        first, last = bisect_left(ys[1], -(-9 * n // 11)), bisect_right(ys[1], 11 * n // 9)
+        parts = 2 * n // 9 + 1
+        if parts == 1 or first == last:
+            continue
+        terms, sizes, text, starts = ys
+        for k in range(parts):
+            a, z = n * k // parts, n * (k + 1) // parts
+            at = text.find(x[a:z], starts[first], starts[last])
+            while at >= 0:
+                to = bisect_right(starts, at) - 1
+                y, m = terms[to], sizes[to]
+                agreed = -(-9 * (n + m) // 20)
+                moved = at - starts[to] - a
+                if y in sure or moved > m - agreed:
+                    at = text.find(x[a:z], starts[to + 1], starts[last])
+                    continue
+                if moved >= agreed - n:
+                    sure.add(y)
+                    if y not in x and _in_place(x, y, agreed) and (score := likeness(x, y, 0.9)) >= 0.9:
+                        yield x, y, score
+                at = text.find(x[a:z], at + 1, starts[last])
+    if within >= 0.9:
+        for y, m in zip(ys[0], ys[1]):
+            for x in _holders(y, xs, m + 1):
+                yield x, y, within
+
+
+def _in_place(x: str, y: str, agreed: int) -> bool:
+    """Whether so many of x's pairs of characters stand in y, near their place, that `agreed` characters may agree."""
+    n, m = len(x), len(y)
+    back, on, left = n - agreed, m - agreed + 2, n + m - 2 * agreed
+    for a in range(0, n - 1, 2):
+        if y.find(x[a : a + 2], max(0, a - back), a + on) < 0:
+            left -= 1
+            if left < 0:
+                return False
+    return True
+
+
+def _by_runs(scratch: Scratch, left: DataFrame, right: DataFrame, key: str, within: float) -> DataFrame:
+    """similar_terms of staged (key, i, t) and (key, j, t), terms in their normal form.
+
     No term is held against all others. Two terms with u characters in which they differ, at most a tenth of both lengths, agree in u + 1
     runs at most, of which one has three characters or more: they share a run of three. Besides, u changes break three such runs
     each, so of the 3u + 1 runs of a term that are rarest one is in the other. A term that is held by another has its rarest run in it."""
-    scratch = Scratch(expected.sparkSession, "terms")
-    side = lambda d, at: d.select(key, at, glossary_normal(F.col("term")).alias("t")).where("t <> ''")
-    left, right = scratch(side(expected, "i"), "left"), scratch(side(generated, "j"), "right")
     runs = lambda d, at: d.select(key, at, F.length("t").alias("n"), F.explode(_grams(F.col("t"), 3)).alias("gram"))
     a, b = scratch(runs(left, "i"), "a"), scratch(runs(right, "j"), "b")
     often = scratch(a.select("gram").union(b.select("gram")).groupBy("gram").agg(F.count("*").alias("df")), "often")
@@ -170,23 +313,66 @@ def similar_terms(expected: DataFrame, generated: DataFrame, key: str, within: f
     near = 2 * F.least(F.length("x"), F.length("y")) >= 0.9 * (F.length("x") + F.length("y")) - 1e-9
     told = told.withColumn("sure", sure).where(F.col("sure").isNotNull() | near)
     ask = lambda c: F.when(F.col("sure").isNull(), F.col(c))
-    out = scratch(told.select(key, "i", "j", F.coalesce("sure", _ratio(ask("x"), ask("y"), F.lit(0.9))).alias("score")).where("score >= 0.9"), "alike")
-    scratch.drop("left", "right", "a", "b", "often")
-    return out
+    return told.select(key, "i", "j", F.coalesce("sure", _ratio(ask("x"), ask("y"), F.lit(0.9))).alias("score")).where("score >= 0.9")
 
 
 def term_metrics(expected: DataFrame, generated: DataFrame, key: str) -> DataFrame:
     """(key, expected, generated, found, recall, precision, f1, hit_all) for every key of either side: a term is found if a generated one is like
     it; several may be found by the same one."""
-    found = similar_terms(expected, generated, key).select(key, "i").distinct().groupBy(key).agg(F.count("*").alias("found"))
-    n = expected.groupBy(key).agg(F.count("*").alias("expected")).join(generated.groupBy(key).agg(F.count("*").alias("generated")), key, "full")
-    n = n.join(merged(found), key, "left").fillna(0, ["expected", "generated", "found"])
+    scratch = Scratch(expected.sparkSession, "terms")
+    expected, generated = scratch(expected.select(key, "i", "term"), "expected"), scratch(generated.select(key, "j", "term"), "generated")
+    found = similar_terms(expected, generated, key, scratch=scratch).select(key, "i").distinct().groupBy(key).agg(F.count("*").alias("found"))
+    n = scratch(expected.groupBy(key).agg(F.count("*").alias("expected")).join(generated.groupBy(key).agg(F.count("*").alias("generated")), key, "full"), "counts")
+    scratch.drop("expected", "generated")
+    return _rated(n.join(merged(found), key, "left").fillna(0, ["expected", "generated", "found"]), key)
+
+
+def _rated(n: DataFrame, key: str) -> DataFrame:
     part = lambda c: F.coalesce(F.try_divide(F.col("found").cast("double"), F.col(c)), F.lit(0.0))
     n = n.withColumns({"recall": part("expected"), "precision": part("generated")})
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
     return n.select(key, "expected", "generated", "found", "recall", "precision", f1.alias("f1"), ((F.col("expected") > 0) & (F.col("found") >= F.col("expected"))).alias("hit_all"))
 
 
+def listed_term_metrics(rows: DataFrame, key: str) -> DataFrame:
+    """term_metrics of lists of terms that stand side by side: (key, expected, generated). They meet in their row; only those of keys
+    that several rows have, of null keys, and of more than MOST_BESIDE terms are dealt out by key."""
+    scratch = Scratch(rows.sparkSession, "listed")
+    held = lambda keys: F.broadcast(keys) if keys.count() <= MOST_RUNS else merged(keys)
+    again = scratch(rows.groupBy(key).agg(F.count("*").alias("n")).where(f"n > 1 or {key} is null").select(key), "again")
+    once = rows if again.isEmpty() else rows.where(F.col(key).isNotNull()).join(held(again), key, "left_anti")
+    size = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long")
+    sized = once.select(key, "expected", "generated", size("expected").alias("n"), size("generated").alias("m"))
+    few = (F.col("n") <= MOST_BESIDE) & (F.col("m") <= MOST_BESIDE)
+    sides = sized.select(key, "n", "m", *(F.when(few, F.transform(c, glossary_normal)).alias(c) for c in ("expected", "generated")), few.alias("few"))
+    kinds = StructType([sides.schema[key], *(StructField(c, LongType()) for c in ("expected", "generated", "found"))])
+    told = scratch(sides.where("n + m > 0").mapInArrow(found_beside, kinds), "told")
+    out = _rated(told.where("found is not null"), key)
+    rest = scratch(again.union(told.where("found is null").select(key)), "rest")
+    if not rest.isEmpty():
+        rest = rows.join(held(rest), key, "left_semi").union(rows.where(F.col(key).isNull()))
+        out = out.union(term_metrics(*(rest.select(key, F.posexplode(c).alias(at, "term")) for c, at in (("expected", "i"), ("generated", "j"))), key))
+    scratch.drop("again", "rest")
+    return out
+
+
+def found_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, expected, generated, found) of rows (key, n, m, expected, generated, few), lists of terms in their normal form: how many of
+    the first have one like them in the second; null where a row has not `few` terms."""
+    for batch in batches:
+        found = []
+        for few, expected, generated in zip(*(batch.column(c).to_pylist() for c in ("few", "expected", "generated"))):
+            if few:
+                ys = {*filter(None, generated or ())}
+                here = {*filter(None, expected or ())}
+                met = here & ys
+                met |= {x for x, _, _ in alike(here - met, ys, WITHIN)}
+                found.append(sum(x in met for x in expected or ()))
+            else:
+                found.append(None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], [batch.schema.names[0], "expected", "generated", "found"])
+
+
 @F.pandas_udf(LINES)
 def _lines(expected: pd.Series, actual: pd.Series) -> pd.DataFrame:
     def one(a, b):

@@ -65,17 +65,22 @@ def anchor_sync(spark, sf_dir):
     return out.select("record_id", F.col("key").alias("doc_id"), *(F.md5(c).alias(c) for c in ("exact", "prefix", "suffix")), "changed")
 
 
-def _terms(spark, sf_dir):
-    """Runs of up to three words of each turn, and of its answer, one after another."""
+def _term_lists(spark, sf_dir):
+    """Runs of up to three words of each turn, and of its answer, side by side."""
     cut = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+(?: [\p{L}\p{N}]+){0,2}"), 0))
-    pairs = _pairs(spark, sf_dir)
-    return tuple(pairs.select("case_id", F.posexplode(cut(c)).alias(at, "term")) for c, at in (("expected", "i"), ("actual", "j")))
+    return _pairs(spark, sf_dir).select("case_id", cut("expected").alias("expected"), cut("actual").alias("generated"))
+
+
+def _terms(spark, sf_dir):
+    """The same runs, one after another."""
+    lists = _term_lists(spark, sf_dir)
+    return tuple(lists.select("case_id", F.posexplode(c).alias(at, "term")) for c, at in (("expected", "i"), ("generated", "j")))
 
 
 @query()
 def glossary_metrics(spark, sf_dir):
     """How many of a turn's terms its answer has, or has one that is like them."""
-    out = alignment.term_metrics(*_terms(spark, sf_dir), "case_id")
+    out = alignment.listed_term_metrics(_term_lists(spark, sf_dir), "case_id")
     return out.select("case_id", "expected", "generated", "found", r6("recall"), r6("precision"), r6("f1"), "hit_all")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.operators import alignment, chunking, excerpts, lexical, maps, matching, retrieval, variables
-from corpusloom.plans import answers, atlas, catalog, scores  # noqa: F401  the others register their queries in the catalog
+from corpusloom.plans import answers, atlas, catalog, records, scores  # noqa: F401  the others register their queries in the catalog
 from corpusloom.session import Scratch
 
 
@@ -193,3 +193,65 @@ def test_sentences_are_scored_where_they_are_read(spark, monkeypatch, tmp_path):
     # no sentence of a document with an id of its own is dealt out, and no pair of query and sentence is a row
     plan = catalog.QUERIES["source_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "hashpartitioning(key" not in plan and "HashAggregate" not in plan
+
+
+def test_terms_of_a_key_meet_in_one_task_and_not_by_their_runs(spark, monkeypatch):
+    held, write = {}, Scratch.__call__
+
+    def noted(self, df, name):
+        out = write(self, df, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "__call__", noted)
+    monkeypatch.setattr(alignment, "FRAME", 3)
+    made = random.Random(3)
+    terms = lambda n: ["".join(made.choices("abc ", k=made.randint(1, 14))) for _ in range(n)]
+    rows = [(k, i, t) for k in range(30) for i, t in enumerate(terms(12))] + [(1, 0, "again a"), (None, 0, "a b"), (3, 40, None), (50, 0, "alone")]
+    others = [(k, i, t[:3] + "x"[: i % 2] + t[3:]) for k, i, t in rows if t] + [(k, 20 + i, t) for k in range(25) for i, t in enumerate(terms(3))]
+    a, b = (spark.createDataFrame(x, f"k int, {at} int, term string").repartition(3) for x, at in ((rows, "i"), (others, "j")))
+    plain = lambda d: sorted(tuple(r) for r in d.collect())
+    # all keys are few here: not one run is written, where each term had all of its own
+    few, metrics = plain(alignment.similar_terms(a, b, "k")), plain(alignment.term_metrics(a, b, "k").na.fill(-1, ["k"]))
+    assert held["a"] == held["b"] == held["often"] == 0 and held["alike"] == len(few) > 100
+    # keys of many terms meet by their runs, some or all, and that gives the same
+    for most in (13, 0):
+        monkeypatch.setattr(alignment, "MOST_LISTED", most)
+        assert plain(alignment.similar_terms(a, b, "k")) == few and held["a"] > 0
+        assert plain(alignment.term_metrics(a, b, "k").na.fill(-1, ["k"])) == metrics
+
+
+def test_alike_terms_equal_all_pairs():
+    made = random.Random(5)
+    for n in range(600):
+        letters = ("ab", "abc ", "abcdefgh ", "aé漢𝄞 ")[n % 4]
+        xs = {"".join(made.choices(letters, k=made.randint(1, (8, 24, 60)[n % 3]))) for _ in range(6)}
+        ys = {x[:at] + made.choice(["", "x", "a"]) + x[at + made.randint(0, 1) :] for x in xs for at in (made.randint(0, len(x)), 0)} - {""}
+        within = (0.92, 0.5)[n % 5 == 0]
+        want = {(x, y): 1.0 if x == y else within if x in y or y in x else SequenceMatcher(None, x, y, autojunk=False).ratio() for x in xs for y in ys}
+        got = [*alignment.alike(xs, ys, within)]
+        assert {(x, y): s for x, y, s in got} == {p: s for p, s in want.items() if s >= 0.9} and len(got) == len(set(got))
+
+
+def test_lists_of_terms_meet_in_their_row(spark, monkeypatch):
+    made = random.Random(4)
+    terms = lambda n: [*dict.fromkeys("".join(made.choices("abc ", k=made.randint(1, 14))) for _ in range(n))]
+    rows = [(k, xs := terms(8), terms(5) + [x[:4] + "b" + x[4:] for x in xs[::2]]) for k in range(30)]
+    rows += [(40, ["a", "b c", ""], None), (41, None, ["x"]), (42, None, None), (43, [], []), (44, ["--", None, "same it"], ["same it", "- "]), (45, terms(60), terms(50))]
+    odd = [(3, ["again a"], terms(4)), (None, ["a b"], ["a b"]), (None, ["c"], None), (50, ["alone"], ["alone"]), (50, ["alone"], ["alone"])]
+    plain = lambda d: sorted(tuple(r) for r in d.na.fill(-1, ["k"]).collect())
+    dealt, term_metrics = [], alignment.term_metrics
+    monkeypatch.setattr(alignment, "term_metrics", lambda *a: dealt.append(a[0].select("k").distinct().count()) or term_metrics(*a))
+    for more, most, keys in ((odd, 20, [4]), (odd, 1000, [3]), ([], 1000, [])):
+        d = spark.createDataFrame(rows + more, "k long, expected array<string>, generated array<string>").repartition(3)
+        monkeypatch.setattr(alignment, "MOST_BESIDE", most)
+        got = plain(alignment.listed_term_metrics(d, "k"))
+        assert dealt == keys
+        dealt.clear()
+        assert got == plain(term_metrics(*(d.select("k", F.posexplode(c).alias(at, "term")) for c, at in (("expected", "i"), ("generated", "j"))), "k"))
+        assert len(got) == (37 if more else 34) and sum(r[3] for r in got) > 60
+    # terms are not written, nor dealt out by their key
+    held, write = {}, Scratch.__call__
+    monkeypatch.setattr(Scratch, "__call__", lambda self, df, name: held.setdefault(name, df.columns) and write(self, df, name))
+    assert catalog.QUERIES["glossary_metrics"](spark, "/root/testdata/sf0.001").count() > 0
+    assert held == {"again": ["case_id"], "told": ["case_id", "expected", "generated", "found"], "rest": ["case_id"]}
